@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, ngram_join, quality, sharding
 from .common import read_table, shared_dir
 
 
@@ -17,6 +17,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(docs, f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix_sources(docs, keep=["doc_id", "source"])
@@ -31,6 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_mixing": op6_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
