@@ -5,7 +5,7 @@ and packed into as few sequences as can be found:
 
 1. Lengths are counted: at most ``capacity`` numbers, whatever the corpus. All
    planning works on these, on the driver, in counts and never in documents.
-2. Large lengths (an eighth of a capacity in 128 and up) are ranked, cut into
+2. Large lengths (an eighth of the capacity and up) are ranked, cut into
    groups of equal cardinality and rounded up to the largest of their group.
 3. Configurations of these few sizes are optimised one after the other: the
    largest size left with the best completion (a bounded subset-sum), applied as
@@ -42,8 +42,8 @@ from .common import small_batches, staged
 
 CAPACITY = 2048
 END_ID = 0
-N_GROUPS = 256
-SMALL_SHARE = 16  # lengths under capacity / 16 are small
+N_GROUPS = 1024
+SMALL_SHARE = 8  # lengths under capacity / 8 are small
 RANK_BUCKETS = 64
 CACHED_WORDS = 400_000
 CACHED_CHARS = 8_000_000
