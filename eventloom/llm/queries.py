@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality, secrets, sharding, token_counts
+from . import chat, media, mixing, ngram_join, packing, quality, secrets, sharding, token_counts
 from .common import read_table, shared_dir
 
 
@@ -50,6 +50,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    media.write_archives(read_table(spark, sf_dir, "documents"), path)
+    return media.media_features(media.read_archives(spark, path))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
+    "op8_media_columns": op8_media_columns,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
