@@ -267,3 +267,17 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
         .join(salted, (F.col("sig") == F.col("__sig")) & (F.col("salt") == F.col("__salt")), "left")
         .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     )
+
+
+def one_per_component(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without near duplicates: of each component its least id stays.
+
+    Of repeated rows of that id one stays. Rows without an id can't be named as
+    anyone's copy; of these, one row of each text stays.
+    """
+    found = staged(ngram_components(docs, id_column, text_column, k, percent), "components")
+    staying = found.filter(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count(F.lit(1)).alias("__rows"))
+    once = docs.join(staying.filter("__rows = 1").select(id_column), id_column, "left_semi")
+    often = docs.join(staying.filter("__rows > 1").select(id_column), id_column, "left_semi").dropDuplicates([id_column])
+    nameless = docs.filter(F.col(id_column).isNull()).dropDuplicates([text_column])
+    return once.unionByName(often).unionByName(nameless).select(*docs.columns)
