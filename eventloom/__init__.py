@@ -1,0 +1 @@
+"""Event and conversation history analytics on Spark DataFrames."""

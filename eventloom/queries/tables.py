@@ -1,0 +1,63 @@
+"""The driver's tables in the role of event tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as untimed message events."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"),
+        F.col("conv_id").alias("session_id"),
+        F.lit(None).cast("long").alias("root_session_id"),
+        F.col("turn").alias("event_sequence"),
+        F.lit(None).cast("long").alias("occurred_at_ms"),
+        F.lit("message").alias("event_type"),
+        "role",
+        F.lit("primary").alias("agent_scope"),
+        F.col("text").alias("body"),
+    )
+
+
+TRANSCRIPT_SQL = "tr AS (SELECT conv_id * 1000 + turn AS event_id, conv_id AS session_id, turn AS event_sequence, role, text AS body FROM conversations)"
+
+
+def range_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed events of sessions named by user; every 50th is untimed here."""
+    events = table(spark, sf_dir, "events")
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    return events.select(
+        "event_id",
+        F.col("user_id").alias("session_id"),
+        (F.col("event_id") % 7).alias("event_sequence"),
+        F.when(F.col("event_id") % 50 != 0, ms).alias("occurred_at_ms"),
+        "event_type",
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_digest"),
+        F.length("props").cast("long").alias("content_bytes"),
+        "value",
+        "props",
+    )
+
+
+RANGE_SQL = (
+    "re AS (SELECT event_id, user_id AS session_id, event_id % 7 AS event_sequence, CASE WHEN event_id % 50 <> 0 THEN epoch_ms(ts) END AS occurred_at_ms, "
+    "event_type, lpad(event_id::VARCHAR, 12, '0') AS event_digest, length(props)::BIGINT AS content_bytes, value, props FROM events)"
+)
+
+
+def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a text corpus: language as provider, source as format."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("event_id"), F.col("lang").alias("provider"), F.col("source").alias("source_format"), F.col("text").alias("body"))
+
+
+TOKENS_SQL = """runs AS (SELECT doc_id AS event_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS run FROM documents),
+toks AS (SELECT event_id, lower(substr(run, (i * 24 + 1)::BIGINT, 32)) AS term FROM runs, unnest(generate_series(0, CASE WHEN length(run) > 32 THEN ceil((length(run) - 32) / 24.0)::BIGINT ELSE 0 END)) AS g(i)),
+lens AS (SELECT d.doc_id AS event_id, count(t.term) AS doc_len FROM documents d LEFT JOIN toks t ON t.event_id = d.doc_id GROUP BY d.doc_id)"""
