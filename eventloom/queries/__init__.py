@@ -1,8 +1,8 @@
 """Queries over the driver's tables, one per operator, with their DuckDB SQL."""
 
-from . import retrieval
+from . import history, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, history)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -47,7 +47,7 @@ def range_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANGE_SQL = (
-    "re AS (SELECT event_id, user_id AS session_id, event_id % 7 AS event_sequence, CASE WHEN event_id % 50 <> 0 THEN epoch_ms(ts) END AS occurred_at_ms, "
+    "re AS (SELECT event_id, user_id AS session_id, event_id % 7 AS event_sequence, CASE WHEN event_id % 50 <> 0 THEN epoch_us(ts) // 1000 END AS occurred_at_ms, "
     "event_type, lpad(event_id::VARCHAR, 12, '0') AS event_digest, length(props)::BIGINT AS content_bytes, value, props FROM events)"
 )
 
