@@ -26,8 +26,10 @@ gives an empty result; other columns pass through if named in ``keep``.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -45,16 +47,21 @@ END_ID = 0
 N_GROUPS = 1024
 SMALL_SHARE = 8  # lengths under capacity / 8 are small
 RANK_BUCKETS = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 CACHED_CHARS = 8_000_000
 WORD = re.compile("[^ \t\n\r]+")
+FINE_WORD = re.compile(r"[^\W\d_]+|(?:[\d_]|[^\w \t\n\r])+")
 
 
 class WordIds:
     """Ids of texts by way of a bounded cache of the ids of their words.
 
-    For tokenizers that drop white space and never merge across it; words are
-    cut at four plain space characters and encoded by the tokenizer itself.
+    For tokenizers that drop white space and never merge across it. Words are
+    cut at four plain space characters, and between letters and other
+    characters where a text is in composed form and has neither apostrophes
+    nor strings of special tokens, which a cut could part. Words of letters go
+    straight to the tokenizer's merges, if probes show that this gives the same
+    ids; all others go through the tokenizer.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -62,6 +69,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        probes = ["a", "The", "ENTEN", "antidisestablishment", "\u00e9quech", "stra\u00dfe", "\u0416\u0443\u043a", "\u6f22\u5b57", "\ud55c\uad6d"]
+        self.direct = all(self._merged(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
         self.clear()
 
     def clear(self) -> None:
@@ -71,24 +83,48 @@ class WordIds:
         self.starts = np.empty(1 << 12, np.int64)
         self.counts = np.empty(1 << 12, np.int64)
 
+    def _merged(self, word: str) -> list[int]:
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.byte_letters)
+        return [t.id for t in self.tokenizer.model.tokenize(low)]
+
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, k = found.ids, len(self.number)
-            while self.filled + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            if k == len(self.starts):
-                self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
-            self.ids[self.filled : self.filled + len(ids)] = ids
-            self.starts[k], self.counts[k], self.number[word] = self.filled, len(ids), k
-            self.filled += len(ids)
-            self.chars += len(word)
+        found: list[list[int] | None] = [None] * len(words)
+        if self.direct:
+            for i, w in enumerate(words):
+                # Capital sigma is lowered by its place, dotted capital I to two characters.
+                if w.isalpha() and (w.isascii() or ("\u03a3" not in w and "\u0130" not in w and unicodedata.is_normalized("NFC", w))):
+                    found[i] = self._merged(w)
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))
+        first, end = len(self.number), len(self.number) + len(words)
+        while self.filled + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while end > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        self.ids[self.filled : self.filled + len(flat)] = flat
+        self.counts[first:end] = counts
+        self.starts[first:end] = self.filled + np.cumsum(counts) - counts
+        self.number.update(zip(words, range(first, end), strict=True))
+        self.filled += len(flat)
+        self.chars += sum(map(len, words))
+
+    def _words(self, text: str) -> list[str]:
+        safe = text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u0130" not in text)
+        if safe and "'" not in text and not any(s in text for s in self.special):
+            return FINE_WORD.findall(text)
+        return WORD.findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.clear()
-        words = [WORD.findall(t) if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        new = list(dict.fromkeys(w for w in flat if w not in self.number))
+        words = [self._words(t) if t else [] for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        new = list(dict.fromkeys(itertools.filterfalse(self.number.__contains__, flat)))
         if new:
             self._learn(new)
         at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
@@ -96,7 +132,7 @@ class WordIds:
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)]
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)].astype(np.int64)
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
