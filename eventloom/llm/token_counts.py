@@ -92,6 +92,22 @@ def _count_pieces(model_file: str):
     return run
 
 
+def most_widespread(counted: DataFrame, head: int) -> DataFrame:
+    """The pre-tokens in the most texts, at most ``head`` of them.
+
+    A histogram of ``texts`` in eighths of a power of two, a few hundred rows,
+    gives the limit; no ranking of the whole table is made.
+    """
+    step = F.floor(F.log2("texts") * 8).cast("int")
+    bins = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    taken, least = 0, None
+    for row in sorted(bins, key=lambda r: -r["step"]):
+        if taken + row["n"] > head:
+            break
+        taken, least = taken + row["n"], row["step"]
+    return counted.filter(F.lit(False) if least is None else step >= least)
+
+
 def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", keep: list[str] | None = None, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit to every row."""
     spark = docs.sparkSession
@@ -103,8 +119,8 @@ def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", ke
     texts = docs.select(F.col(text_column).cast("string").alias("text"))
     distinct = texts.mapInPandas(_gather(pattern), "pretoken string, texts long").groupBy("pretoken").agg(F.sum("texts").alias("texts"))
     counted = staged(distinct.mapInPandas(_count_pieces(model_file), "pretoken string, texts long, key long, pieces int"), "pretokens")
-    top = counted.filter(F.length("pretoken") <= HEAD_CHARS).orderBy(F.col("texts").desc(), "key").limit(head)
-    common = spark.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top.select("pretoken", "pieces").collect()})  # at most HEAD rows of HEAD_CHARS
+    top = most_widespread(counted.filter(F.length("pretoken") <= HEAD_CHARS), head).select("pretoken", "pieces").toArrow()
+    common = spark.sparkContext.broadcast(dict(zip(top["pretoken"].to_pylist(), top["pieces"].to_pylist(), strict=True)))  # at most HEAD rows of HEAD_CHARS
 
     small_batches(spark, 1000)
     fields = [*[docs.schema[c] for c in kept], T.StructField("n_bytes", T.LongType()), T.StructField("head", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
