@@ -27,7 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,26 +80,32 @@ def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return buffer, turn, text_at, text_at + text_n
 
 
-def _format(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PART = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
+_READ = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+
+def _batch(rows: list, kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, part, place, began = None, 0, 0, False
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        buffer, turn, text_at, text_end = assemble(pdf["role"], pdf["text"])
-        learn = pdf["role"].isin(LEARNED_ROLES).to_numpy()
-        ids = [None if pd.isna(x) else int(x) for x in pdf["conv_id"]]
+    for batch in batches:
+        ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
+        buffer, turn, text_at, text_end = assemble(roles, texts)
         cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
         rows = []
         for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
             if not began or ids[a] != last:
                 last, part, place, began = ids[a], 0, 0, True
             body = buffer[turn[a] : turn[b]].tobytes()
-            loss = [{"start": int(place + text_at[i] - turn[a]), "stop": int(place + text_end[i] - turn[a])} for i in range(a, b) if learn[i]]
+            loss = [{"start": int(place + text_at[i] - turn[a]), "stop": int(place + text_end[i] - turn[a])} for i in range(a, b) if roles[i] in LEARNED_ROLES]
             rows.append((ids[a], part, place, b - a, body, loss))
             part, place = part + 1, place + len(body)
-        out = pd.DataFrame(rows, columns=["conv_id", "part", "start", "n_turns", "body", "loss"])
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        yield out
+        yield _batch(rows, _PART, ["conv_id", "part", "start", "n_turns", "body", "loss"])
 
 
 def format_conversations(turns: DataFrame, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
@@ -110,7 +116,7 @@ def format_conversations(turns: DataFrame, id_column: str = "conv_id", turn_colu
     """
     small_batches(turns.sparkSession)
     rows = turns.select(F.col(id_column).cast("long").alias("conv_id"), F.col(turn_column).alias("turn"), F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInPandas(_format, PART_SCHEMA)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format, PART_SCHEMA)
 
 
 def unescaped(raw: bytes) -> bytes:
@@ -142,39 +148,44 @@ def _odd_escapes(body: bytes, at: int) -> bool:
     return n % 2 == 1
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state: dict | None = None
+class _Conversation:
+    """Running digests of the conversation being read."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, start: int, body: bytes, loss: list[dict]) -> None:
+        for role, text in parse_part(body):
+            self.turns += 1
+            self.all.update(role + b"\n" + text + b"\n")
+        for span in loss:
+            text = unescaped(body[span["start"] - start : span["stop"] - start])
+            self.loss.update(text)
+            self.loss_chars += len(text.decode("utf-8", "surrogatepass"))
+        self.chars += len(body.decode("utf-8", "surrogatepass"))
+
+    def row(self) -> tuple:
+        return (self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
-    def closed() -> list:
-        return [state["id"], state["turns"], state["all"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"]]
 
-    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    for pdf in batches:
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    now: _Conversation | None = None
+    for batch in batches:
         done = []
-        for x in pdf.itertuples(index=False):
-            conv = None if pd.isna(x.conv_id) else int(x.conv_id)
-            if x.part == 0:
-                if state is not None:
-                    done.append(closed())
-                state = {"id": conv, "turns": 0, "all": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
-            body = bytes(x.body)
-            for role, text in parse_part(body):
-                state["turns"] += 1
-                state["all"].update(role + b"\n" + text + b"\n")
-            for span in x.loss:
-                text = unescaped(body[span["start"] - x.start : span["stop"] - x.start])
-                state["loss"].update(text)
-                state["loss_chars"] += len(text.decode("utf-8", "surrogatepass"))
-            state["chars"] += len(body.decode("utf-8", "surrogatepass"))
-        out = pd.DataFrame(done, columns=columns)
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        yield out
-    if state is not None:
-        out = pd.DataFrame([closed()], columns=columns)
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        yield out
+        ids, parts, starts, _, bodies, losses = (c.to_pylist() for c in batch.columns)
+        for conv_id, part, start, body, loss in zip(ids, parts, starts, bodies, losses, strict=True):
+            if part == 0:
+                if now is not None:
+                    done.append(now.row())
+                now = _Conversation(conv_id)
+            now.add(start, body, loss)
+        yield _batch(done, _READ, names)
+    if now is not None:
+        yield _batch([now.row()], _READ, names)
 
 
 def read_back(parts: DataFrame) -> DataFrame:
     """Digests of conversations, read from formatted parts as ``format_conversations`` leaves them."""
-    return parts.mapInPandas(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return parts.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

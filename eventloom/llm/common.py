@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The space characters of the contracts' word pattern, as a Java regex class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -57,3 +60,38 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+#: Arrow types of the columns that operators add.
+ARROW = {
+    "long": (T.LongType(), pa.int64()),
+    "int": (T.IntegerType(), pa.int32()),
+    "string": (T.StringType(), pa.string()),
+    "binary": (T.BinaryType(), pa.binary()),
+    "boolean": (T.BooleanType(), pa.bool_()),
+    "array<long>": (T.ArrayType(T.LongType()), pa.list_(pa.int64())),
+    "array<int>": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+}
+
+
+def map_texts(docs: DataFrame, kept: list[str], text_column: str, added: dict[str, str], make: Callable[[], Callable[[list], tuple]]) -> DataFrame:
+    """Kept columns and columns made of the texts, batch by batch through Arrow.
+
+    ``make`` is called once a task and gives a function from a batch's texts to
+    (rows, columns): the places of the batch's rows that the new rows come from,
+    None for all in order, and the values of the ``added`` columns. Kept columns
+    are passed on as they are, so large and missing integers stay exact.
+    """
+    names = [*kept, *added]
+    kinds = [ARROW[t][1] for t in added.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            rows, columns = step(batch.column(len(kept)).to_pylist())
+            own = [batch.column(i) if rows is None else batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    fields = [*[docs.schema[c] for c in kept], *[T.StructField(n, ARROW[t][0]) for n, t in added.items()]]
+    text = F.col(text_column).cast("string").alias(fresh("__text", kept))
+    return docs.select(*kept, text).mapInArrow(run, T.StructType(fields))

@@ -22,17 +22,13 @@ table gives an empty result; other columns pass through if named in ``keep``.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import map_texts, small_batches
 from .dom import N_FEATURES, Node, features, parse
 
 TRAINING_PAGES = 400
@@ -306,12 +302,10 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", keep: list[st
     trees = fit_trees(spark)
     small_batches(spark, 500)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts: list[str] = []
-            for first in range(0, len(pdf), 50):
-                texts += main_texts(pdf["__html"].iloc[first : first + 50].tolist(), trees)
-            yield pdf.drop(columns="__html").assign(text=texts, n_chars=[len(t) for t in texts])
+    def extract(htmls: list) -> tuple:
+        texts: list[str] = []
+        for first in range(0, len(htmls), 50):
+            texts += main_texts(htmls[first : first + 50], trees)
+        return None, [texts, [len(t) for t in texts]]
 
-    fields = [*[pages.schema[c] for c in kept], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return pages.select(*kept, F.col(html_column).cast("string").alias("__html")).mapInPandas(run, T.StructType(fields))
+    return map_texts(pages, kept, html_column, {"text": "string", "n_chars": "long"}, lambda: extract)

@@ -28,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -94,18 +93,21 @@ def from_png(data: bytes) -> np.ndarray:
 
 
 def _write(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(rows: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["archive", "members"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
         stream, stem, held, members = None, "", 0, 0
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for key, text in zip(pdf["id"], pdf["text"], strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if stream is None:
                     stem, held, members = uuid.uuid4().hex, 0, 0
                     stream = fs.open_output_stream(f"{root}/{stem}.tar")
-                raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+                raw = text.encode("utf-8", "surrogatepass") if text else b""
                 body = to_png(padded(raw))
-                info = tarfile.TarInfo(f"{stem}/{'null' if pd.isna(key) else int(key)}/{len(raw)}.png")
+                info = tarfile.TarInfo(f"{stem}/{'null' if key is None else key}/{len(raw)}.png")
                 info.size = len(body)
                 stream.write(info.tobuf(tarfile.USTAR_FORMAT) + body + b"\0" * (-len(body) % BLOCK))
                 held, members = held + len(body), members + 1
@@ -114,11 +116,11 @@ def _write(path: str):
                     stream.close()
                     stream = None
                     done.append((f"{stem}.tar", members))
-            yield pd.DataFrame(done, columns=["archive", "members"])
+            yield listed(done)
         if stream is not None:
             stream.write(b"\0" * 2 * BLOCK)
             stream.close()
-            yield pd.DataFrame([(f"{stem}.tar", members)], columns=["archive", "members"])
+            yield listed([(f"{stem}.tar", members)])
 
     return run
 
@@ -129,7 +131,7 @@ def write_archives(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
     fs.create_dir(root, recursive=True)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    manifest = staged(rows.mapInPandas(_write(path), "archive string, members long"), "archives")
+    manifest = staged(rows.mapInArrow(_write(path), "archive string, members long"), "archives")
     committed = {r["archive"] for r in manifest.select("archive").collect()}  # one a task or 64 MB
     for found in fs.get_file_info(pafs.FileSelector(root)):
         if found.base_name.endswith(".tar") and found.base_name not in committed:
@@ -252,22 +254,22 @@ def feature(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};mean={flat.mean():.4f};std={flat.std():.4f};entropy={-(known * np.log2(known)).sum():.4f};step={step:.4f}"
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for pdf in batches:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    for batch in batches:
         rows = []
-        for name, media in zip(pdf["name"], pdf["media"], strict=True):
+        for name, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             _, key, last = name.split("/")
             samples = from_png(media)
             payload = samples.tobytes()
             rows.append((None if key == "null" else int(key), int(last.split(".")[0]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
-        out = pd.DataFrame(rows, columns=columns)
-        out["id"] = out["id"].astype("Int64")
-        yield out
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def media_features(members: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Digests and features of the members of ``read_archives``, from their stored bytes."""
     small_batches(members.sparkSession, 500)
-    found = members.select("name", "media").mapInPandas(_features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = members.select("name", "media").mapInArrow(_features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.withColumnRenamed("id", id_column)

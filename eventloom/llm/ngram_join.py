@@ -51,7 +51,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import map_texts, small_batches, staged
 from .graph import components
 from .shingles import K, set_identity, shingle_sets
 
@@ -65,30 +65,31 @@ COLD_SHARE = 0.7
 
 
 def _digest(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         seen: set[int] = set()
-        for pdf in batches:
-            sets = shingle_sets(pdf["text"], k)
-            rows = {"id": pdf["id"], "n": [len(s) for s in sets], "sig": [], "listed": [], "point": []}
-            for s in sets:
+
+        def digest(texts: list) -> tuple:
+            sizes, sigs, lists, points = [], [], [], []
+            for s in shingle_sets(texts, k):
                 n = len(s)
                 sig = set_identity(s) if n else None
-                rows["sig"].append(sig)
+                sizes.append(n)
+                sigs.append(sig)
                 if not n or sig in seen:  # the list of an equal set has gone out from this task
-                    rows["listed"].append(None)
-                    rows["point"].append(None)
+                    lists.append(None)
+                    points.append(None)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sig)
                 share = LISTED / (0.75 * n)
                 own = n if share >= 1 else int(np.searchsorted(s, np.uint64(int(share * 2**64))))
-                rows["listed"].append(s[:own].view(np.int64))
-                rows["point"].append(np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
-            out = pd.DataFrame(rows)
-            out["sig"] = out["sig"].astype("Int64")
-            yield out
+                lists.append(s[:own].view(np.int64))
+                points.append(np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
+            return None, [sizes, sigs, lists, points]
 
-    return run
+        return digest
+
+    return make
 
 
 def _sets(k: int):
@@ -252,7 +253,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """(id, n_shingles, component_id) for every row of ``docs``."""
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    digest = staged(plain.mapInPandas(_digest(k), "id long, n long, sig long, listed array<long>, point array<int>"), "digest")
+    digest = staged(map_texts(plain, ["id"], "text", {"n": "long", "sig": "long", "listed": "array<long>", "point": "array<int>"}, _digest(k)), "digest")
     links = jaccard_links(plain, digest, k, percent)
     groups = components(links)
     # Least id of each set, then of each component.

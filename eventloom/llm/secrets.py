@@ -19,14 +19,10 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import map_texts, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -159,21 +155,18 @@ def scan_secrets(docs: DataFrame, text_column: str = "text", keep: list[str] | N
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted_text"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     small_batches(docs.sparkSession)
-    fields = [*[docs.schema[c] for c in kept], *[T.StructField(c, T.LongType()) for c in own[:3]], *[T.StructField(c, T.StringType()) for c in own[3:5]]]
-    if redact:
-        fields.append(T.StructField(own[5], T.StringType()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["__text"]:
-                known = isinstance(text, str)
-                base = base_spans(text) if known else []
-                spans = sorted(base + (confirmed_spans(text) if known else []), key=lambda x: (x[0], KINDS[x[2]], x[1]))
-                counts = [sum(k == kind for _, _, k in base) for kind in BASE_KINDS]
-                row = [*counts, hashlib.sha256(span_text(base).encode()).hexdigest(), span_text(spans)]
-                rows.append([*row, redacted(text, spans) if known else None] if redact else row)
-            out = pd.DataFrame(rows, columns=own[: len(fields) - len(kept)], index=pdf.index)
-            yield pd.concat([pdf.drop(columns="__text"), out], axis=1)
-
-    return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInPandas(run, T.StructType(fields))
+    added = dict(zip(own, ["long", "long", "long", "string", "string", "string"], strict=True))
+    if not redact:
+        del added["redacted_text"]
+
+    def scan(texts: list) -> tuple:
+        rows = []
+        for text in texts:
+            base = base_spans(text) if text else []
+            spans = sorted(base + (confirmed_spans(text) if text else []), key=lambda x: (x[0], KINDS[x[2]], x[1]))
+            counts = [sum(k == kind for _, _, k in base) for kind in BASE_KINDS]
+            row = [*counts, hashlib.sha256(span_text(base).encode()).hexdigest(), span_text(spans)]
+            rows.append([*row, redacted(text, spans) if text else text] if redact else row)
+        return None, list(zip(*rows, strict=True)) if rows else [[] for _ in added]
+
+    return map_texts(docs, kept, text_column, added, lambda: scan)

@@ -31,9 +31,8 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fresh, small_batches, staged
+from .common import fresh, map_texts, small_batches, staged
 
 HEAD = 1 << 18
 HEAD_CHARS = 64
@@ -123,30 +122,33 @@ def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", ke
     common = spark.sparkContext.broadcast(dict(zip(top["pretoken"].to_pylist(), top["pieces"].to_pylist(), strict=True)))  # at most HEAD rows of HEAD_CHARS
 
     small_batches(spark, 1000)
-    fields = [*[docs.schema[c] for c in kept], T.StructField("n_bytes", T.LongType()), T.StructField("head", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         cut, pieces_of = re.compile(pattern), common.value.get
-        for pdf in batches:
-            rows = []
-            for text in pdf["__text"]:
-                found = pretokens(cut, text)
-                total, keys, times = 0, [], []
-                for pretoken, n in found.items():
+
+        def measure(texts: list) -> tuple:
+            sizes, heads, keys, times = [], [], [], []
+            for text in texts:
+                total, own_keys, own_times = 0, [], []
+                for pretoken, n in pretokens(cut, text).items():
                     pieces = pieces_of(pretoken)
                     if pieces is None:
-                        keys.append(_key(pretoken))
-                        times.append(n)
+                        own_keys.append(_key(pretoken))
+                        own_times.append(n)
                     else:
                         total += pieces * n
-                rows.append((len(text.encode("utf-8", "surrogatepass")) if text else 0, total, keys, times))
-            out = pd.DataFrame(rows, columns=["n_bytes", "head", "keys", "times"], index=pdf.index)
-            yield pd.concat([pdf.drop(columns="__text"), out], axis=1)
+                sizes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
+                heads.append(total)
+                keys.append(own_keys)
+                times.append(own_times)
+            return None, [sizes, heads, keys, times]
+
+        return measure
 
-    measured = docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInPandas(measure, T.StructType(fields))
+    measured = map_texts(docs, kept, text_column, {"n_bytes": "long", "__head": "long", "__keys": "array<long>", "__times": "array<int>"}, make)
     measured = staged(measured.withColumn(row_id, F.monotonically_increasing_id()), "token-heads")
-    rest = measured.select(row_id, F.explode(F.arrays_zip("keys", "times")).alias("t")).select(row_id, F.col("t.keys").alias("key"), F.col("t.times").alias("times"))
+    rest = measured.select(row_id, F.explode(F.arrays_zip("__keys", "__times")).alias("t")).select(row_id, F.col("t.__keys").alias("key"), F.col("t.__times").alias("times"))
     pieces = counted.select("key", "pieces").groupBy("key").agg(F.max("pieces").alias("pieces"))
-    tails = rest.join(pieces, "key").groupBy(row_id).agg(F.sum(F.col("times") * F.col("pieces")).alias("tail"))
-    total = (F.col("head") + F.coalesce("tail", F.lit(0))).cast("long")
-    return measured.drop("keys", "times").join(tails, row_id, "left").select(*kept, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    tails = rest.join(pieces, "key").groupBy(row_id).agg(F.sum(F.col("times") * F.col("pieces")).alias("__tail"))
+    total = (F.col("__head") + F.coalesce("__tail", F.lit(0))).cast("long")
+    return measured.drop("__keys", "__times").join(tails, row_id, "left").select(*kept, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
