@@ -64,7 +64,7 @@ def relate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad.append(_rejects(session_rows.join(known, "source_id", "left_anti"), "session of an unknown source"))
     own_parent = F.coalesce(F.col("parent_session_id") == F.col("session_id"), F.lit(False))
     bad.append(_rejects(session_rows.join(known, "source_id", "left_semi").filter(own_parent), "session is its own parent"))
-    sessions = session_rows.join(known, "source_id").filter(~own_parent).select(
+    sessions = session_rows.drop("provider_key").join(known, "source_id").filter(~own_parent).select(
         "source_id", "session_id", "native_session_id", "parent_session_id", "root_session_id", "session_relationship", "agent_scope", "provider_key", "declared_format"
     )
     # Edges: both ends known, no contradiction; the last one of a child sets its parent.
