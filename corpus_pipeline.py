@@ -24,8 +24,9 @@ def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines removed go from the others' texts."""
-    judged = quality.quality_rules(docs, clean_text=True).filter("kept")
-    return _with_text(judged.withColumn("clean_text", F.when(F.col("n_removed_words") > 0, F.col("clean_text")).otherwise(F.col("text"))), "clean_text", docs.columns)
+    kept = quality.clean_documents(docs.withColumn("__before", F.length("text").cast("long")))
+    shorter = F.length("text") != F.col("__before")
+    return kept.withColumn("n_chars", F.when(shorter, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

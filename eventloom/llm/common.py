@@ -95,3 +95,26 @@ def map_texts(docs: DataFrame, kept: list[str], text_column: str, added: dict[st
     fields = [*[docs.schema[c] for c in kept], *[T.StructField(n, ARROW[t][0]) for n, t in added.items()]]
     text = F.col(text_column).cast("string").alias(fresh("__text", kept))
     return docs.select(*kept, text).mapInArrow(run, T.StructType(fields))
+
+
+BITMAP_BITS = 1 << 23
+
+
+def bitmap_split(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose 64-bit ``key`` may be among those in ``marked``, the others).
+
+    The keys set bits in a bitmap of ``BITMAP_BITS``, sent to all tasks as rows of
+    64 bits: 131,072 rows at most, whatever there is marked. Rows without a bit
+    surely aren't marked and need no shuffle. The more is marked the fewer go
+    that way; which rows are marked an exact join has to say.
+    """
+    bit = F.pmod(F.col(key), F.lit(BITMAP_BITS))
+    words = (
+        marked.select(bit.alias("bit"))
+        .groupBy(F.floor(F.col("bit") / 64).alias("__word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("__mask"))
+    )
+    words = staged(words, "bitmap")
+    tested = rows.withColumn("__bit", bit).withColumn("__word", F.floor(F.col("__bit") / 64)).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.expr("(__mask & shiftleft(1L, cast(__bit % 64 as int))) <> 0"), F.lit(False))
+    return tuple(tested.filter(t).select(*rows.columns) for t in (hit, ~hit))

@@ -51,7 +51,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_batches, staged
+from .common import bitmap_split, map_texts, small_batches, staged
 from .graph import components
 from .shingles import K, set_identity, shingle_sets
 
@@ -241,7 +241,9 @@ def jaccard_links(docs: DataFrame, digest: DataFrame, k: int = K, percent: int =
     right = off.join(here, (off["bucket"] == here["bucket"]) & (off["lb"] == here["leaf"])).select(off["bucket"], "la", "lb", "sig", F.lit(False).alias("on_left"), F.lit(True).alias("on_right"))
     wanted = digest.filter(F.col("sig").isNotNull()).join(known, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.count("id").alias("named"))
     # One text for each set; sets without any named text are read by their rows.
-    texts = docs.join(wanted.filter("named > 0").select("id"), "id", "left_semi")
+    named = staged(wanted.filter("named > 0").select("id", F.xxhash64("id").alias("__key")), "wanted")
+    may, _ = bitmap_split(docs.withColumn("__key", F.xxhash64("id")), "__key", named)
+    texts = may.select("id", "text").join(named, "id", "left_semi")
     nameless = docs.filter(F.col("id").isNull())
     sets = texts.unionByName(nameless).mapInPandas(_sets(k), "sig long, hashes binary").groupBy("sig").agg(F.first("hashes").alias("hashes"))
     work = left.unionByName(right).join(sets, "sig")
@@ -276,9 +278,17 @@ def one_per_component(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Of repeated rows of that id one stays. Rows without an id can't be named as
     anyone's copy; of these, one row of each text stays.
     """
-    found = staged(ngram_components(docs, id_column, text_column, k, percent), "components")
-    staying = found.filter(F.col(id_column) == F.col("component_id")).groupBy(id_column).agg(F.count(F.lit(1)).alias("__rows"))
-    once = docs.join(staying.filter("__rows = 1").select(id_column), id_column, "left_semi")
-    often = docs.join(staying.filter("__rows > 1").select(id_column), id_column, "left_semi").dropDuplicates([id_column])
+    found = staged(ngram_components(docs, id_column, text_column, k, percent).withColumnRenamed(id_column, "__id"), "components")
+    rows = found.filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.count(F.lit(1)).alias("__rows"), F.min("component_id").alias("__first"))
+    # Ids that go or come more than once; rows of all others stay where they are.
+    special = staged(rows.filter((F.col("__first") != F.col("__id")) | (F.col("__rows") > 1)).withColumn("__key", F.xxhash64("__id")), "leaving")
+    keyed = docs.withColumn("__key", F.xxhash64(id_column)).filter(F.col(id_column).isNotNull())
+    may, rest = bitmap_split(keyed, "__key", special)
+    tested = may.join(special.drop("__key"), F.col(id_column) == F.col("__id"), "left")
+    single = tested.filter(F.col("__id").isNull())
+    often = tested.filter(F.col("__first") == F.col("__id")).dropDuplicates([id_column])
     nameless = docs.filter(F.col(id_column).isNull()).dropDuplicates([text_column])
-    return once.unionByName(often).unionByName(nameless).select(*docs.columns)
+    out = rest.select(*docs.columns)
+    for part in (single, often, nameless):
+        out = out.unionByName(part.select(*docs.columns))
+    return out

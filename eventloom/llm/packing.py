@@ -35,12 +35,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, staged
+from .common import map_texts, small_batches, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -139,24 +139,24 @@ class WordIds:
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str, text_column: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(kept columns, piece, start, length, ids_crc32) of every piece of every text."""
     kept = docs.columns if keep is None else keep
-    fields = [*[docs.schema[c] for c in kept], *[T.StructField(c, t()) for c, t in (("piece", T.IntegerType), ("start", T.LongType), ("length", T.LongType), ("ids_crc32", T.LongType))]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         words = WordIds(tokenizer_file)
-        for pdf in batches:
+
+        def cut(texts: list) -> tuple:
             source, rows = [], []
-            for first in range(0, len(pdf), 200):
-                part = pdf["__text"].iloc[first : first + 200].tolist()
-                for i, body in enumerate(words.encode(part)):
+            for first in range(0, len(texts), 200):
+                for i, body in enumerate(words.encode(texts[first : first + 200])):
                     ids = np.append(body, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[start : start + capacity]
+                        part = ids[start : start + capacity]
                         source.append(first + i)
-                        rows.append((piece, start, len(cut), zlib.crc32(cut.tobytes())))
-            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-            yield pd.concat([pdf[kept].iloc[source].reset_index(drop=True), out], axis=1)
+                        rows.append((piece, start, len(part), zlib.crc32(part.tobytes())))
+            return source, list(zip(*rows, strict=True)) if rows else [[]] * 4
+
+        return cut
 
-    return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInPandas(run, T.StructType(fields))
+    return map_texts(docs, kept, text_column, {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}, make)
 
 
 def _best_fill(sizes: list[int], counts: list[int], first: int, room: int) -> dict[int, int]:
@@ -271,14 +271,18 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
     return sorted(rules), n_sequences
 
 
-def _assign(rules: list[tuple[int, int, int]]):
+def _assign(rules: list[tuple[int, int, int]], base: np.ndarray):
+    """Ranks (``base``: first rank of each length and bucket) and sequences of pieces."""
     first, period, sequence = (np.array(x, np.int64) for x in zip(*rules, strict=True)) if rules else (np.empty(0, np.int64),) * 3
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rank = pdf["__rank"].to_numpy(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, bucket, place = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "__bucket", "__place"))
+            rank = base[length, bucket] + place
             at = np.searchsorted(first, rank, side="right") - 1
-            yield pdf.assign(sequence_id=sequence[at] + (rank - first[at]) % period[at])
+            found = sequence[at] + (rank - first[at]) % period[at]
+            own = [batch.column(i) for i in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rank), pa.array(found)], [*batch.schema.names[:-2], "__rank", "sequence_id"])
 
     return run
 
@@ -297,18 +301,13 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, text_column: str = "tex
     for (length, _), n in cells.items():
         counts[length] += n
     rules, _ = plan_packing(counts, capacity)
-    base, rank = [], 0
+    base, rank = np.zeros((capacity + 1, RANK_BUCKETS), np.int64), 0
     for length, bucket in sorted(cells, key=lambda c: (-c[0], c[1])):
-        base.append((length, bucket, rank))
+        base[length, bucket] = rank
         rank += cells[length, bucket]
-    bases = docs.sparkSession.createDataFrame(base, "__length long, __in int, __base long")
     in_bucket = Window.partitionBy("length", "__bucket").orderBy(*kept, *own)
-    ranked = (
-        bucketed.withColumn("__place", F.row_number().over(in_bucket) - 1)
-        .join(F.broadcast(bases), (F.col("length") == F.col("__length")) & (F.col("__bucket") == F.col("__in")))
-        .select(*kept, *own, (F.col("__base") + F.col("__place")).alias("__rank"))
-    )
-    fields = [*ranked.schema.fields, T.StructField("sequence_id", T.LongType())]
-    packed = ranked.mapInPandas(_assign(rules), T.StructType(fields))
+    placed = bucketed.select(*kept, *own, "__bucket", (F.row_number().over(in_bucket) - 1).cast("long").alias("__place"))
+    fields = [*placed.schema.fields[:-2], T.StructField("__rank", T.LongType()), T.StructField("sequence_id", T.LongType())]
+    packed = placed.mapInArrow(_assign(rules, base), T.StructType(fields))
     before = Window.partitionBy("sequence_id").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
     return packed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("__rank")

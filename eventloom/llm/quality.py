@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_PATTERN, fresh, staged, text_or_empty
+from .common import SPACE_CLASS, WORD_PATTERN, bitmap_split, fresh, staged, text_or_empty
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -119,6 +119,7 @@ def quality_rules(
     host_column: str = "source",
     keep: list[str] | None = None,
     clean_text: bool = False,
+    removed_lines: bool = False,
     min_documents: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
     max_removed: float = MAX_REMOVED,
@@ -128,9 +129,11 @@ def quality_rules(
     n_repeat_words, base_failed, n_removed_words and kept.
 
     ``keep``: columns to pass through, all by default. ``clean_text``: also
-    return ``clean_text``, the text without the lines removed.
+    return ``clean_text``, the text without the lines removed; ``removed_lines``:
+    the hashes of these lines (null if none).
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "clean_text"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "clean_text", "removed_lines"]
+    listed = clean_text or removed_lines
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
     row_id = fresh("__row", kept)
     text = F.col("__text")
@@ -168,13 +171,36 @@ def quality_rules(
         lines.withColumn("salt", F.pmod(F.hash(row_id), F.lit(SALTS)))
         .join(salted.withColumnRenamed("salt", "__salt"), F.col("__host").eqNullSafe(F.col("__name")) & (F.col("line") == F.col("__line")) & (F.col("salt") == F.col("__salt")))
         .groupBy(row_id)
-        .agg(F.sum("n").alias("n_removed_words"), *([F.collect_set("line").alias("__gone")] if clean_text else []))
+        .agg(F.sum("n").alias("n_removed_words"), *([F.collect_set("line").alias("removed_lines")] if listed else []))
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     gone_words = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
     depleted = (gone_words > 0) & ((gone_words > F.col("n_words") * max_removed) | (F.col("n_words") - gone_words < min_words))
     out = measured.join(removed, row_id, "left").withColumn("base_failed", base_failed).withColumn("n_removed_words", gone_words).withColumn("kept", ~F.col("base_failed") & ~depleted)
     if clean_text:
-        left = F.filter(F.split("__text", "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(normal_line(x))) | ~has_word(x))
-        out = out.withColumn("clean_text", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n")))
-    return out.select(*kept, *[c for c in own if c != "clean_text" or clean_text])
+        out = out.withColumn("clean_text", without_lines("__text"))
+    wanted = {"clean_text": clean_text, "removed_lines": removed_lines}
+    return out.select(*kept, *[c for c in own if wanted.get(c, True)])
+
+
+def without_lines(text: str) -> Column:
+    """The text without the lines in ``removed_lines``; as it is where that is null."""
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(normal_line(x))) | ~F.rlike(x, F.lit(WORD_PATTERN)))
+    return F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+
+
+def clean_documents(docs: DataFrame, text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
+    """The documents that are kept, all columns, texts without the lines removed.
+
+    A verdict depends on host and text alone, so it is joined by their hashes,
+    and only to rows that are rejected or changed (and the few that share a bit
+    with one); the others stay where they are.
+    """
+    keys = ["__key", "__check"]
+    keyed = docs.withColumn("__key", F.xxhash64(host_column, text_column)).withColumn("__check", F.xxhash64(F.lit(1), F.col(text_column), F.col(host_column)))
+    judged = quality_rules(keyed, text_column, host_column, keep=keys, removed_lines=True, **limits)
+    special = staged(judged.filter(~F.col("kept") | F.col("removed_lines").isNotNull()).select(*keys, "kept", "removed_lines").dropDuplicates(keys), "verdicts")
+    may, rest = bitmap_split(keyed, "__key", special)
+    found = special.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("kept").alias("__kept"), "removed_lines")
+    changed = may.join(found, (F.col("__key") == F.col("__key2")) & (F.col("__check") == F.col("__check2")), "left").filter(F.coalesce("__kept", F.lit(True)))
+    return rest.select(*docs.columns).unionByName(changed.withColumn(text_column, without_lines(text_column)).select(*docs.columns))
