@@ -103,7 +103,7 @@ class BoundedJsonlReader(DataSourceReader):
         kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "offset", "value", "oversized"])
 
-    def _lines(self, part: LineRange) -> Iterator[tuple[int, bytes]]:
+    def _lines(self, part: LineRange) -> Iterator[tuple[int, bytes | None]]:
         fs, _ = open_fs(self.path)
         with fs.open_input_file(part.file) as raw:
             if part.stop < 0:
@@ -111,20 +111,34 @@ class BoundedJsonlReader(DataSourceReader):
 
                 stream, at = io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)), 0
             else:
-                raw.seek(part.start)
-                stream, at = io.BufferedReader(raw), part.start
-                if part.start > part.floor:  # the line that runs into the range belongs to the one before
-                    raw.seek(part.start - 1)
-                    stream = io.BufferedReader(raw)
-                    at = part.start - 1 + len(stream.readline())
+                # A range that begins inside a line leaves that line to the range before.
+                inside = part.start > part.floor
+                raw.seek(part.start - inside)
+                stream, at = io.BufferedReader(raw), part.start - inside
+                if inside:
+                    at += self._line(stream)[1]
             while part.stop < 0 or at < part.stop:
-                line = stream.readline()
-                if not line.endswith(b"\n"):
+                line, size, ended = self._line(stream)
+                if not ended:
                     return  # the end, or a record still being written
-                body = line.rstrip(b"\r\n").rstrip(b"\0")
-                if body:
+                if line is None:
+                    yield at, None
+                elif body := line.rstrip(b"\r\n").rstrip(b"\0"):
                     yield at, body
-                at += len(line)
+                at += size
+
+    def _line(self, stream: io.BufferedReader) -> tuple[bytes | None, int, bool]:
+        """The next line, its size with its end, and whether it has one.
+
+        Of a line over ``maxBytes`` no more than that is held: it comes as None.
+        """
+        line = stream.readline(self.max_bytes + 2)
+        size, ended = len(line), line.endswith(b"\n")
+        if ended or size < self.max_bytes + 2:
+            return line, size, ended
+        while not ended and (more := stream.readline(1 << 20)):
+            size, ended = size + len(more), more.endswith(b"\n")
+        return None, size, ended
 
 
 def read_records(spark: SparkSession, path: str, frontiers: dict[str, int] | None = None, **options) -> DataFrame:
