@@ -22,6 +22,12 @@ FILE_KEYS = ("file", "files", "filename", "filepath", "filepaths", "path", "path
 URL_KEYS = ("url", "uri")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row and named, not repeated,
+    in the expression: nested uses would otherwise multiply its size."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def at(value: Column, *paths: str) -> Column:
     """First path that holds something; objects and lists come as JSON."""
     found = [F.get_json_object(value, p if p.startswith("$") else f"$.{p}") for p in paths]
@@ -39,50 +45,67 @@ def elements(value: Column) -> Column:
 
 
 def _block(block: Column) -> Column:
-    kind = at(block, "type", "kind")
-    is_object = F.startswith(F.ltrim(block), F.lit("{"))
-    text = at(block, "text", "content", "output", "summary")
-    inner = elements(text)
-    nested = F.array_join(F.array_compact(F.transform(F.coalesce(inner, F.array().cast("array<string>")), lambda b: at(b, "text", "content"))), "\n")
-    label = F.when(kind.isin(*CALL_KINDS), F.concat(F.lit("tool call: "), F.coalesce(at(block, "name", "tool", "tool_name", "toolName"), F.lit("tool")))).when(kind.isin(*RESULT_KINDS), F.lit("tool result"))
-    return F.when(is_object, F.coalesce(F.when(inner.isNull(), text), F.when(F.size(inner) > 0, F.nullif(nested, F.lit(""))), label)).otherwise(block)
+    def label(kind: Column) -> Column:
+        name = F.coalesce(at(block, "name", "tool", "tool_name", "toolName"), F.lit("tool"))
+        return F.when(kind.isin(*CALL_KINDS), F.concat(F.lit("tool call: "), name)).when(kind.isin(*RESULT_KINDS), F.lit("tool result"))
+
+    def said(text: Column) -> Column:
+        joined = lambda inner: F.nullif(F.array_join(F.array_compact(F.transform(inner, lambda b: at(b, "text", "content"))), "\n"), F.lit(""))
+        return let(elements(text), lambda inner: F.when(inner.isNull(), text).otherwise(joined(inner)))
+
+    found = F.coalesce(let(at(block, "text", "content", "output", "summary"), said), let(at(block, "type", "kind"), label))
+    return F.when(F.startswith(F.ltrim(block), F.lit("{")), found).otherwise(block)
 
 
 def value_text(value: Column) -> Column:
     """Text of a value: itself, its blocks line by line, or its JSON."""
-    blocks = elements(value)
-    joined = F.nullif(F.array_join(F.array_compact(F.transform(blocks, _block)), "\n"), F.lit(""))
-    return F.when(value.isNull() | (value == "null"), F.lit(None)).when(blocks.isNotNull(), joined).otherwise(value)
+
+    def text(v: Column) -> Column:
+        joined = lambda blocks: F.nullif(F.array_join(F.array_compact(F.transform(blocks, _block)), "\n"), F.lit(""))
+        listed = let(elements(v), lambda blocks: F.when(blocks.isNotNull(), joined(blocks)).otherwise(v))
+        return F.when(v.isNull() | (v == "null"), F.lit(None)).otherwise(listed)
+
+    return let(value, text)
 
 
 def block_text(value: Column) -> Column:
     """Text of a message by the usual fields, the first one that isn't blank."""
     fields = ("text", "content", "message", "prompt", "response", "output", "summary")
-    return F.coalesce(*[F.when(F.trim(t) != "", t) for t in (value_text(at(value, f)) for f in fields)], value_text(at(value, "parts", "blocks")))
+
+    def first(v: Column) -> Column:
+        texts = [let(value_text(at(v, f)), lambda t: F.when(F.trim(t) != "", t)) for f in fields]
+        return F.coalesce(*texts, value_text(at(v, "parts", "blocks")))
+
+    return let(value, first)
 
 
 def role(text: Column) -> Column:
     """One of the closed set of roles."""
-    return (
-        F.when(text.isin("user", "human", "user_prompt", "user-prompt"), "user")
-        .when(text.isin("assistant", "agent", "ai", "model"), "assistant")
-        .when(text.isin("system", "developer", "system_prompt", "system-prompt"), "system")
-        .when(text.isin("tool", "tool_result", "tool-result", "tool_use_result"), "tool")
-        .otherwise("unknown")
+    return let(
+        text,
+        lambda t: F.when(t.isin("user", "human", "user_prompt", "user-prompt"), "user")
+        .when(t.isin("assistant", "agent", "ai", "model"), "assistant")
+        .when(t.isin("system", "developer", "system_prompt", "system-prompt"), "system")
+        .when(t.isin("tool", "tool_result", "tool-result", "tool_use_result"), "tool")
+        .otherwise("unknown"),
     )
 
 
 def event_type(value: Column, role_text: Column) -> Column:
     """tool_output, tool_call, notice or message, from the role and the blocks."""
-    r = F.coalesce(role_text, F.lit(""))
+
+    def of(r: Column, kinds: Column) -> Column:
+        has = lambda *wanted: F.arrays_overlap(kinds, F.array(*[F.lit(w) for w in wanted]))
+        return (
+            F.when(r.contains("tool_result") | r.contains("tool-result") | has("tool_result", "tool-result"), "tool_output")
+            .when(r.contains("tool_use") | r.contains("tool-use") | has("tool_use", "tool-use", "tool-call", "tool_call"), "tool_call")
+            .when(r.isin("system", "developer", "system_prompt", "system-prompt"), "notice")
+            .otherwise("message")
+        )
+
     parts = F.coalesce(elements(at(value, "parts", "content", "blocks")), F.array().cast("array<string>"))
-    has = lambda *kinds: F.coalesce(F.exists(parts, lambda p: at(p, "type", "kind").isin(*kinds)), F.lit(False))
-    return (
-        F.when(r.contains("tool_result") | r.contains("tool-result") | has("tool_result", "tool-result"), "tool_output")
-        .when(r.contains("tool_use") | r.contains("tool-use") | has("tool_use", "tool-use", "tool-call", "tool_call"), "tool_call")
-        .when(r.isin("system", "developer", "system_prompt", "system-prompt"), "notice")
-        .otherwise("message")
-    )
+    kinds = F.array_compact(F.transform(parts, lambda p: at(p, "type", "kind")))
+    return let(F.coalesce(role_text, F.lit("")), lambda r: let(kinds, lambda k: of(r, k)))
 
 
 def message_id(value: Column, fallback: Column) -> Column:

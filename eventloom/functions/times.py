@@ -8,6 +8,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_text import let
+
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
 PLAIN = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d+)?$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -27,9 +29,12 @@ def number_ms(value: Column) -> Column:
 
 def provider_ms(raw: Column, fallback: Column | None = None) -> Column:
     """RFC 3339, then a plain UTC date and time, then a number, then ``fallback``."""
-    plain = F.when(raw.rlike(PLAIN), F.floor(F.unix_micros(F.try_to_timestamp(F.concat(raw, F.lit("Z")))) / 1000))
-    number = F.when(raw.rlike(NUMBER), number_ms(raw))
-    return F.coalesce(rfc3339_ms(raw), plain, number, F.lit(None).cast("long") if fallback is None else fallback)
+
+    def parsed(text: Column) -> Column:
+        plain = F.when(text.rlike(PLAIN), F.floor(F.unix_micros(F.try_to_timestamp(F.concat(text, F.lit("Z")))) / 1000))
+        return F.coalesce(rfc3339_ms(text), plain, F.when(text.rlike(NUMBER), number_ms(text)))
+
+    return F.coalesce(let(raw, parsed), F.lit(None).cast("long") if fallback is None else fallback)
 
 
 def first_ms(*columns: Column) -> Column:
