@@ -7,10 +7,9 @@ symbols, repeated lines and windows) come first.
 
 *Distinct documents.* A host that serves the same text a thousand times has
 one document, not a thousand, and a passage isn't boilerplate because its
-document was copied. A document therefore counts, for a given line, by the
-other lines around it: by the smallest and the largest line hash among its
-other lines. Copies, and near copies with a few edits, share these; unrelated
-documents that carry the same notice don't.
+document was copied. A document therefore counts, for a given line, by the set
+of all other lines around it, as one order-free hash: copies share it; unrelated
+documents that carry the same notice don't, however long the notice.
 
 *Limits.* A line is removed where it is found in over ``min_documents``
 distinct documents of its host and in over ``max_share`` of them. A document is
@@ -89,16 +88,15 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE_CLASS + "+", " "))
 
 
+def set_hash(hashes: Column) -> Column:
+    """Hash of a set of 64-bit hashes; without one of them it is its XOR with that one."""
+    return F.aggregate(F.array_distinct(hashes), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+
+
 def _line_rows(measured: DataFrame, row_id: str) -> DataFrame:
     """One row for each line of a document: host, line hash, words, context."""
-    lines = measured.select(row_id, "__host", F.explode("__lines").alias("l"), "__low", "__low2", "__high", "__high2").select(
-        row_id, "__host", F.col("l.h").alias("line"), F.col("l.n").alias("n"), "__low", "__low2", "__high", "__high2"
-    )
-    context = F.xxhash64(
-        F.when(F.col("line") == F.col("__low"), F.col("__low2")).otherwise(F.col("__low")),
-        F.when(F.col("line") == F.col("__high"), F.col("__high2")).otherwise(F.col("__high")),
-    )
-    return lines.select(row_id, "__host", "line", "n", context.alias("context"))
+    lines = measured.select(row_id, "__host", F.explode("__lines").alias("l"), "__set")
+    return lines.select(row_id, "__host", F.col("l.h").alias("line"), F.col("l.n").alias("n"), F.col("__set").bitwiseXOR(F.col("l.h")).alias("context"))
 
 
 def frequent_lines(lines: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -144,7 +142,6 @@ def quality_rules(
         texts.withColumn("__words", word_array(text))
         .withColumn("__split", F.filter(F.split(text, "\n", -1), has_word))
         .withColumn("__all", hashed)
-        .withColumn("__hashes", F.sort_array(F.array_distinct(F.transform("__all", lambda x: x["h"]))))
         .select(
             *kept,
             "__host",
@@ -155,10 +152,7 @@ def quality_rules(
             (F.size("__split") - F.size(F.array_distinct("__split"))).cast("long").alias("n_dup_lines"),
             repeated_window_words(F.col("__words")).alias("n_repeat_words"),
             F.col("__all").alias("__lines"),
-            F.get("__hashes", F.lit(0)).alias("__low"),
-            F.get("__hashes", F.lit(1)).alias("__low2"),
-            F.get("__hashes", F.size("__hashes") - 1).alias("__high"),
-            F.get("__hashes", F.size("__hashes") - 2).alias("__high2"),
+            set_hash(F.transform("__all", lambda x: x["h"])).alias("__set"),
             F.monotonically_increasing_id().alias(row_id),
         )
     )

@@ -124,6 +124,20 @@ def test_quality_rules_remove_notices_and_spare_copies(spark):
     assert all(got[i]["kept"] for i in range(400, 480))
 
 
+def random_line(r, n):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_quality_rules_count_documents_under_a_long_notice(spark):
+    r = random.Random(11)
+    notice = [random_line(r, 6) for _ in range(20)]
+    rows = [(i, "\n".join([*notice, random_line(r, 40)]), "h") for i in range(100)]
+    rows += [(200 + i, "\n".join(random_line(r, 11) for _ in range(4)), "h") for i in range(50)]
+    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), clean_text=True).collect()}
+    assert all(got[i]["kept"] and got[i]["n_removed_words"] == 120 and got[i]["clean_text"] == rows[i][1].split("\n")[-1] for i in range(100))
+    assert all(got[200 + i]["kept"] and got[200 + i]["n_removed_words"] == 0 for i in range(50))
+
+
 def test_sharding_laws(spark):
     path = f"{shared_dir(spark)}/map-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{SF}/documents.parquet")
