@@ -9,7 +9,16 @@ symbols, repeated lines and windows) come first.
 one document, not a thousand, and a passage isn't boilerplate because its
 document was copied. A document therefore counts, for a given line, by the set
 of all other lines around it, as one order-free hash: copies share it; unrelated
-documents that carry the same notice don't, however long the notice.
+documents that carry the same notice don't, however long the notice. Near copies
+share it too: lines of a host that are edits of each other (Jaccard of their
+word sets at least ``SAME_LINE``, linked over any number of steps) stand in the
+set as one family. A line put in, left out or replaced as a whole makes another
+document, as by content it is the same case as a notice with a body of one line.
+Families can only lower a count, so they are sought only among the documents
+with a line above the limits without them. Links are found over the
+``LINE_KEYS`` least hashes of a line's word pairs (next or next but one, so that
+one word can't spoil all pairs of a line of three words or more), through the
+most frequent line with the same hash.
 
 *Limits.* A line is removed where it is found in over ``min_documents``
 distinct documents of its host and in over ``max_share`` of them. A document is
@@ -28,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, WORD_PATTERN, bitmap_split, fresh, staged, text_or_empty
+from .graph import components
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -37,6 +47,8 @@ MAX_SHARE = 0.005
 MAX_REMOVED = 0.8
 SYMBOLS = "#*$%&|<>"
 SALTS = 16
+SAME_LINE = 0.6
+LINE_KEYS = 8
 
 
 def word_array(text: Column) -> Column:
@@ -99,6 +111,72 @@ def _line_rows(measured: DataFrame, row_id: str) -> DataFrame:
     return lines.select(row_id, "__host", F.col("l.h").alias("line"), F.col("l.n").alias("n"), F.col("__set").bitwiseXOR(F.col("l.h")).alias("context"))
 
 
+def _pair_keys(words: Column) -> Column:
+    """The least hashes of the pairs of words next to each other or next but one."""
+    pairs = F.flatten(F.transform(words, lambda w, i: F.transform(F.slice(words, i + 2, 2), lambda v: F.xxhash64(w, v))))
+    return F.slice(F.array_sort(F.array_distinct(pairs)), 1, LINE_KEYS)
+
+
+def line_families(lines: DataFrame) -> DataFrame:
+    """(node, component) of the lines that are edits of others.
+
+    ``lines``: __host, line, normal and found, one row each. A node is the hash
+    of host and line. Every key ties its lines to its most frequent one.
+    """
+    words = F.transform(F.split("normal", " "), lambda w: F.hash(w))
+    nodes = lines.select(F.xxhash64("__host", "line").alias("node"), F.xxhash64("__host").alias("host"), "found", words.alias("words"))
+    nodes = staged(nodes.select("node", "host", "found", F.array_distinct("words").alias("bag"), _pair_keys(F.col("words")).alias("pairs")), "line-words")
+    keyed = nodes.select("node", "host", "found", F.size("bag").alias("size"), F.explode("pairs").alias("pair"))
+    hubs = keyed.groupBy("host", "pair").agg(F.max(F.struct("found", "node", "size")).alias("hub"), F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    # A common pair's lines are many and its hub is one: both sides are salted.
+    hubs = hubs.select(F.col("host").alias("host2"), F.col("pair").alias("pair2"), F.col("hub.node").alias("b"), F.col("hub.size").alias("size2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+    tied = keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(hubs, (F.col("host") == F.col("host2")) & (F.col("pair") == F.col("pair2")) & (F.col("salt") == F.col("salt2")))
+    tied = tied.filter((F.col("node") != F.col("b")) & (F.least("size", "size2") >= F.greatest("size", "size2") * SAME_LINE))
+    tied = tied.select(F.col("node").alias("a"), "b").distinct()
+    # A hub's links may be many; they are spread by the adaptive join.
+    ours, theirs = nodes.select("node", F.col("bag").alias("words")), nodes.select(F.col("node").alias("node2"), F.col("bag").alias("words2"))
+    near = (
+        tied.join(ours, F.col("a") == F.col("node"))
+        .join(theirs, F.col("b") == F.col("node2"))
+        .withColumn("shared", F.size(F.array_intersect("words", "words2")))
+        .filter(F.col("shared") >= (F.size("words") + F.size("words2") - F.col("shared")) * SAME_LINE)
+    )
+    return components(near.select("a", "b"))
+
+
+def _found_in(lines: DataFrame, frequent: DataFrame, salt_by: str) -> DataFrame:
+    """The rows of ``lines`` whose line is frequent in their host.
+
+    A frequent line's rows are many and its key is one: both sides are salted.
+    """
+    salted = frequent.select(F.col("__host").alias("__name"), F.col("line").alias("__line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salt = F.pmod(F.hash(salt_by), F.lit(SALTS))
+    return lines.join(salted, F.col("__host").eqNullSafe(F.col("__name")) & (F.col("line") == F.col("__line")) & (salt == F.col("__salt")), "left_semi")
+
+
+def without_near_copies(frequent: DataFrame, lines: DataFrame, measured: DataFrame, row_id: str) -> DataFrame:
+    """(__host, line, context) of frequent lines, near copies with one context.
+
+    Only one document of each set of lines that has a frequent line is looked
+    at, and the few that share a bit with such a one.
+    """
+    whole_set = F.col("context").bitwiseXOR(F.col("line"))
+    chosen = _found_in(lines, frequent, row_id).groupBy("__host", whole_set.alias("__set")).agg(F.min(row_id).alias("id")).select(F.xxhash64("id").alias("__mark"))
+    looked = bitmap_split(measured.withColumn("__mark", F.xxhash64(row_id)), "__mark", chosen)[0]
+    split = F.transform(F.filter(F.split("__text", "\n", -1), lambda x: F.rlike(x, F.lit(WORD_PATTERN))), normal_line)
+    texts = looked.select("__host", F.explode(F.array_distinct(split)).alias("normal")).select("__host", F.xxhash64("normal").alias("line"), "normal")
+    rows = looked.select("__host", "__set", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["h"]))).alias("line"))
+    families = line_families(texts.groupBy("__host", "line").agg(F.any_value("normal").alias("normal"), F.count(F.lit(1)).alias("found")))
+    families = families.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = rows.select("__host", "__set", "line", F.xxhash64("__host", "line").alias("own"), F.pmod(F.hash("__set"), F.lit(SALTS)).alias("own_salt"))
+    named = named.join(families, (F.col("own") == F.col("node")) & (F.col("own_salt") == F.col("salt")), "left").select("__host", "__set", "line", F.coalesce("component", "own").alias("family"))
+    named = staged(named.distinct(), "line-families")
+    whole = named.select("__host", "__set", "family").distinct().groupBy("__host", "__set").agg(F.bit_xor("family").alias("whole"))
+    whole = whole.withColumnRenamed("__host", "__name2").withColumnRenamed("__set", "__set2")
+    carried = _found_in(named, frequent, "__set").join(whole, F.col("__host").eqNullSafe(F.col("__name2")) & (F.col("__set") == F.col("__set2")))
+    return carried.select("__host", "line", F.col("whole").bitwiseXOR(F.col("family")).alias("context"))
+
+
 def frequent_lines(lines: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
     """(__host, line) above both limits; counts are summed before they are moved."""
     counted = lines.select("__host", "line", "context").distinct().groupBy("__host", "line").agg(F.count(F.lit(1)).alias("found"))
@@ -145,7 +223,7 @@ def quality_rules(
         .select(
             *kept,
             "__host",
-            *([F.col("__text")] if clean_text else []),
+            "__text",
             F.size("__words").cast("long").alias("n_words"),
             (F.length("__text") - F.regexp_count("__text", F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
             (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -158,12 +236,12 @@ def quality_rules(
     )
     measured = staged(measured, "quality")  # row ids are settled here
     lines = _line_rows(measured, row_id)
-    frequent = frequent_lines(lines, measured, min_documents, max_share)
-    # A frequent line's rows are many and its key is one: both sides are salted.
-    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("__host", "__name").withColumnRenamed("line", "__line")
+    frequent = staged(frequent_lines(lines, measured, min_documents, max_share), "frequent")
+    if not frequent.isEmpty():
+        spared = without_near_copies(frequent, lines, measured, row_id)
+        frequent = staged(frequent_lines(spared, measured, min_documents, max_share), "frequent")
     removed = (
-        lines.withColumn("salt", F.pmod(F.hash(row_id), F.lit(SALTS)))
-        .join(salted.withColumnRenamed("salt", "__salt"), F.col("__host").eqNullSafe(F.col("__name")) & (F.col("line") == F.col("__line")) & (F.col("salt") == F.col("__salt")))
+        _found_in(lines, frequent, row_id)
         .groupBy(row_id)
         .agg(F.sum("n").alias("n_removed_words"), *([F.collect_set("line").alias("removed_lines")] if listed else []))
     )

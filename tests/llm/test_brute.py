@@ -138,6 +138,26 @@ def test_quality_rules_count_documents_under_a_long_notice(spark):
     assert all(got[200 + i]["kept"] and got[200 + i]["n_removed_words"] == 0 for i in range(50))
 
 
+def test_quality_rules_spare_near_copies_with_random_edits(spark):
+    r = random.Random(12)
+    rows = []
+    for size, length in ((300, 3), (300, 5), (300, 10)):
+        base = [random_line(r, 11).split() for _ in range(length)]
+        for _ in range(size):
+            copy = [list(x) for x in base]
+            copy[r.randrange(length)][r.randrange(11)] = random_line(r, 1)
+            rows.append((len(rows), "\n".join(map(" ".join, copy)), "h"))
+    n = len(rows)
+    base = [random_line(r, 11) for _ in range(6)]
+    rows += [(len(rows) + i, "\n".join([*base[:5], base[5] + " " + random_line(r, 1)]), "h") for i in range(80)]
+    m = len(rows)
+    notice = [random_line(r, 6) for _ in range(20)]
+    rows += [(m + i, "\n".join([*notice, random_line(r, 40)]), "h") for i in range(100)]
+    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["kept"] and got[i]["n_removed_words"] == 0 for i in range(m)), (n, m)
+    assert all(got[m + i]["kept"] and got[m + i]["n_removed_words"] == 120 for i in range(100))
+
+
 def test_sharding_laws(spark):
     path = f"{shared_dir(spark)}/map-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{SF}/documents.parquet")
