@@ -85,10 +85,11 @@ def chunk_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def chunks(docs: DataFrame, id_column: str, text_column: str, source_chars: int = SOURCE_CHARS) -> DataFrame:
+def chunks(docs: DataFrame, id_column: str, text_column: str, source_chars: int | None = SOURCE_CHARS) -> DataFrame:
     """(id, chunk_index, start_char, end_char, text, source_text_hash) of every chunk.
 
     The end of one chunk sets the start of the next, so a text is walked in Python.
+    ``source_chars``: characters taken of each text; None for whole texts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +98,7 @@ def chunks(docs: DataFrame, id_column: str, text_column: str, source_chars: int
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "start_char", "end_char", "text", "source_text_hash"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    cut = F.substring(F.col(text_column), 1, source_chars)
+    cut = F.col(text_column) if source_chars is None else F.substring(F.col(text_column), 1, source_chars)
     source = docs.select(F.col(id_column).alias("id"), cut.alias("text"), F.sha2(cut, 256).alias("digest"))
     return source.mapInPandas(run, f"id {kind}, chunk_index int, start_char int, end_char int, text string, source_text_hash string")
 

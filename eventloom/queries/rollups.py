@@ -123,7 +123,7 @@ def embedding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk spans of every whole document (no SQL: each end depends on the last)."""
-    return vectors.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
+    return vectors.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", source_chars=None).select(F.col("id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
 
 
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:

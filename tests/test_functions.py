@@ -127,3 +127,13 @@ def test_snippets(spark):
     assert "needle here" in got[0]["s"]["snippet"] and len(got[0]["s"]["snippet"]) == 320 and got[0]["s"]["truncated"]
     assert got[1]["s"]["snippet"] == "short needle" and not got[1]["s"]["truncated"]
     assert got[2]["s"]["snippet"] == ""
+
+
+def test_document_chunks_cover_whole_texts(spark, tmp_path):
+    from eventloom.queries import rollups
+
+    text = "some words of a text " * 5000
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(rollups.document_chunks(spark, str(tmp_path)).select("start_char", "end_char").collect())
+    assert [tuple(r) for r in rows] == vectors.chunk_spans(text)
+    assert rows[-1]["end_char"] == len(text) > vectors.SOURCE_CHARS
