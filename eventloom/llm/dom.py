@@ -14,6 +14,8 @@ PIECE = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 DROPPED = frozenset("head script style textarea title noscript iframe template svg math object canvas audio video select option optgroup button input label datalist".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+CONTROLS = frozenset("select option optgroup button label datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "legend li main menu nav ol p pre search section summary table caption colgroup thead tbody tfoot tr td th ul".split()
@@ -64,6 +66,7 @@ def parse(page: str) -> list[Node]:
     root = Node("html", None, "", 0)
     nodes, open_tags, open_nodes = [root], ["html"], [root]
     dropped = None  # the dropped element we are in, and how deep
+    inner: list[str] = []  # open blocks in a dropped control, templates in a head
     depth = in_link = at = 0
     owner: list[Node | None] = [root]  # of open_tags: its node if it is a block
 
@@ -103,7 +106,14 @@ def parse(page: str) -> list[Node]:
                     depth -= 1
                     if not depth:
                         dropped = None
-                continue
+                    continue
+                if tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                if dropped not in CONTROLS or tag not in BLOCK or tag not in open_tags[1:]:
+                    continue
+                dropped = None  # an enclosing block closes
             if tag in ("html", "body"):
                 continue
             for k in range(len(open_tags) - 1, 0, -1):
@@ -113,7 +123,15 @@ def parse(page: str) -> list[Node]:
                 if tag not in BLOCK and owner[k] is not None:
                     break  # an inline end tag doesn't reach out of its block
             continue
+        if dropped == "head" and not inner and tag not in IN_HEAD:
+            dropped = None
+        elif dropped in CONTROLS and not inner and tag in BLOCK:
+            around = open_nodes[-1].tag
+            if (around == "p" and tag in CLOSES_P and dropped != "button") or (tag in SAME_ENDS and around in SAME_ENDS[tag][0].split()):
+                dropped = None  # an enclosing block closes by this start tag
         if dropped is not None:
+            if tag == "template" if dropped == "head" else dropped in CONTROLS and tag in BLOCK and tag != "hr":
+                inner.append(tag)
             if tag == dropped and not m[3].rstrip().endswith("/"):
                 depth += 1
         elif tag == "html":
@@ -123,7 +141,7 @@ def parse(page: str) -> list[Node]:
         elif tag in DROPPED:
             open_nodes[-1].controls += tag in ("input", "textarea", "select", "button", "label")
             if tag not in VOID and not m[3].endswith("/"):
-                dropped, depth = tag, 1
+                dropped, depth, inner = tag, 1, []
         elif tag in VOID and tag != "hr":
             open_nodes[-1].tags += 1
         else:

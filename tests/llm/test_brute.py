@@ -158,6 +158,18 @@ def test_quality_rules_spare_near_copies_with_random_edits(spark):
     assert all(got[m + i]["kept"] and got[m + i]["n_removed_words"] == 120 for i in range(100))
 
 
+def test_dropped_elements_end_without_their_end_tags():
+    shown = lambda page: " ".join(x.strip() for n in dom.parse(page) for x in n.parts if isinstance(x, str) and x.strip())
+    assert shown("<head><title>x</title><meta charset=a><body><article><p>Main words.</p></article>") == "Main words."
+    assert shown("<head><title>x</title><template><div>no</div></template><div>yes</div>") == "yes"
+    assert shown("<html><head><title>x</title></head><body><p>yes</p></body></html>") == "yes"
+    for control in ("label", "button", "option"):
+        assert shown(f"<form><div><{control}>no</div></form><p>yes</p>") == "yes"
+        assert shown(f"<div><{control}><div>no</div> nor this</{control}> yes</div>") == "yes"
+        assert shown(f"<ul><li><{control}>no<li>yes</ul>") == "yes"
+    assert shown("<p><label>no<p>yes") == "yes"
+
+
 def test_sharding_laws(spark):
     path = f"{shared_dir(spark)}/map-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{SF}/documents.parquet")
