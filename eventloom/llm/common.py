@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,19 +21,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_temporary: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary one is
-    made and set.
+    A session on this machine alone may go without: a temporary folder is made
+    and set. On a cluster that would lose rows, so there it is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="eventloom-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _temporary.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="eventloom-"))
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, to be deleted by ``release``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -40,18 +55,46 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     the whole history, and rows that were numbered keep their numbers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark(spark: SparkSession) -> int:
+    """What ``release`` takes to delete only what is written from here on."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch tables of this application, or those since ``mark``.
+
+    For callers that have read or written an operator's result; a result that
+    is still to be computed needs its tables.
+    """
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    configuration = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths[mark:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+    del paths[mark:]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Bound the rows of one Arrow batch of whole texts; Spark bounds its bytes.
+
+    Operators planned earlier keep their bounds: these only ever get tighter.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, rows if now <= 0 else min(now, rows))
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -62,6 +105,21 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def kept_columns(docs: DataFrame, keep: list[str] | None, own: list[str]) -> list[str]:
+    """The columns to pass through: all, or ``keep``, but for those that ``own`` replace."""
+    low = {x.lower() for x in own}
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in low]
+
+
+def packed(columns: list[str]) -> Column:
+    """The columns as one struct, ``kept``: no name in it can clash with another."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in columns], *([] if columns else [F.lit(None).cast("int").alias("none")])).alias("kept")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"kept.{quoted(c)}").alias(c) for c in columns]
+
+
 #: Arrow types of the columns that operators add.
 ARROW = {
     "long": (T.LongType(), pa.int64()),
@@ -93,8 +151,8 @@ def map_texts(docs: DataFrame, kept: list[str], text_column: str, added: dict[st
             yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
     fields = [*[docs.schema[c] for c in kept], *[T.StructField(n, ARROW[t][0]) for n, t in added.items()]]
-    text = F.col(text_column).cast("string").alias(fresh("__text", kept))
-    return docs.select(*kept, text).mapInArrow(run, T.StructType(fields))
+    text = F.col(quoted(text_column)).cast("string").alias(fresh("__text", kept))
+    return docs.select(*[F.col(quoted(c)) for c in kept], text).mapInArrow(run, T.StructType(fields))
 
 
 BITMAP_BITS = 1 << 23
@@ -108,13 +166,34 @@ def bitmap_split(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFram
     surely aren't marked and need no shuffle. The more is marked the fewer go
     that way; which rows are marked an exact join has to say.
     """
+    place, word, mask = (fresh(n, rows.columns) for n in ("__bit", "__word", "__mask"))
     bit = F.pmod(F.col(key), F.lit(BITMAP_BITS))
     words = (
-        marked.select(bit.alias("bit"))
-        .groupBy(F.floor(F.col("bit") / 64).alias("__word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("__mask"))
+        marked.select(bit.alias(place))
+        .groupBy(F.floor(F.col(place) / 64).alias(word))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias(mask))
     )
     words = staged(words, "bitmap")
-    tested = rows.withColumn("__bit", bit).withColumn("__word", F.floor(F.col("__bit") / 64)).join(F.broadcast(words), "__word", "left")
-    hit = F.coalesce(F.expr("(__mask & shiftleft(1L, cast(__bit % 64 as int))) <> 0"), F.lit(False))
-    return tuple(tested.filter(t).select(*rows.columns) for t in (hit, ~hit))
+    tested = rows.withColumn(place, bit).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.expr(f"({mask} & shiftleft(1L, cast({place} % 64 as int))) <> 0"), F.lit(False))
+    columns = [F.col(quoted(c)) for c in rows.columns]
+    return tuple(tested.filter(t).select(*columns) for t in (hit, ~hit))
+
+
+HOT_KEYS = 1024
+
+
+def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left_semi or left) with ``table``, one row a key.
+
+    ``weight``: how many of ``rows`` have that key. Keys with over 1 / HOT_KEYS
+    of all the weight are fewer than HOT_KEYS, so they are sent to all tasks;
+    of the others none holds more than that share of a shuffle. Whatever the
+    keys, no task gets a group much larger than a thousandth of the rows.
+    """
+    total = fresh("__all", table.columns)
+    weighed = table.join(F.broadcast(table.agg(F.sum(weight).alias(total))))  # one row
+    hot = weighed.filter(F.col(weight) * HOT_KEYS > F.col(total)).drop(total, weight)
+    cold = weighed.filter(F.col(weight) * HOT_KEYS <= F.col(total)).drop(total, weight)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how).unionByName(others.join(cold, keys, how))

@@ -5,39 +5,31 @@ that carry it are counted; lines above the limits are removed; documents that
 are left depleted are rejected. Rules within one document (word counts,
 symbols, repeated lines and windows) come first.
 
-*Distinct documents.* A host that serves the same text a thousand times has
-one document, not a thousand, and a passage isn't boilerplate because its
-document was copied. A document therefore counts, for a given line, by the set
-of all other lines around it, as one order-free hash: copies share it; unrelated
-documents that carry the same notice don't, however long the notice. Near copies
-share it too: lines of a host that are edits of each other (Jaccard of their
-word sets at least ``SAME_LINE``, linked over any number of steps) stand in the
-set as one family. A line put in, left out or replaced as a whole makes another
-document, as by content it is the same case as a notice with a body of one line.
-Families can only lower a count, so they are sought only among the documents
-with a line above the limits without them. Links are found over the
-``LINE_KEYS`` least hashes of a line's word pairs (next or next but one, so that
-one word can't spoil all pairs of a line of three words or more), through the
-most frequent line with the same hash.
+*Distinct documents.* Documents of a host with equal whole texts are one, so a
+passage isn't boilerplate because its document was served again. Near copies
+are documents of their own: lines that over ``min_documents`` of them share are
+removed like any other line. Finding near copies is the join's business.
 
 *Limits.* A line is removed where it is found in over ``min_documents``
 distinct documents of its host and in over ``max_share`` of them. A document is
 depleted if the lines removed hold over ``max_removed`` of its words or fewer
 than ``min_words`` words are left.
 
+Hosts, lines and texts are known by 64-bit hashes; equal hashes are taken for
+equality.
+
 Defined results: null text counts as empty and fails; the null host is a host;
 repeated rows are judged alike and all kept in the result; a line without a
 word is never counted; an empty table gives an empty result. Added columns
-replace input columns of the same name.
+replace input columns of the same name in any case of letters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_PATTERN, bitmap_split, fresh, staged, text_or_empty
-from .graph import components
+from .common import SPACE_CLASS, WORD_PATTERN, bitmap_split, kept_columns, packed, quoted, skew_join, staged, text_or_empty, unpacked
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -46,9 +38,6 @@ MIN_DOCUMENTS = 20
 MAX_SHARE = 0.005
 MAX_REMOVED = 0.8
 SYMBOLS = "#*$%&|<>"
-SALTS = 16
-SAME_LINE = 0.6
-LINE_KEYS = 8
 
 
 def word_array(text: Column) -> Column:
@@ -100,93 +89,16 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE_CLASS + "+", " "))
 
 
-def set_hash(hashes: Column) -> Column:
-    """Hash of a set of 64-bit hashes; without one of them it is its XOR with that one."""
-    return F.aggregate(F.array_distinct(hashes), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
-
-
-def _line_rows(measured: DataFrame, row_id: str) -> DataFrame:
-    """One row for each line of a document: host, line hash, words, context."""
-    lines = measured.select(row_id, "__host", F.explode("__lines").alias("l"), "__set")
-    return lines.select(row_id, "__host", F.col("l.h").alias("line"), F.col("l.n").alias("n"), F.col("__set").bitwiseXOR(F.col("l.h")).alias("context"))
-
-
-def _pair_keys(words: Column) -> Column:
-    """The least hashes of the pairs of words next to each other or next but one."""
-    pairs = F.flatten(F.transform(words, lambda w, i: F.transform(F.slice(words, i + 2, 2), lambda v: F.xxhash64(w, v))))
-    return F.slice(F.array_sort(F.array_distinct(pairs)), 1, LINE_KEYS)
+def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, line, rows) above both limits; ``lines``: host, line and document.
 
-
-def line_families(lines: DataFrame) -> DataFrame:
-    """(node, component) of the lines that are edits of others.
-
-    ``lines``: __host, line, normal and found, one row each. A node is the hash
-    of host and line. Every key ties its lines to its most frequent one.
+    Documents are told apart before they are counted, so no line's documents
+    are ever gathered, and counts are summed in each task before they are moved.
     """
-    words = F.transform(F.split("normal", " "), lambda w: F.hash(w))
-    nodes = lines.select(F.xxhash64("__host", "line").alias("node"), F.xxhash64("__host").alias("host"), "found", words.alias("words"))
-    nodes = staged(nodes.select("node", "host", "found", F.array_distinct("words").alias("bag"), _pair_keys(F.col("words")).alias("pairs")), "line-words")
-    keyed = nodes.select("node", "host", "found", F.size("bag").alias("size"), F.explode("pairs").alias("pair"))
-    hubs = keyed.groupBy("host", "pair").agg(F.max(F.struct("found", "node", "size")).alias("hub"), F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    # A common pair's lines are many and its hub is one: both sides are salted.
-    hubs = hubs.select(F.col("host").alias("host2"), F.col("pair").alias("pair2"), F.col("hub.node").alias("b"), F.col("hub.size").alias("size2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
-    tied = keyed.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(hubs, (F.col("host") == F.col("host2")) & (F.col("pair") == F.col("pair2")) & (F.col("salt") == F.col("salt2")))
-    tied = tied.filter((F.col("node") != F.col("b")) & (F.least("size", "size2") >= F.greatest("size", "size2") * SAME_LINE))
-    tied = tied.select(F.col("node").alias("a"), "b").distinct()
-    # A hub's links may be many; they are spread by the adaptive join.
-    ours, theirs = nodes.select("node", F.col("bag").alias("words")), nodes.select(F.col("node").alias("node2"), F.col("bag").alias("words2"))
-    near = (
-        tied.join(ours, F.col("a") == F.col("node"))
-        .join(theirs, F.col("b") == F.col("node2"))
-        .withColumn("shared", F.size(F.array_intersect("words", "words2")))
-        .filter(F.col("shared") >= (F.size("words") + F.size("words2") - F.col("shared")) * SAME_LINE)
-    )
-    return components(near.select("a", "b"))
-
-
-def _found_in(lines: DataFrame, frequent: DataFrame, salt_by: str) -> DataFrame:
-    """The rows of ``lines`` whose line is frequent in their host.
-
-    A frequent line's rows are many and its key is one: both sides are salted.
-    """
-    salted = frequent.select(F.col("__host").alias("__name"), F.col("line").alias("__line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    salt = F.pmod(F.hash(salt_by), F.lit(SALTS))
-    return lines.join(salted, F.col("__host").eqNullSafe(F.col("__name")) & (F.col("line") == F.col("__line")) & (salt == F.col("__salt")), "left_semi")
-
-
-def without_near_copies(frequent: DataFrame, lines: DataFrame, measured: DataFrame, row_id: str) -> DataFrame:
-    """(__host, line, context) of frequent lines, near copies with one context.
-
-    Only one document of each set of lines that has a frequent line is looked
-    at, and the few that share a bit with such a one.
-    """
-    whole_set = F.col("context").bitwiseXOR(F.col("line"))
-    chosen = _found_in(lines, frequent, row_id).groupBy("__host", whole_set.alias("__set")).agg(F.min(row_id).alias("id")).select(F.xxhash64("id").alias("__mark"))
-    looked = bitmap_split(measured.withColumn("__mark", F.xxhash64(row_id)), "__mark", chosen)[0]
-    split = F.transform(F.filter(F.split("__text", "\n", -1), lambda x: F.rlike(x, F.lit(WORD_PATTERN))), normal_line)
-    texts = looked.select("__host", F.explode(F.array_distinct(split)).alias("normal")).select("__host", F.xxhash64("normal").alias("line"), "normal")
-    rows = looked.select("__host", "__set", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["h"]))).alias("line"))
-    families = line_families(texts.groupBy("__host", "line").agg(F.any_value("normal").alias("normal"), F.count(F.lit(1)).alias("found")))
-    families = families.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = rows.select("__host", "__set", "line", F.xxhash64("__host", "line").alias("own"), F.pmod(F.hash("__set"), F.lit(SALTS)).alias("own_salt"))
-    named = named.join(families, (F.col("own") == F.col("node")) & (F.col("own_salt") == F.col("salt")), "left").select("__host", "__set", "line", F.coalesce("component", "own").alias("family"))
-    named = staged(named.distinct(), "line-families")
-    whole = named.select("__host", "__set", "family").distinct().groupBy("__host", "__set").agg(F.bit_xor("family").alias("whole"))
-    whole = whole.withColumnRenamed("__host", "__name2").withColumnRenamed("__set", "__set2")
-    carried = _found_in(named, frequent, "__set").join(whole, F.col("__host").eqNullSafe(F.col("__name2")) & (F.col("__set") == F.col("__set2")))
-    return carried.select("__host", "line", F.col("whole").bitwiseXOR(F.col("family")).alias("context"))
-
-
-def frequent_lines(lines: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(__host, line) above both limits; counts are summed before they are moved."""
-    counted = lines.select("__host", "line", "context").distinct().groupBy("__host", "line").agg(F.count(F.lit(1)).alias("found"))
-    hosts = documents.groupBy("__host").agg(F.count(F.lit(1)).alias("documents")).withColumnRenamed("__host", "__name")
-    return (
-        counted.filter(F.col("found") > min_documents)
-        .join(hosts, F.col("__host").eqNullSafe(F.col("__name")))
-        .filter(F.col("found") > F.col("documents") * max_share)
-        .select("__host", "line")
-    )
+    once = lines.groupBy("host", "line", "document").agg(F.count(F.lit(1)).alias("rows"))
+    counted = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("found"), F.sum("rows").alias("rows")).filter(F.col("found") > min_documents)
+    hosts = lines.select("host", "document").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
+    return counted.join(hosts, "host").filter(F.col("found") > F.col("documents") * max_share).select("host", "line", "rows")
 
 
 def quality_rules(
@@ -209,50 +121,58 @@ def quality_rules(
     the hashes of these lines (null if none).
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "clean_text", "removed_lines"]
-    listed = clean_text or removed_lines
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
-    row_id = fresh("__row", kept)
-    text = F.col("__text")
+    columns = kept_columns(docs, keep, own)
+    text = F.col("text")
     has_word = lambda line: F.rlike(line, F.lit(WORD_PATTERN))
-    hashed = F.transform(F.col("__split"), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD_PATTERN)).cast("int").alias("n")))
-    texts = docs.select(*[F.col(c) for c in kept], F.col(host_column).alias("__host"), text_or_empty(text_column).alias("__text"))
+    hashed = F.transform(F.col("split"), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD_PATTERN)).cast("int").alias("n")))
+    host = F.col(quoted(host_column))
+    texts = docs.select(packed(columns), F.xxhash64(host.isNull(), host.cast("string")).alias("host"), text_or_empty(text_column).alias("text"))
     measured = (
-        texts.withColumn("__words", word_array(text))
-        .withColumn("__split", F.filter(F.split(text, "\n", -1), has_word))
-        .withColumn("__all", hashed)
+        texts.withColumn("words", word_array(text))
+        .withColumn("split", F.filter(F.split(text, "\n", -1), has_word))
         .select(
-            *kept,
-            "__host",
-            "__text",
-            F.size("__words").cast("long").alias("n_words"),
-            (F.length("__text") - F.regexp_count("__text", F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
-            (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("__split") - F.size(F.array_distinct("__split"))).cast("long").alias("n_dup_lines"),
-            repeated_window_words(F.col("__words")).alias("n_repeat_words"),
-            F.col("__all").alias("__lines"),
-            set_hash(F.transform("__all", lambda x: x["h"])).alias("__set"),
-            F.monotonically_increasing_id().alias(row_id),
+            "kept",
+            "host",
+            *(["text"] if clean_text else []),
+            F.xxhash64("text").alias("document"),
+            F.size("words").cast("long").alias("n_words"),
+            (F.length("text") - F.regexp_count("text", F.lit(SPACE_CLASS))).cast("long").alias("word_chars"),
+            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size("split") - F.size(F.array_distinct("split"))).cast("long").alias("n_dup_lines"),
+            repeated_window_words(F.col("words")).alias("n_repeat_words"),
+            hashed.alias("lines"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    measured = staged(measured, "quality")  # row ids are settled here
-    lines = _line_rows(measured, row_id)
-    frequent = staged(frequent_lines(lines, measured, min_documents, max_share), "frequent")
-    if not frequent.isEmpty():
-        spared = without_near_copies(frequent, lines, measured, row_id)
-        frequent = staged(frequent_lines(spared, measured, min_documents, max_share), "frequent")
+    measured = staged(measured, "quality")  # row numbers are settled here
+    distinct = F.array_distinct(F.transform("lines", lambda x: x["h"]))
+    # A document without lines still counts for its host: it comes with a null line.
+    carried = measured.select("host", "document", F.explode_outer(distinct).alias("line"))
+    frequent = staged(frequent_lines(carried, min_documents, max_share).filter(F.col("line").isNotNull()), "frequent")
+    lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.h").alias("line"), F.col("l.n").alias("n"))
+    key = F.xxhash64("host", "line").alias("key")
+    may, _ = bitmap_split(lines.withColumn("key", key), "key", frequent.select(key))
     removed = (
-        _found_in(lines, frequent, row_id)
-        .groupBy(row_id)
-        .agg(F.sum("n").alias("n_removed_words"), *([F.collect_set("line").alias("removed_lines")] if listed else []))
+        skew_join(may.drop("key"), frequent, ["host", "line"], "rows")
+        .groupBy("row")
+        .agg(F.sum("n").alias("n_removed_words"), *([F.collect_set("line").alias("removed_lines")] if clean_text or removed_lines else []))
     )
-    base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    gone_words = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    depleted = (gone_words > 0) & ((gone_words > F.col("n_words") * max_removed) | (F.col("n_words") - gone_words < min_words))
-    out = measured.join(removed, row_id, "left").withColumn("base_failed", base_failed).withColumn("n_removed_words", gone_words).withColumn("kept", ~F.col("base_failed") & ~depleted)
-    if clean_text:
-        out = out.withColumn("clean_text", without_lines("__text"))
-    wanted = {"clean_text": clean_text, "removed_lines": removed_lines}
-    return out.select(*kept, *[c for c in own if wanted.get(c, True)])
+    removed = staged(removed, "removed").withColumnRenamed("row", "row2")
+    # Rows that lose no line need no join.
+    touched, whole = bitmap_split(measured.drop("lines", "document").withColumn("key", F.xxhash64("row")), "key", removed.select(F.xxhash64("row2").alias("key")))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in removed.schema.fields[1:]]
+    out = touched.join(removed, F.col("row") == F.col("row2"), "left").drop("row2").unionByName(whole.select("*", *nothing))
+    gone = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
+    verdict = {
+        "base_failed": (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT),
+        "n_removed_words": gone,
+        "clean_text": without_lines("text") if clean_text else None,
+        "removed_lines": F.col("removed_lines") if removed_lines else None,
+    }
+    depleted = (gone > 0) & ((gone > F.col("n_words") * max_removed) | (F.col("n_words") - gone < min_words))
+    verdict["kept"] = ~verdict["base_failed"] & ~depleted
+    added = [verdict.get(c, F.col(c)) for c in own]
+    return out.select(*unpacked(columns), *[c.alias(n) for c, n in zip(added, own, strict=True) if c is not None])
 
 
 def without_lines(text: str) -> Column:
@@ -268,11 +188,14 @@ def clean_documents(docs: DataFrame, text_column: str = "text", host_column: str
     and only to rows that are rejected or changed (and the few that share a bit
     with one); the others stay where they are.
     """
-    keys = ["__key", "__check"]
-    keyed = docs.withColumn("__key", F.xxhash64(host_column, text_column)).withColumn("__check", F.xxhash64(F.lit(1), F.col(text_column), F.col(host_column)))
-    judged = quality_rules(keyed, text_column, host_column, keep=keys, removed_lines=True, **limits)
-    special = staged(judged.filter(~F.col("kept") | F.col("removed_lines").isNotNull()).select(*keys, "kept", "removed_lines").dropDuplicates(keys), "verdicts")
-    may, rest = bitmap_split(keyed, "__key", special)
-    found = special.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("kept").alias("__kept"), "removed_lines")
-    changed = may.join(found, (F.col("__key") == F.col("__key2")) & (F.col("__check") == F.col("__check2")), "left").filter(F.coalesce("__kept", F.lit(True)))
-    return rest.select(*docs.columns).unionByName(changed.withColumn(text_column, without_lines(text_column)).select(*docs.columns))
+    host, text = F.col(quoted(host_column)), F.col(quoted(text_column))
+    keys = [F.xxhash64(host.isNull(), host, text).alias("key"), F.xxhash64(F.lit(1), text, host, host.isNull()).alias("check")]
+    rows = docs.select(packed(docs.columns), *keys)
+    judged = quality_rules(docs.select(*keys, host.alias("host"), text.alias("text")), "text", "host", keep=["key", "check"], removed_lines=True, **limits)
+    special = judged.filter(~F.col("kept") | F.col("removed_lines").isNotNull()).groupBy("key", "check").agg(F.first("kept").alias("stays"), F.first("removed_lines").alias("removed_lines"), F.count(F.lit(1)).alias("rows"))
+    special = staged(special, "verdicts")
+    may, rest = bitmap_split(rows, "key", special)
+    may = skew_join(may, special, ["key", "check"], "rows", "left").filter(F.coalesce("stays", F.lit(True)))
+    may = may.withColumn("text", F.col("kept").getField(text_column))
+    changed = may.select(*[without_lines("text").alias(c) if c == text_column else x for c, x in zip(docs.columns, unpacked(docs.columns), strict=True)])
+    return rest.select(*unpacked(docs.columns)).unionByName(changed)

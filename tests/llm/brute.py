@@ -56,7 +56,7 @@ def normal_line(line):
 
 def kept_documents(rows, min_documents=20, max_share=0.005, max_removed=0.8):
     """{row number: (kept, lines removed)} of (text, host) rows."""
-    hosts = Counter(h for _, h in rows)
+    hosts = Counter(h for _, h in {(t or "", h) for t, h in rows})
     found = defaultdict(set)
     split = []
     for text, host in rows:
@@ -64,7 +64,7 @@ def kept_documents(rows, min_documents=20, max_share=0.005, max_removed=0.8):
         normal = [normal_line(x) for x in lines]
         split.append((lines, normal))
         for x in set(normal):
-            found[host, x].add(frozenset(set(normal) - {x}))
+            found[host, x].add(text)
     out = {}
     for i, (text, host) in enumerate(rows):
         n, _, _, _, repeat = quality(text)

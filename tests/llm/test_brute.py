@@ -107,55 +107,65 @@ def test_quality_rules_on_documents(spark):
         assert r["kept"] == kept[i][0]
 
 
+def judged(spark, rows, **more):
+    """Verdicts by id, held against the plain version."""
+    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), clean_text=True, **more).collect()}
+    kept = brute.kept_documents([(t, s) for _, t, s in rows])
+    for i, (doc_id, text, _) in enumerate(rows):
+        assert got[doc_id]["kept"] == kept[i][0]
+        left = [x for x in (text or "").split("\n") if not brute.WORD.search(x) or brute.normal_line(x) not in kept[i][1]]
+        assert got[doc_id]["clean_text"] == "\n".join(left)
+    return got
+
+
+def random_line(r, n):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
 def test_quality_rules_remove_notices_and_spare_copies(spark):
     r = random.Random(1)
-    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
     notice = "Share this page with your friends 2024"
-    rows = [(i, "\n".join([line(12), notice.replace("2024", str(i)), line(9)]), "h") for i in range(60)]
-    rows += [(100 + i, f"{notice}\n{notice.upper()}\nall we have", "h") for i in range(5)]
-    copied = "\n".join(line(11) for _ in range(4))
+    rows = [(i, "\n".join([random_line(r, 12), notice.replace("2024", str(i)), random_line(r, 9)]), "h") for i in range(60)]
+    rows += [(100 + i, f"{notice}\n{notice.upper()}\nall we have {i}", "h") for i in range(5)]
+    copied = "\n".join(random_line(r, 11) for _ in range(4))
     rows += [(200 + i, copied, "h") for i in range(80)]
-    near = [line(11) for _ in range(6)]
-    rows += [(400 + i, "\n".join(near[:5] + [near[5] + f" extra{i}x"]), "h") for i in range(80)]
-    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), clean_text=True).collect()}
+    got = judged(spark, rows)
     assert all(got[i]["kept"] and got[i]["n_removed_words"] == 7 and "Share" not in got[i]["clean_text"] for i in range(60))
     assert not any(got[100 + i]["kept"] for i in range(5))
     assert all(got[i]["kept"] and got[i]["clean_text"] == copied for i in range(200, 280))
-    assert all(got[i]["kept"] for i in range(400, 480))
-
 
-def random_line(r, n):
-    return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
 
-
-def test_quality_rules_count_documents_under_a_long_notice(spark):
+def test_quality_rules_count_documents_of_a_template(spark):
     r = random.Random(11)
-    notice = [random_line(r, 6) for _ in range(20)]
-    rows = [(i, "\n".join([*notice, random_line(r, 40)]), "h") for i in range(100)]
-    rows += [(200 + i, "\n".join(random_line(r, 11) for _ in range(4)), "h") for i in range(50)]
-    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), clean_text=True).collect()}
-    assert all(got[i]["kept"] and got[i]["n_removed_words"] == 120 and got[i]["clean_text"] == rows[i][1].split("\n")[-1] for i in range(100))
-    assert all(got[200 + i]["kept"] and got[200 + i]["n_removed_words"] == 0 for i in range(50))
+    shared = [random_line(r, 6) for _ in range(60)]
+    rows = [(i, "\n".join([*shared, random_line(r, 40)]), "h") for i in range(300)]
+    rows += [(400 + i, "\n".join(random_line(r, 11) for _ in range(4)), None) for i in range(50)]
+    got = judged(spark, rows)
+    assert all(got[i]["n_removed_words"] == 360 and got[i]["clean_text"] == rows[i][1].split("\n")[-1] for i in range(300))
+    assert all(got[400 + i]["kept"] and got[400 + i]["n_removed_words"] == 0 for i in range(50))
 
 
-def test_quality_rules_spare_near_copies_with_random_edits(spark):
+def test_quality_rules_on_documents_of_one_line(spark):
     r = random.Random(12)
-    rows = []
-    for size, length in ((300, 3), (300, 5), (300, 10)):
-        base = [random_line(r, 11).split() for _ in range(length)]
-        for _ in range(size):
-            copy = [list(x) for x in base]
-            copy[r.randrange(length)][r.randrange(11)] = random_line(r, 1)
-            rows.append((len(rows), "\n".join(map(" ".join, copy)), "h"))
-    n = len(rows)
-    base = [random_line(r, 11) for _ in range(6)]
-    rows += [(len(rows) + i, "\n".join([*base[:5], base[5] + " " + random_line(r, 1)]), "h") for i in range(80)]
-    m = len(rows)
-    notice = [random_line(r, 6) for _ in range(20)]
-    rows += [(m + i, "\n".join([*notice, random_line(r, 40)]), "h") for i in range(100)]
-    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[i]["kept"] and got[i]["n_removed_words"] == 0 for i in range(m)), (n, m)
-    assert all(got[m + i]["kept"] and got[m + i]["n_removed_words"] == 120 for i in range(100))
+    line = random_line(r, 14)
+    one = [(i, line + "\n" * i, "h") for i in range(300)]  # different texts, one line
+    same = [(400 + i, line, "g") for i in range(300)]  # one text
+    edited = [random_line(r, 12) for _ in range(5)]
+    near = [(800 + i, "\n".join([*edited, random_line(r, 4)]), "f") for i in range(80)]  # copies with an edited line are documents of their own
+    got = judged(spark, [*one, *same, *near])
+    assert not any(got[i]["kept"] for i in range(300)) and all(got[400 + i]["kept"] for i in range(300))
+    assert not any(got[800 + i]["kept"] for i in range(80))
+
+
+def test_clean_documents_are_those_kept(spark):
+    r = random.Random(13)
+    notice = random_line(r, 8)
+    rows = [(i, f"{notice}\n{random_line(r, 30)}", "h", i) for i in range(40)] + [(50, None, "h", 1), (51, "short", None, 2)] + [(60 + i, notice, "h", 5) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `KEY` long")
+    kept = brute.kept_documents([(t, s) for _, t, s, _ in rows])
+    got = quality.clean_documents(frame)
+    assert got.columns == frame.columns
+    assert {(x["doc_id"], x["text"], x["KEY"]) for x in got.collect()} == {(i, t.split("\n")[1], k) for n, (i, t, _, k) in enumerate(rows) if kept[n][0]}
 
 
 def test_dropped_elements_end_without_their_end_tags():
