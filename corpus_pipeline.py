@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import mixing, ngram_join, packing, quality, secrets
-from eventloom.llm.common import read_table, shared_dir
+from eventloom.llm.common import fresh, read_table, release, scratch_mark, shared_dir
 
 
 def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -24,8 +24,9 @@ def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines removed go from the others' texts."""
-    kept = quality.clean_documents(docs.withColumn("__before", F.length("text").cast("long")))
-    shorter = F.length("text") != F.col("__before")
+    before = fresh("before", docs.columns)
+    kept = quality.clean_documents(docs.withColumn(before, F.length("text").cast("long")))
+    shorter = F.length("text") != F.col(before)
     return kept.withColumn("n_chars", F.when(shorter, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -67,6 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        mark = scratch_mark(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, mark)  # the stage's own tables; its result is written
         docs = spark.read.parquet(path)
     return docs
