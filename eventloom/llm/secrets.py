@@ -1,10 +1,12 @@
 """Secret scans with structural confirmation.
 
 Patterns give the base findings; the method then looks at what long base64 and
-hex runs decode to, and reports those whose inside has the structure of a key
-or token: DER sequences whose nested lengths add up, length-prefixed SSH key
-blobs, the magic of OpenSSH keys, PEM armour around any of these, and signed
-tokens whose header is a JSON object that names an algorithm.
+hex runs decode to, from every place where an encoding can begin, and reports
+what has the structure of a key or token: DER sequences whose nested lengths add
+up at all levels, length-prefixed SSH key blobs, the magic of OpenSSH keys,
+armour around any of these (also encrypted, with header lines, or with a check
+sum that fits), and signed tokens whose header is a JSON object that names an
+algorithm. Whatever stands in a text, nothing raises.
 
 Spans are code points, end exclusive. Defined results: null or empty text has
 no findings; overlapping findings of different kinds are all reported; repeated
@@ -22,7 +24,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts, small_batches
+from .common import kept_columns, map_texts, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -30,13 +32,24 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
 MIN_VALUE = 12
 
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+SEGMENTS = re.compile(r"[A-Za-z0-9_.-]+")
+HEADER_AT = re.compile(r"(?:(?<=[_-])|\A)eyJ")
+FIRST_NAME = re.compile(rb"\{\s*\"(?:[^\"\\\x00-\x1f]|\\.)*\"\s*:")
 RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-RUN16 = re.compile(r"(?:[0-9A-Fa-f]{2}){20,}")
+RUN16 = re.compile(r"[0-9A-Fa-f]{40,}")
+# Where an encoding can begin: a DER sequence, an SSH key type with its length, OpenSSH's magic.
+START64 = re.compile(r"M[A-P]|AAAA[BCEI]|b3BlbnNzaC1rZXktdjE")
+START16 = re.compile(r"(?=30|000000..(?:7373682d|6563647361)|6f70656e7373682d6b65792d763100)", re.IGNORECASE)
+ARMOUR_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+ARMOUR_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
 ADDED_KINDS = ("jwt", "pem", "key64", "keyhex")
 KINDS = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")
+OPENSSH_MAGIC = b"openssh-key-v1\0"
+# What is taken for a key's encoding: at most so many parts and levels, and a value of key size.
+MOST_PARTS, MOST_LEVELS, KEY_BYTES = 128, 16, 16
+DER_TAGS = frozenset((0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31, 0x80, 0x81, 0x82, 0xA0, 0xA1, 0xA2, 0xA3))
+DER_NESTED = frozenset((0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -79,59 +92,209 @@ def _der_item(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, at, at + length) if at + length <= len(data) else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A sequence that fills ``data``, whose parts fill it in turn, with a number or key inside."""
-    outer = _der_item(data, 0)
-    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
-        return False
-    at, tags = outer[1], []
-    while at < outer[2]:
+def der_end(data: bytes, at: int = 0) -> int | None:
+    """Where the key encoded at ``at`` ends; None if none is.
+
+    A sequence of two parts or more, at every level filled by its parts to the
+    last byte, with a number, bit or byte string of key size somewhere inside.
+    """
+    outer = _der_item(data, at)
+    if outer is None or outer[0] != 0x30:
+        return None
+    open_ends, at, parts, top, key = [outer[2]], outer[1], 0, 0, False
+    while open_ends:
+        if at == open_ends[-1]:
+            open_ends.pop()
+            continue
         item = _der_item(data, at)
-        if item is None or item[2] > outer[2] or item[0] not in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1):
-            return False
-        if item[0] == 0x02 and item[1] == item[2]:
+        if item is None or item[2] > open_ends[-1] or item[0] not in DER_TAGS:
+            return None
+        tag, start, end = item
+        parts, top = parts + 1, top + (len(open_ends) == 1)
+        if parts > MOST_PARTS or (tag in (0x01, 0x02, 0x03, 0x06) and start == end):
+            return None
+        key = key or (tag in (0x02, 0x03, 0x04) and end - start >= KEY_BYTES)
+        if tag in DER_NESTED:
+            if len(open_ends) == MOST_LEVELS:
+                return None
+            open_ends.append(end)
+            at = start
+        else:
+            at = end
+    return outer[2] if top >= 2 and key else None
+
+
+def ssh_end(data: bytes, at: int = 0) -> int | None:
+    """Where the length-prefixed fields at ``at`` end that follow an SSH key type."""
+    if data.startswith(OPENSSH_MAGIC, at):
+        return len(data)
+    fields, end, key = 0, at, False
+    while fields < 8 and end + 4 <= len(data):
+        n = int.from_bytes(data[end : end + 4], "big")
+        if end + 4 + n > len(data) or not (fields or data.startswith(SSH_NAMES, end + 4)):
+            break
+        key = key or (fields > 0 and n >= KEY_BYTES)
+        fields, end = fields + 1, end + 4 + n
+    return end if fields >= 2 and key else None
+
+
+def key_end(data: bytes, at: int = 0) -> int | None:
+    return der_end(data, at) or ssh_end(data, at)
+
+
+def _window64(run: str, at: int) -> tuple[bytes | None, int]:
+    """The bytes the run encodes from ``at`` on, as many as the sequence there says."""
+    head = _decoded64(run[at : at + 8])
+    if head is None:
+        return None, 0
+    item = head[1] if len(head) > 1 else 0
+    if head[0] != 0x30:
+        named = _decoded64(run[at : at + 24]) or b""
+        if not named.startswith((OPENSSH_MAGIC, *SSH_NAMES), 0 if named.startswith(b"open") else 4):
+            return None, 0
+        wanted = 1 << 16
+    elif item & 0x80:
+        n = item & 0x7F
+        if not 1 <= n <= 4 or len(head) < 2 + n:
+            return None, 0
+        wanted = 2 + n + int.from_bytes(head[2 : 2 + n], "big")
+    else:
+        wanted = 2 + item
+    chars = -(-wanted * 4 // 3)
+    if head[0] == 0x30 and (chars > len(run) - at or wanted < KEY_BYTES + 4):
+        return None, 0
+    part = run[at : at + chars]
+    return _decoded64(part[: len(part) - (len(part) % 4 == 1)]), wanted
+
+
+def keys_in64(run: str) -> list[tuple[int, int]]:
+    """Spans in a base64 run that decode to keys, the leftmost first."""
+    found, at = [], 0
+    body = run.rstrip("=")
+    while m := START64.search(body, at):
+        data, _ = _window64(body, m.start())
+        end = key_end(data) if data else None
+        if end is None:
+            at = m.start() + 1
+            continue
+        at = m.start() + -(-end * 4 // 3)
+        found.append((m.start(), len(run) if at >= len(body) else at))
+    return found
+
+
+def keys_in16(run: str) -> list[tuple[int, int]]:
+    """Spans in a hex run, at even and odd places alike, that decode to keys."""
+    found, at = [], 0
+    by_parity = [bytes.fromhex(run[p : len(run) - (len(run) - p) % 2]) for p in (0, 1)]
+    while m := START16.search(run, at):
+        start = m.start()
+        end = key_end(by_parity[start % 2], start // 2)
+        if end is None:
+            at = start + 1
+            continue
+        at = end * 2 + start % 2
+        found.append((start, at))
+    return found
+
+
+def is_signed_header(part: str, at: int = 0) -> bool:
+    """Whether ``part`` decodes, from ``at`` on, to a JSON object that names an algorithm.
+
+    It is decoded piece by piece, and no further than it is JSON.
+    """
+    first = _decoded64(part[at : at + 400])
+    if first is None or not FIRST_NAME.match(first):
+        return False
+    chars = 4096
+    while True:
+        data, whole = _decoded64(part[at : at + chars]), at + chars >= len(part)
+        if data is None:
             return False
-        tags.append(item[0])
-        at = item[2]
-    return len(tags) >= 2 and any(t in (0x02, 0x03, 0x04) for t in tags)
-
-
-def is_ssh_blob(data: bytes) -> bool:
-    """Length-prefixed fields that fill ``data``, the first a key type; or OpenSSH's magic."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+        try:
+            head = json.loads(data.decode() if whole else data.decode("latin-1"))
+            return whole and isinstance(head, dict) and isinstance(head.get("alg"), str)
+        except json.JSONDecodeError as error:
+            if whole or (error.pos < len(data) - 8 and not error.msg.startswith("Unterminated")):
+                return False
+        except (ValueError, RecursionError):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith(SSH_NAMES)
+        chars *= 4
 
 
-def is_key(data: bytes | None) -> bool:
-    return data is not None and (is_der_key(data) or is_ssh_blob(data))
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of header.claims.signature whose header is confirmed."""
+    found = []
+    for m in SEGMENTS.finditer(text):
+        if "eyJ" not in m[0] or m[0].count(".") < 2:
+            continue
+        parts = m[0].split(".")
+        at = m.start()
+        for i in range(len(parts) - 2):
+            if "eyJ" in parts[i] and parts[i + 1] and _decoded64(parts[i + 2]):
+                head = next((h.start() for h in HEADER_AT.finditer(parts[i]) if is_signed_header(parts[i], h.start())), None)
+                if head is not None:
+                    found.append((at + head, at + sum(map(len, parts[i : i + 3])) + 2))
+            at += len(parts[i]) + 1
+    return found
 
 
-def is_signed_header(part: str) -> bool:
-    data = _decoded64(part)
-    try:
-        head = json.loads(data) if data else None
-    except ValueError:
+def _crc24(data: bytes) -> int:
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = crc << 1 ^ (0x1864CFB if crc & 0x800000 else 0)
+    return crc & 0xFFFFFF
+
+
+def is_armoured_key(body: str) -> bool:
+    """Whether the lines between armour marks, headers included, hold a key.
+
+    Plain ones decode to a key's structure; encrypted ones say so in a header
+    and fill whole cipher blocks; those with a check sum fit it.
+    """
+    lines = [x.strip() for x in body.splitlines()]
+    while lines and not lines[0]:
+        lines.pop(0)
+    headers = []
+    while lines and (ARMOUR_HEADER.match(lines[0]) or (headers and headers[-1].endswith(("\\", ",")))):
+        headers.append(lines.pop(0))
+    last = next((x for x in reversed(lines) if x), "")
+    checked = last.startswith("=") and len(last) == 5
+    joined = "".join("".join(lines).split())
+    data = _decoded64(joined[:-5] if checked else joined)
+    if not data:
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    if checked:
+        wanted = _decoded64(last[1:])
+        return wanted is not None and data[0] & 0x80 != 0 and _crc24(data) == int.from_bytes(wanted, "big")
+    if any(h.startswith("Proc-Type:") and "ENCRYPTED" in h for h in headers):
+        return len(data) >= KEY_BYTES and len(data) % 8 == 0
+    return key_end(data) == len(data)
+
+
+def armoured_keys(text: str) -> list[tuple[int, int]]:
+    """Spans from a begin mark to the next end mark of the same label."""
+    found, begin = [], None
+    for m in ARMOUR_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None and begin[2] == m[2]:
+            if is_armoured_key(text[begin.end() : m.start()]):
+                found.append((begin.start(), m.end()))
+            begin = None
+    return found
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Findings confirmed by what they decode to."""
     found = []
     if "eyJ" in text:
-        found += [(*m.span(), "jwt") for m in SIGNED.finditer(text) if is_signed_header(m[1]) and _decoded64(m[3])]
+        found += [(a, b, "jwt") for a, b in signed_tokens(text)]
     if "-----BEGIN " in text:
-        found += [(*m.span(), "pem") for m in ARMOUR.finditer(text) if is_key(_decoded64("".join(m[2].split())))]
-    found += [(*m.span(), "key64") for m in RUN64.finditer(text) if is_key(_decoded64(m[0]))]
-    found += [(*m.span(), "keyhex") for m in RUN16.finditer(text) if m[0][:2] == "30" or m[0][:2] == "00" if is_key(bytes.fromhex(m[0]))]
+        found += [(a, b, "pem") for a, b in armoured_keys(text)]
+    found += [(m.start() + a, m.start() + b, "key64") for m in RUN64.finditer(text) for a, b in keys_in64(m[0])]
+    found += [(m.start() + a, m.start() + b, "keyhex") for m in RUN16.finditer(text) for a, b in keys_in16(m[0])]
     return found
 
 
@@ -153,7 +316,7 @@ def scan_secrets(docs: DataFrame, text_column: str = "text", keep: list[str] | N
     """Add n_assign, n_access, n_hex, base_sha256 and spans to every row; with
     ``redact`` also redacted_text (null stays null)."""
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted_text"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    kept = kept_columns(docs, keep, own)
     small_batches(docs.sparkSession)
     added = dict(zip(own, ["long", "long", "long", "string", "string", "string"], strict=True))
     if not redact:

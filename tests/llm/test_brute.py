@@ -276,7 +276,17 @@ def test_mixing_targets_are_shared_by_weight(spark):
 def test_secrets_on_documents(spark):
     got = {r["doc_id"]: r for r in queries.op9_secret_scan(spark, SF).collect()}
     for doc_id, text, _ in documents():
-        assert got[doc_id]["base_sha256"] == hashlib.sha256(brute.base_spans(text).encode()).hexdigest()
+        base = brute.base_spans(text or "")
+        r = got[doc_id]
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        kinds = Counter(x.split(":")[0] for x in base.split(",") if x)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+        spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        assert [":".join(x) for x in spans if x[0] in secrets.BASE_KINDS] == [x for x in base.split(",") if x]
+        for kind, a, b in spans:  # added ones decode to what they are reported for
+            if kind in ("key64", "keyhex"):
+                raw = text[int(a) : int(b)]
+                assert secrets.key_end(bytes.fromhex(raw) if kind == "keyhex" else secrets._decoded64(raw))
 
 
 def _der(tag, body):
@@ -305,6 +315,70 @@ def test_secrets_are_confirmed_by_structure():
     assert secrets.redacted("a password=abcdefghijkl b", secrets.base_spans("a password=abcdefghijkl b")) == "a [SECRET] b"
 
 
+def _key_texts():
+    key = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2a\x86\x48") + _der(5, b"")) + _der(4, _der(0x30, _der(2, bytes(range(1, 200))) + _der(2, b"\1\0\1"))))
+    blob = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
+    return key, blob, b"openssh-key-v1\0" + bytes(range(64))
+
+
+def test_secrets_are_found_at_inner_places():
+    key, blob, magic = _key_texts()
+    for raw in (key, blob, magic):
+        b64 = base64.b64encode(raw).decode()
+        for before in ("", "key/", "path-", "a", "ab/", "abc-"):
+            spans = secrets.confirmed_spans(f"x {before}{b64} y")
+            assert spans == [(2 + len(before), 2 + len(before) + len(b64), "key64")], (before, spans)
+        for before in ("", "f", "0f", "abc"):
+            assert secrets.confirmed_spans(f"x {before}{raw.hex()} y") == [(2 + len(before), 2 + len(before) + 2 * len(raw), "keyhex")]
+            assert len(secrets.confirmed_spans(f"x {before}{raw.hex().upper()} y")) == 1
+    after = base64.b64encode(key).decode().rstrip("=") + "/and/then/more"
+    assert len(secrets.confirmed_spans(after)) == 1
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "kid": "x" * 9000}).encode()).decode().rstrip("=")
+    assert secrets.confirmed_spans(f"path-{head}.e30.c2ln") == [(5, 5 + len(head) + 9, "jwt")]
+
+
+def test_secrets_false_structure_is_not_reported():
+    key = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2a\x86\x48") + _der(5, b"")) + _der(3, bytes(range(1, 90))))
+    assert secrets.confirmed_spans(key.hex()) == [(0, 2 * len(key), "keyhex")]
+    for at in (2, 3, 5, 6, 8, 12, 14):  # a tag or length, at the first level and the second
+        damaged = bytearray(key)
+        damaged[at] ^= 0x21
+        for text in (base64.b64encode(bytes(damaged)).decode(), bytes(damaged).hex()):
+            assert secrets.confirmed_spans(text) == [], at
+    inner = _der(0x30, _der(0x30, bytes([2, 60]) + bytes(40)) + _der(2, bytes(range(1, 40))))
+    assert secrets.confirmed_spans(base64.b64encode(inner).decode()) == []
+
+
+def test_secrets_in_armour():
+    key, _, magic = _key_texts()
+    armour = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n" + base64.b64encode(bytes(range(64))).decode()
+    data = b"\x95" + bytes(range(90))
+    checked = "Version: 1\n\n" + base64.b64encode(data).decode() + "\n=" + base64.b64encode(secrets._crc24(data).to_bytes(3, "big")).decode()
+    good = [armour("RSA PRIVATE KEY", sealed), armour("PGP PRIVATE KEY BLOCK", checked), armour("OPENSSH PRIVATE KEY", base64.b64encode(magic).decode()), armour("KEY", "Comment: mine\n\n" + base64.b64encode(key).decode())]
+    for text in good:
+        assert (0, len(text), "pem") in secrets.confirmed_spans(text), text
+    for text in (armour("KEY", "nothing here"), armour("KEY", ""), "-----BEGIN A-----\n" * 50, armour("PGP MESSAGE", checked.replace("=", "=A", 1)[:-1])):
+        assert not [x for x in secrets.confirmed_spans(text) if x[2] == "pem"]
+
+
+def test_secret_scans_raise_nothing_and_stay_linear():
+    import time
+
+    r = random.Random(8)
+    key, blob, magic = _key_texts()
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100000 + b'"').decode().rstrip("=")
+    hostile = [f"{deep}.e30.c2ln", "eyJ" * 30000, "-eyJhIjox" * 10000, "MIIE" * 5000, "30" * 50000, "-----BEGIN A-----" * 5000, "eyJhbGci." * 10000, "token" + " " * 100000, base64.b64encode(b"\x30\x84\xff\xff\xff\xff" * 20).decode()]
+    parts = ["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "-----BEGIN KEY-----", "-----END KEY-----", "\n", "=", "3082", "0", "f", base64.b64encode(key).decode(), blob.hex(), magic.hex(), "\udc80é", "Proc-Type: 4,ENCRYPTED", "AAAAB3NzaC1yc2E", "password="]
+    hostile += ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(2000)]
+    began = time.perf_counter()
+    for text in hostile:
+        spans = secrets.base_spans(text) + secrets.confirmed_spans(text)
+        assert all(0 <= a < b <= len(text) for a, b, _ in spans)
+        secrets.redacted(text, sorted(spans))
+    assert time.perf_counter() - began < 60
+
+
 def test_chat_round_trips(spark):
     r = random.Random(1)
     for _ in range(200):
