@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventloom.llm import chat, dom, html_extract, media, ngram_join, packing, quality, queries, secrets, sharding, shingles
 from eventloom.llm.common import shared_dir
 
-from . import brute
+from . import brute, hand_pages
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -175,9 +175,41 @@ def test_dropped_elements_end_without_their_end_tags():
     assert shown("<html><head><title>x</title></head><body><p>yes</p></body></html>") == "yes"
     for control in ("label", "button", "option"):
         assert shown(f"<form><div><{control}>no</div></form><p>yes</p>") == "yes"
-        assert shown(f"<div><{control}><div>no</div> nor this</{control}> yes</div>") == "yes"
-        assert shown(f"<ul><li><{control}>no<li>yes</ul>") == "yes"
-    assert shown("<p><label>no<p>yes") == "yes"
+        assert shown(f"<form><div><{control}><div>no</div> nor this</{control}> yes</div>") == "yes"
+        assert shown(f"<form><ul><li><{control}>no<li>yes</ul>") == "yes"
+    assert shown("<form><p><label>no<p>yes") == "yes"
+    assert shown("<p>one <label>two</label> three<button>no<p>four") == "one two three four"
+    assert shown("<button>no<button>no</button> yes") == "yes"
+
+
+def inner_text(page):
+    nodes = dom.parse(page)
+    return html_extract.block_text(nodes[0], set(map(id, nodes)))
+
+
+def test_words_between_inline_elements_and_odd_attributes():
+    assert inner_text("<p><b>foo</b> <i>bar</i> baz</p>") == "foo bar baz"
+    assert inner_text("<p><b>foo</b><i>bar</i>\n\t<a href=x>baz</a></p>") == "foobar baz"
+    assert inner_text("<p title=Bob's>First") == "First"
+    assert inner_text("One <a href=x title=Bob's>link</a> two. It's three.") == "One link two. It's three."
+    assert inner_text("""<p title="a>b" x='c>d' y = "e>f">First<br>second</p>""") == "First second"
+    assert inner_text('<p title="never ends>First <b>x</b> y') == "First x y"
+    assert inner_text("1 < 2 <3 &lt;b&gt; a<!-- <p> -->b<!-->c<?php x ?>d</>e<![CDATA[f]]>g") == "1 < 2 <3 <b> abcdeg"
+    assert inner_text("a <b x") == "a" and inner_text("a <!-- b") == "a" and inner_text("a<script>b") == "a"
+    assert inner_text("<script>if (a</b>c) x='<p>';</script>a<style>p</style><textarea><p>no</textarea>b") == "ab"
+    assert inner_text("<table><tr><td>a<td>b<tr><th>c</table>d") == "a\nb\nc\nd"
+    assert inner_text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><dl><dt>e<dd>f<dt>g</dl>") == "a\nb\nc\nd\ne\nf\ng"
+    assert inner_text("<a href=1>x<a href=2>y</a> z</a>") == "xy z"
+
+
+def test_reading_markup_is_linear():
+    import time
+
+    pages = ["<a " * 350000, "<div>" * 40000 + "x", "<b>" * 50000 + "</i>" * 50000, "<ul>" + "<div>" * 15000 + "<li>x" * 15000, "<button>" * 30000, "<!--" * 50000, '<a href="' * 50000, "<i><p>" * 20000 + "</i>" * 20000, "<table>" + "<td>" * 30000, "<select><option>" * 30000, "<p x='" * 40000, "<button><div>" * 20000 + "</div>" * 20000]
+    for page in pages:
+        began = time.perf_counter()
+        inner_text(page)
+        assert time.perf_counter() - began < 4, page[:20]
 
 
 def test_sharding_laws(spark):
@@ -456,6 +488,8 @@ def test_html_on_held_out_pages_and_the_table(spark):
         right += html_extract.main_texts([page], trees)[0] == wanted
         total += 1
     assert right >= 0.9 * total
+    for name, (page, wanted) in hand_pages.PAGES.items():
+        assert html_extract.main_texts([page], trees)[0] == wanted, name
     got = {r["page_id"]: r["text"] for r in queries.op1_html_extract(spark, SF).collect()}
     import html
     import re
@@ -471,7 +505,7 @@ def test_html_decoding_is_consistent(spark):
     for seed in range(30):
         page, _ = html_extract._Writer(seed).page()
         nodes = dom.parse(page)
-        chosen = html_extract.decode(nodes, trees.odds(np.array(dom.features(nodes, len(page)))))
+        chosen = html_extract.decode(nodes, trees.odds(dom.features(nodes, len(page), trees.token_odds)))
         for n in nodes:
             path = []
             at = n
