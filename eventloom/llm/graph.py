@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import skew_join, staged
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -15,15 +15,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour."""
     around = _both_ways(edges)
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("__node"), F.least("a", "m").alias("m"))
-    return around.filter(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("__node")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    return skew_join(around.filter(F.col("b") > F.col("a")), least, ["a"], "degree").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least.withColumnRenamed("a", "__node"), F.col("a") == F.col("__node")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+    tied = skew_join(down, least, ["a"], "degree").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -31,7 +31,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the least node reachable.
 
     Alternates the two star steps until nothing changes; every round is a
-    table in the shared folder. Loops (a = b) and repeated edges do no harm;
+    table in the shared folder, and a star's centre with very many links is
+    joined apart from the others. Loops (a = b) and repeated edges do no harm;
     nodes without an edge to another node aren't returned.
     """
     now = staged(edges.select("a", "b").filter("a <> b").distinct(), "links")

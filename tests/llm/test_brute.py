@@ -65,28 +65,73 @@ def test_ngram_join_on_documents(spark):
     assert [(got[d]["component_id"], got[d]["n_shingles"]) for d, _ in rows] == [(expected[i], sizes[i]) for i in range(len(rows))]
 
 
-def test_leaf_links_tie_all_that_link():
-    rows = near_copies(9, ((90, 30),), 10)
-    sets = shingles.shingle_sets([t for _, t in rows])
-    keep = [i for i, s in enumerate(sets) if len(s)]
-    sets = [sets[i] for i in keep]
-    point = np.stack([np.bincount((s >> np.uint64(7)).astype(np.int64) % ngram_join.GROUPS, minlength=ngram_join.GROUPS) for s in sets])
-    every = np.ones(len(sets), bool)
-    links = ngram_join.link_leaves(np.arange(len(sets)), np.array([len(s) for s in sets]), point, every, every, sets)
-    expected, _ = brute.near_components([rows[i] for i in keep])
-    up = list(range(len(sets)))
+def set_points(texts):
+    sets = [s for s in shingles.shingle_sets(texts) if len(s)]
+    return ngram_join.Points(np.arange(len(sets)), sets)
+
+
+def groups_of(n, links):
+    up = list(range(n))
 
     def root(i):
-        return i if up[i] == i else root(up[i])
+        while up[i] != i:
+            i = up[i]
+        return i
 
     for a, b in links:
         up[max(root(a), root(b))] = min(root(a), root(b))
-    groups, wanted = defaultdict(set), defaultdict(set)
-    for i in range(len(sets)):
+    groups = defaultdict(set)
+    for i in range(n):
         groups[root(i)].add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_trees_link_all_that_link():
+    rows = [(i, t) for i, t in near_copies(9, ((90, 30), (40, 25), (200, 60)), 60) if brute.shingle_set(t)]
+    expected, _ = brute.near_components(rows)
+    wanted = defaultdict(set)
+    for i in range(len(rows)):
         wanted[expected[i]].add(i)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
-    assert len(links) == len(sets) - len(groups)
+    for leaf in (2, 16, 64):
+        points = set_points([t for _, t in rows])
+        tree = ngram_join.grow(points, np.arange(len(rows)), leaf)
+        ngram_join.join_trees(points, tree, tree)
+        groups = groups_of(len(rows), points.links)
+        assert groups == sorted(map(sorted, wanted.values())) and len(points.links) == len(rows) - len(groups)
+
+
+def test_boxes_prune_families_apart():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):  # families of near copies of one length
+        base = [word() for _ in range(100)]
+        for _ in range(40):
+            copy = list(base)
+            copy[r.randrange(100)] = word()
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    points, found = set_points(texts), Counter()
+    tree = ngram_join.grow(points, np.arange(len(texts)))
+    ngram_join.join_trees(points, tree, tree, found)
+    assert len(texts) - len(points.links) == 40
+    assert found["by box"] > 0.5 * sum(found.values()), found
+
+
+def test_ngram_join_of_buckets_larger_than_a_task(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 24)
+    rows = near_copies(6, ((300, 60), (150, 40), (40, 200)), 150)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    expected, _ = brute.near_components(rows)
+    for exact in (False, True):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame, exact=exact).collect()}
+        assert got == {d: expected[i] for i, (d, _) in enumerate(rows)}
+
+
+def test_ngram_join_takes_ids_of_any_order(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "no"), (None, "no")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"b": "a", "a": "a", "c": "c", None: "c"}
 
 
 def test_points_bound_overlaps():
