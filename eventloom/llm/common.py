@@ -183,17 +183,29 @@ def bitmap_split(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFram
 HOT_KEYS = 1024
 
 
-def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined (inner, left_semi or left) with ``table``, one row a key.
 
-    ``weight``: how many of ``rows`` have that key. Keys with over 1 / HOT_KEYS
-    of all the weight are fewer than HOT_KEYS, so they are sent to all tasks;
-    of the others none holds more than that share of a shuffle. Whatever the
-    keys, no task gets a group much larger than a thousandth of the rows.
+    ``weight``: how many of ``rows`` have that key; ``total``: the sum of all, if
+    known. Keys with over 1 / HOT_KEYS of all the weight are fewer than HOT_KEYS,
+    so they are sent to all tasks, and their rows are spread over the shuffle;
+    of the others none holds more than that share. Whatever the keys, no task
+    gets a group much larger than a thousandth of the rows.
     """
-    total = fresh("__all", table.columns)
-    weighed = table.join(F.broadcast(table.agg(F.sum(weight).alias(total))))  # one row
-    hot = weighed.filter(F.col(weight) * HOT_KEYS > F.col(total)).drop(total, weight)
-    cold = weighed.filter(F.col(weight) * HOT_KEYS <= F.col(total)).drop(total, weight)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys, "inner" if how == "left" else how).unionByName(others.join(cold, keys, how))
+    taken = [*rows.columns, *table.columns]
+    few, many, salt, everything = (fresh(n, taken) for n in ("few", "many", "salt", "all"))
+    values = [c for c in table.columns if c not in keys and c != weight]
+    if total is None:
+        weighed = table.join(F.broadcast(table.agg(F.sum(weight).alias(everything))))  # one row
+    else:
+        weighed = table.withColumn(everything, F.lit(total))
+    is_hot = F.col(weight) * HOT_KEYS > F.col(everything)
+    value = F.struct(F.lit(True).alias("found"), *values)
+    hot = weighed.filter(is_hot).select(*keys, value.alias(few))
+    cold = weighed.filter(~is_hot).select(*keys, F.lit(0).alias(salt), value.alias(many))
+    spread = F.when(F.col(few).isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_KEYS)).cast("int") + 1)
+    both = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, spread).join(cold, [*keys, salt], "left")
+    if how != "left":
+        both = both.filter(F.col(few).isNotNull() | F.col(many).isNotNull())
+    found = [F.coalesce(F.col(few)[c], F.col(many)[c]).alias(c) for c in values] if how != "left_semi" else []
+    return both.select(*rows.columns, *found)

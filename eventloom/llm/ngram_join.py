@@ -293,21 +293,24 @@ def _by_group(keys: list[str], solve, columns: list[str]):
     return run
 
 
-def _tree_links(percent: int):
-    def solve(group: pd.DataFrame) -> list[tuple[int, int]]:
-        points = Points(group["sig"].to_numpy(np.int64), _unpacked_sets(group), percent, group["component"].to_numpy(np.int64) if "component" in group else None)
+def _tree_roots(percent: int, keys: list[str]):
+    """Each text of a group with the least text that the group's links tie it to."""
+
+    def solve(group: pd.DataFrame) -> list[tuple]:
+        points = Points(group["sig"].to_numpy(np.int64), _unpacked_sets(group), percent)
         tree = grow(points, np.arange(len(group)))
         join_trees(points, tree, tree)
-        return points.links
+        place = [group[k][0] for k in keys]
+        return [(*place, *pair) for pair in zip(points.sig.tolist(), points.sig[points.forest.roots()].tolist(), strict=True)]
 
     return solve
 
 
 def _linked_in_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) of the trees over ``rows`` (keys, sig, hashes), one tree a key."""
-    more = ["component"] if "component" in rows.columns else []
-    sorted_rows = rows.select(*keys, "sig", "hashes", *more).repartition(*keys).sortWithinPartitions(*keys, "sig")
-    return sorted_rows.mapInPandas(_by_group(keys, _tree_links(percent), ["a", "b"]), "a long, b long")
+    """(keys, sig, root) by the trees over ``rows`` (keys, sig, hashes), one tree a key."""
+    types = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    sorted_rows = rows.select(*keys, "sig", "hashes").repartition(*keys).sortWithinPartitions(*keys, "sig")
+    return sorted_rows.mapInPandas(_by_group(keys, _tree_roots(percent, keys), [*keys, "sig", "root"]), ", ".join([*types, "sig long", "root long"]))
 
 
 def _buckets(listed: DataFrame, exact: bool) -> DataFrame:
@@ -334,12 +337,6 @@ def _buckets(listed: DataFrame, exact: bool) -> DataFrame:
     return skew_join(entering, names, ["h"], "rows").select("bucket", "sig", "n").distinct()
 
 
-def _with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the component of each sig: its own where it has no link."""
-    found = components(links).withColumnRenamed("node", "sig")
-    return rows.join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-
-
 def _cut(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with a chunk number: at most about CHUNK rows and CHUNK_SHINGLES each."""
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
@@ -436,16 +433,18 @@ def jaccard_links(docs: DataFrame, digest: DataFrame, k: int = K, percent: int =
     fits = (F.col("rows") <= CHUNK) & (F.col("shingles") <= CHUNK_SHINGLES)
     members = skew_join(members, sums.select("bucket", "rows", fits.alias("fits")), ["bucket"], "rows")
     full = staged(members.join(sets, "sig"), "members")
-    links = staged(_linked_in_groups(full.filter("fits"), ["bucket"], percent), "links")
+    as_links = lambda roots: roots.filter("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b"))
+    links = as_links(_linked_in_groups(full.filter("fits"), ["bucket"], percent))
     # Buckets that one task can't hold.
     size_class = F.floor(F.log("n") / -float(np.log(CLASS_RATIO))).cast("int")
-    large = staged(_cut(full.filter("not fits").select("bucket", "sig", "n", "hashes", size_class.alias("class")), ["bucket", "class"]), "chunks")
-    links = staged(links.unionByName(_linked_in_groups(large, ["bucket", "class", "chunk"], percent)), "links")
-    tied = _with_component(large, links)
-    chosen = tied.groupBy("bucket", "class", "chunk", "component").agg(F.min("sig").alias("sig"))
-    chosen = chosen.join(large.select("bucket", "class", "chunk", "sig", "n", "hashes"), ["bucket", "class", "chunk", "sig"]).select("bucket", "sig", "n", "hashes", "component")
-    links = staged(links.unionByName(_linked_in_groups(_cut(staged(chosen, "representatives"), ["bucket"]), ["bucket", "chunk"], percent)), "links")
-    return links.unionByName(_across_chunks(staged(_with_component(large, links), "tied"), percent))
+    large = _cut(full.filter("not fits").select("bucket", "sig", "n", "hashes", size_class.alias("class")), ["bucket", "class"])
+    large = staged(large, "chunks")
+    roots = staged(_linked_in_groups(large, ["bucket", "class", "chunk"], percent), "roots")
+    chosen = roots.filter("sig = root").select("bucket", "sig").join(large.select("bucket", "sig", "n", "hashes"), ["bucket", "sig"])
+    further = staged(_linked_in_groups(_cut(chosen, ["bucket"]), ["bucket", "chunk"], percent), "further-roots").select("bucket", F.col("sig").alias("root"), F.col("root").alias("component"))
+    tied = staged(large.join(roots.join(further, ["bucket", "root"]).select("bucket", "sig", "component"), ["bucket", "sig"]), "tied")
+    links = links.unionByName(as_links(roots)).unionByName(as_links(further.select(F.col("root").alias("sig"), F.col("component").alias("root"))))
+    return links.unionByName(_across_chunks(tied, percent))
 
 
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K, percent: int = PERCENT, exact: bool = False) -> DataFrame:
