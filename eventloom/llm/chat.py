@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import quoted, small_batches
 
 HEAD, HEAD_END, TAIL = b"<turn ", b">\n", b"\n</turn>\n"
 ESCAPED = np.zeros(256, bool)
@@ -115,7 +115,7 @@ def format_conversations(turns: DataFrame, id_column: str = "conv_id", turn_colu
     body: UTF-8 bytes, loss: byte spans of the whole that training learns).
     """
     small_batches(turns.sparkSession)
-    rows = turns.select(F.col(id_column).cast("long").alias("conv_id"), F.col(turn_column).alias("turn"), F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text"))
+    rows = turns.select(F.col(quoted(id_column)).cast("long").alias("conv_id"), F.col(quoted(turn_column)).alias("turn"), F.col(quoted(role_column)).cast("string").alias("role"), F.col(quoted(text_column)).cast("string").alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format, PART_SCHEMA)
 
 

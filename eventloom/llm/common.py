@@ -140,19 +140,20 @@ def map_texts(docs: DataFrame, kept: list[str], text_column: str, added: dict[st
     None for all in order, and the values of the ``added`` columns. Kept columns
     are passed on as they are, so large and missing integers stay exact.
     """
-    names = [*kept, *added]
     kinds = [ARROW[t][1] for t in added.values()]
+    plain = [f"c{i}" for i in range(len(kept) + len(added))]  # any name may stand in ``kept``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             rows, columns = step(batch.column(len(kept)).to_pylist())
             own = [batch.column(i) if rows is None else batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], plain)
 
-    fields = [*[docs.schema[c] for c in kept], *[T.StructField(n, ARROW[t][0]) for n, t in added.items()]]
-    text = F.col(quoted(text_column)).cast("string").alias(fresh("__text", kept))
-    return docs.select(*[F.col(quoted(c)) for c in kept], text).mapInArrow(run, T.StructType(fields))
+    kept_types = [docs.schema[c].dataType for c in kept]
+    fields = [T.StructField(n, t) for n, t in zip(plain, [*kept_types, *[ARROW[t][0] for t in added.values()]], strict=True)]
+    sent = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(kept, plain, strict=False)], F.col(quoted(text_column)).cast("string").alias("text"))
+    return sent.mapInArrow(run, T.StructType(fields)).toDF(*kept, *added)
 
 
 BITMAP_BITS = 1 << 23

@@ -20,6 +20,7 @@ every attempt fails the job, so that nothing is lost in silence.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import tarfile
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import small_batches, staged
+from .common import quoted, small_batches, staged
 
 WIDTH = 192
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+MOST_RANGES = 100_000  # planned on the driver; beyond that ranges grow with the input
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
 BLOCK = 512
@@ -107,7 +109,7 @@ def _write(path: str):
                     stream = fs.open_output_stream(f"{root}/{stem}.tar")
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 body = to_png(padded(raw))
-                info = tarfile.TarInfo(f"{stem}/{'null' if key is None else key}/{len(raw)}.png")
+                info = tarfile.TarInfo(f"{stem}/{'' if key is None else 'i' + base64.urlsafe_b64encode(key.encode()).decode()}/{len(raw)}.png")
                 info.size = len(body)
                 stream.write(info.tobuf(tarfile.USTAR_FORMAT) + body + b"\0" * (-len(body) % BLOCK))
                 held, members = held + len(body), members + 1
@@ -130,7 +132,7 @@ def write_archives(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
     fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_column)).cast("string").alias("id"), F.col(quoted(text_column)).cast("string").alias("text"))
     manifest = staged(rows.mapInArrow(_write(path), "archive string, members long"), "archives")
     committed = {r["archive"] for r in manifest.select("archive").collect()}  # one a task or 64 MB
     for found in fs.get_file_info(pafs.FileSelector(root)):
@@ -170,7 +172,8 @@ class MediaArchiveReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         fs, root = open_fs(self.path)
         found = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".tar")]
-        ranges = [ByteRange(f.path, a, min(a + self.range_bytes, f.size), f.size) for f in found for a in range(0, f.size, self.range_bytes)]
+        step = max(self.range_bytes, -(-sum(f.size for f in found) // (MOST_RANGES * BLOCK)) * BLOCK)
+        ranges = [ByteRange(f.path, a, min(a + step, f.size), f.size) for f in found for a in range(0, f.size, step)]
         return ranges or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
         rows = []
@@ -263,13 +266,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, key, last = name.split("/")
             samples = from_png(media)
             payload = samples.tobytes()
-            rows.append((None if key == "null" else int(key), int(last.split(".")[0]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+            rows.append((base64.urlsafe_b64decode(key[1:]).decode() if key else None, int(last.split(".")[0]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def media_features(members: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Digests and features of the members of ``read_archives``, from their stored bytes."""
+def media_features(members: DataFrame, id_column: str = "doc_id", id_type: str = "long") -> DataFrame:
+    """Digests and features of the members of ``read_archives``, from their stored bytes.
+
+    Ids are kept as text in member names; ``id_type`` is what they are read as.
+    """
     small_batches(members.sparkSession, 500)
-    found = members.select("name", "media").mapInArrow(_features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return found.withColumnRenamed("id", id_column)
+    found = members.select("name", "media").mapInArrow(_features, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return found.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_column)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, text_or_empty
+from .common import WORD_PATTERN, kept_columns, packed, quoted, text_or_empty, unpacked
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
@@ -60,26 +60,25 @@ def mix_sources(docs: DataFrame, seed: int = 17, id_column: str = "doc_id", text
     taken 0 times go). ``keep``: columns to pass through, all by default.
     """
     own = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    columns = kept_columns(docs, keep, own)
     text = text_or_empty(text_column)
-    draw = F.pmod(F.xxhash64(F.col(id_column), text, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    draw = F.pmod(F.xxhash64(F.col(quoted(id_column)), text, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     sized = docs.select(
-        *[F.col(c) for c in kept],
-        F.col(source_column).alias("__source"),
+        packed(columns),
+        F.col(quoted(source_column)).alias("source"),
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-        draw.alias("__draw"),
+        draw.alias("draw"),
     )
-    targets = source_targets(sized.select(F.col("__source").alias("source"), "size")).withColumnRenamed("source", "__name")
+    targets = source_targets(sized.select("source", "size")).withColumnRenamed("source", "name")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MAX_RATE))).otherwise(F.lit(0.0))
-    copies = F.floor("__rate") + (F.col("__draw") < F.col("__rate") - F.floor("__rate")).cast("long")
+    copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
     # No broadcast hint: the engine broadcasts the targets only below its size threshold.
     mixed = (
-        sized.join(targets, F.col("__source").eqNullSafe(F.col("__name")))
-        .withColumn("__rate", rate)
+        sized.join(targets, F.col("source").eqNullSafe(F.col("name")))
+        .withColumn("rate", rate)
         .withColumn("copies", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
-    out = mixed.select(*kept, *own)
-    if not emit:
-        return out
-    return out.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*kept, *own)
+    if emit:
+        mixed = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return mixed.select(*unpacked(columns), *own)

@@ -17,7 +17,7 @@ and packed into as few sequences as can be found:
 
 The plan is a list of rules (first rank, period, first sequence); a document's
 rank among all lengths, found with window functions over small buckets, gives
-its sequence.
+its sequence. Pieces of full length are sequences by themselves and take no part.
 
 Defined results: null and empty texts are the end token alone; repeated rows
 are packed each; a text of any length is cut into whole pieces; an empty table
@@ -40,13 +40,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, small_batches, staged
+from .common import kept_columns, map_texts, packed, quoted, small_batches, staged
 
 CAPACITY = 2048
 END_ID = 0
 N_GROUPS = 1024
 SMALL_SHARE = 8  # lengths under capacity / 8 are small
-RANK_BUCKETS = 64
+BUCKET_ROWS = 1 << 16  # pieces of a length ranked by one task
+MOST_BUCKETS = 4096
 CACHED_WORDS = 600_000
 CACHED_CHARS = 8_000_000
 WORD = re.compile("[^ \t\n\r]+")
@@ -138,7 +139,7 @@ class WordIds:
 
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str, text_column: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(kept columns, piece, start, length, ids_crc32) of every piece of every text."""
-    kept = docs.columns if keep is None else keep
+    kept = kept_columns(docs, keep, ["piece", "start", "length", "ids_crc32"])
 
     def make():
         words = WordIds(tokenizer_file)
@@ -271,43 +272,54 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
     return sorted(rules), n_sequences
 
 
-def _assign(rules: list[tuple[int, int, int]], base: np.ndarray):
-    """Ranks (``base``: first rank of each length and bucket) and sequences of pieces."""
+def _assign(rules: list[tuple[int, int, int]], starts: np.ndarray, base: np.ndarray):
+    """Ranks and sequences of pieces.
+
+    ``base``: first rank of each bucket, those of a length from ``starts`` on.
+    """
     first, period, sequence = (np.array(x, np.int64) for x in zip(*rules, strict=True)) if rules else (np.empty(0, np.int64),) * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, bucket, place = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "__bucket", "__place"))
-            rank = base[length, bucket] + place
+            length, bucket, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            rank = base[starts[length] + bucket] + place
             at = np.searchsorted(first, rank, side="right") - 1
             found = sequence[at] + (rank - first[at]) % period[at]
-            own = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(rank), pa.array(found)], [*batch.schema.names[:-2], "__rank", "sequence_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length), pa.array(rank), pa.array(found)], ["piece_row", "length", "rank", "sequence_id"])
 
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, text_column: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row per piece: kept columns, piece, start, length, ids_crc32, sequence_id, offset."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")]
+    own = ["piece", "start", "length", "ids_crc32"]
+    kept = kept_columns(docs, keep, [*own, "sequence_id", "offset"])
     small_batches(docs.sparkSession)
     pieces = staged(tokenised_pieces(docs, tokenizer_file, text_column, kept, capacity, end_id), "pieces")
-    own = ["piece", "start", "length", "ids_crc32"]
-    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*kept, *own), F.lit(RANK_BUCKETS)).cast("int"))
-    # A length may hold a third of all pieces: it is ranked bucket by bucket.
-    sums = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    cells = {(r["length"], r["__bucket"]): r["n"] for r in sums.collect()}  # at most capacity * RANK_BUCKETS
-    counts = [0] * (capacity + 1)
-    for (length, _), n in cells.items():
-        counts[length] += n
-    rules, _ = plan_packing(counts, capacity)
-    base, rank = np.zeros((capacity + 1, RANK_BUCKETS), np.int64), 0
+    packing = pieces.select(packed([*kept, *own]).alias("piece_row"), F.col("length"), F.xxhash64(*[F.col(quoted(c)) for c in [*kept, *own]]).alias("hash"))
+    # Full pieces have sequences of their own; a length may hold a third of all
+    # others: it is ranked bucket by bucket, in the more buckets the more there are.
+    lengths = {r["length"]: r["n"] for r in packing.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    counts = [lengths.get(n, 0) for n in range(capacity + 1)]
+    buckets = [max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS))) for n in counts]
+    n_buckets = F.element_at(F.array(*map(F.lit, buckets)), (F.col("length") + 1).cast("int"))
+    full, others = packing.filter(F.col("length") == capacity), packing.filter(F.col("length") < capacity)
+    bucketed = others.withColumn("bucket", F.pmod(F.col("hash"), n_buckets).cast("int"))
+    sums = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    cells = {(r["length"], r["bucket"]): r["n"] for r in sums.collect()}  # one for BUCKET_ROWS pieces, and one a length
+    # Planned without the full ones: their sequences are their row numbers, below 0.
+    rules, _ = plan_packing([*counts[:capacity], 0], capacity)
+    starts = np.cumsum([0, *buckets[:-1]])
+    base, rank = np.zeros(sum(buckets), np.int64), 0
     for length, bucket in sorted(cells, key=lambda c: (-c[0], c[1])):
-        base[length, bucket] = rank
+        base[starts[length] + bucket] = rank
         rank += cells[length, bucket]
-    in_bucket = Window.partitionBy("length", "__bucket").orderBy(*kept, *own)
-    placed = bucketed.select(*kept, *own, "__bucket", (F.row_number().over(in_bucket) - 1).cast("long").alias("__place"))
-    fields = [*placed.schema.fields[:-2], T.StructField("__rank", T.LongType()), T.StructField("sequence_id", T.LongType())]
-    packed = placed.mapInArrow(_assign(rules, base), T.StructType(fields))
-    before = Window.partitionBy("sequence_id").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
-    return packed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("__rank")
+    in_bucket = Window.partitionBy("length", "bucket").orderBy("hash", "piece_row")
+    placed = bucketed.select("piece_row", F.col("length").cast("long"), "bucket", (F.row_number().over(in_bucket) - 1).cast("long").alias("place"))
+    fields = [placed.schema["piece_row"], *[T.StructField(n, T.LongType()) for n in ("length", "rank", "sequence_id")]]
+    shared = placed.mapInArrow(_assign(rules, starts, base), T.StructType(fields))
+    before = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    shared = shared.select("piece_row", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    alone = full.select("piece_row", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = shared.unionByName(alone)
+    return rows.select(*[F.col(f"piece_row.{quoted(c)}").alias(c) for c in [*kept, *own]], "sequence_id", "offset")

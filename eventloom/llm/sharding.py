@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import kept_columns, packed, quoted, text_or_empty, unpacked
 
 N_SLOTS = 16384
 ROW_OVERHEAD = 16
@@ -31,7 +31,7 @@ ROW_OVERHEAD = 16
 
 def virtual_slot(id_column: str, text_column: str, n_slots: int = N_SLOTS) -> Column:
     """The record's virtual slot; id and text decide, nothing else."""
-    return F.pmod(F.xxhash64(F.col(id_column), F.crc32(text_or_empty(text_column).cast("binary"))), F.lit(n_slots)).cast("int")
+    return F.pmod(F.xxhash64(F.col(quoted(id_column)), F.crc32(text_or_empty(text_column).cast("binary"))), F.lit(n_slots)).cast("int")
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:
@@ -98,23 +98,26 @@ def rebalance_slots(slot_map: DataFrame, slots: DataFrame, n_shards: int, tolera
     )
     stay = held.filter(~F.col("leaves")).select("virtual_slot", "shard", "bytes", "rows")
     moving = held.filter("leaves").select("virtual_slot", "bytes", "rows").unionByName(now.filter(F.col("shard").isNull()).select("virtual_slot", "bytes", "rows"))
-    loads = stay.groupBy("shard").agg(F.sum("bytes").alias("bytes"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.struct(s.cast("int").alias("shard")))
-    start = (
-        stay.sparkSession.range(1).select(F.explode(every).alias("e")).select("e.shard")
-        .join(loads, "shard", "left")
-        .agg(F.collect_list(F.struct(F.coalesce("bytes", F.lit(0)).alias("bytes"), "shard")).alias("loads"))
-    )
-    dealt = _deal_from(moving, start, n_shards)
-    return stay.unionByName(dealt)
+    held_bytes = stay.groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+    shards = stay.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard")).join(held_bytes, "shard", "left")
+    start = shards.agg(F.collect_list(F.struct(F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "shard")).alias("start"))  # n_shards entries
+    return stay.unionByName(_deal_one_by_one(moving, start))
+
 
+def _deal_one_by_one(slots: DataFrame, start: DataFrame) -> DataFrame:
+    """Deal ``slots`` in falling order of bytes, each to the shard with the least load so far."""
+    state = "struct<loads:array<struct<bytes:bigint,shard:int>>,dealt:array<struct<virtual_slot:int,shard:int,bytes:bigint,rows:bigint>>>"
 
-def _deal_from(slots: DataFrame, start: DataFrame, n_shards: int) -> DataFrame:
-    """Deal to shards that already hold ``start.loads``: emptiest shard first."""
-    order = Window.orderBy(F.col("bytes").desc(), "virtual_slot")
-    ranked = slots.withColumn("k", F.row_number().over(order) - 1)
-    shards = start.select(F.posexplode(F.array_sort("loads")).alias("place", "load")).select("place", "load.shard")
-    return ranked.join(shards, F.pmod(ranked["k"], F.lit(n_shards)) == shards["place"]).select("virtual_slot", "shard", "bytes", "rows")
+    def one(acc: Column, slot: Column) -> Column:
+        to = F.array_min(acc["loads"])
+        loads = F.transform(acc["loads"], lambda x: F.when(x["shard"] == to["shard"], F.struct((x["bytes"] - slot["neg"]).alias("bytes"), x["shard"].alias("shard"))).otherwise(x))
+        placed = F.struct(slot["virtual_slot"].alias("virtual_slot"), to["shard"].alias("shard"), (-slot["neg"]).alias("bytes"), slot["rows"].alias("rows"))
+        return F.struct(loads.alias("loads"), F.concat(acc["dealt"], F.array(placed)).alias("dealt")).cast(state)
+
+    order = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("neg"), "virtual_slot", "rows")))
+    both = slots.agg(order.alias("slots")).join(start)  # one row each
+    zero = F.struct(F.col("start").alias("loads"), F.array().alias("dealt")).cast(state)
+    return both.select(F.explode(F.aggregate("slots", zero, one)["dealt"]).alias("d")).select("d.*")
 
 
 def grow_slots(slot_map: DataFrame, n_shards: int) -> DataFrame:
@@ -151,11 +154,12 @@ def shard_records(docs: DataFrame, map_path: str, n_shards: int = 40, id_column:
     the columns that pass through: by default the id alone, so that no text is
     shuffled.
     """
-    kept = [id_column] if keep is None else keep
+    own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot"]
+    columns = kept_columns(docs, [id_column] if keep is None else keep, own)
     text = text_or_empty(text_column)
-    own = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot"}
     digest = docs.select(
-        *[F.col(c) for c in kept if c not in own],
+        packed(columns),
+        F.col(quoted(id_column)).alias("id"),
         (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         virtual_slot(id_column, text_column, n_slots).alias("virtual_slot"),
@@ -164,12 +168,12 @@ def shard_records(docs: DataFrame, map_path: str, n_shards: int = 40, id_column:
     slot_map = load_slot_map(docs.sparkSession, map_path, 1)
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
     plan = slot_map.select("virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col(id_column).asc_nulls_first(), "text_crc32", "size")) - 1
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size")) - 1
     return (
         digest.withColumn("place", place)
         .join(F.broadcast(plan), "virtual_slot")  # at most n_slots rows
         .select(
-            *[F.col(c) for c in kept if c not in own],
+            *unpacked(columns),
             "size",
             "text_crc32",
             F.lit("bytes").alias("law"),

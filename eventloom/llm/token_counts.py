@@ -3,17 +3,18 @@
 A merge can only build pieces of the vocabulary. Where no piece holds two
 neighbouring characters, no merge crosses between them, so a text falls apart
 into *pre-tokens* whose pieces can be counted alone. For the vocabulary used
-here that is so before every run of word-start marks and between letters and
-other characters; the pieces of the model are searched to be sure, and a
-vocabulary with mixed pieces is cut before word starts only.
+here that is so before every run of word-start marks, and not between letters and
+other characters, as it has a piece that mixes them; the pieces of the model are
+searched to be sure, and a vocabulary without mixed pieces is cut there as well.
 
 1. Distinct pre-tokens of all texts are gathered with the number of texts they
    are in, summed up in each task before they are moved.
 2. The pieces of every distinct pre-token are counted, once.
 3. Counts are joined to the per-document frequencies and summed. The ``HEAD``
    most widespread pre-tokens of at most ``HEAD_CHARS`` characters, a bounded
-   table, are sent to all tasks and joined there; all others are joined by a
-   shuffle on a 64-bit hash (equal hashes are taken for equal pre-tokens).
+   table, are sent to all tasks and joined there; all others are joined on a
+   64-bit hash (equal hashes are taken for equal pre-tokens), the most frequent
+   of them apart, so that a long pre-token in very many texts is no hot key.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows
 are counted alike; an empty table gives an empty result; other columns pass
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, small_batches, staged
+from .common import fresh, kept_columns, map_texts, quoted, skew_join, small_batches, staged
 
 HEAD = 1 << 18
 HEAD_CHARS = 64
@@ -111,11 +112,11 @@ def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", ke
     """Add n_bytes, n_tokens and over_limit to every row."""
     spark = docs.sparkSession
     own = ["n_bytes", "n_tokens", "over_limit"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    row_id = fresh("__row", kept)
+    kept = kept_columns(docs, keep, own)
+    row_id, head_sum, keys_of, times_of = (fresh(n, kept) for n in ("row", "head", "keys", "times"))
     pattern = pretoken_pattern(model_file)
     small_batches(spark, 5000)
-    texts = docs.select(F.col(text_column).cast("string").alias("text"))
+    texts = docs.select(F.col(quoted(text_column)).cast("string").alias("text"))
     distinct = texts.mapInPandas(_gather(pattern), "pretoken string, texts long").groupBy("pretoken").agg(F.sum("texts").alias("texts"))
     counted = staged(distinct.mapInPandas(_count_pieces(model_file), "pretoken string, texts long, key long, pieces int"), "pretokens")
     top = most_widespread(counted.filter(F.length("pretoken") <= HEAD_CHARS), head).select("pretoken", "pieces").toArrow()
@@ -145,10 +146,12 @@ def count_tokens(docs: DataFrame, model_file: str, text_column: str = "text", ke
 
         return measure
 
-    measured = map_texts(docs, kept, text_column, {"n_bytes": "long", "__head": "long", "__keys": "array<long>", "__times": "array<int>"}, make)
+    measured = map_texts(docs, kept, text_column, {"n_bytes": "long", head_sum: "long", keys_of: "array<long>", times_of: "array<int>"}, make)
     measured = staged(measured.withColumn(row_id, F.monotonically_increasing_id()), "token-heads")
-    rest = measured.select(row_id, F.explode(F.arrays_zip("__keys", "__times")).alias("t")).select(row_id, F.col("t.__keys").alias("key"), F.col("t.__times").alias("times"))
-    pieces = counted.select("key", "pieces").groupBy("key").agg(F.max("pieces").alias("pieces"))
-    tails = rest.join(pieces, "key").groupBy(row_id).agg(F.sum(F.col("times") * F.col("pieces")).alias("__tail"))
-    total = (F.col("__head") + F.coalesce("__tail", F.lit(0))).cast("long")
-    return measured.drop("__keys", "__times").join(tails, row_id, "left").select(*kept, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    rest = measured.select(F.col(row_id).alias("row"), F.explode(F.arrays_zip(F.col(keys_of).alias("key"), F.col(times_of).alias("times"))).alias("t")).select("row", "t.key", "t.times")
+    pieces = counted.groupBy("key").agg(F.max("pieces").alias("pieces"), F.sum("texts").alias("texts"))
+    tails = skew_join(rest, pieces, ["key"], "texts").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail"))
+    tails = tails.select(F.col("row").alias(fresh("row2", kept)), F.col("tail").alias(fresh("tail", kept)))
+    total = (F.col(head_sum) + F.coalesce(fresh("tail", kept), F.lit(0))).cast("long")
+    out = measured.drop(keys_of, times_of).join(tails, F.col(row_id) == F.col(fresh("row2", kept)), "left")
+    return out.select(*[F.col(quoted(c)) for c in kept], "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -6,6 +6,7 @@ import json
 import os
 import random
 import uuid
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -267,6 +268,10 @@ def test_sharding_laws(spark):
         loads[r["shard"]] += r["size"]
     assert sum(loads.values()) == sum(len((t or "").encode()) + 16 for _, t, _ in documents())
     assert max(loads.values()) - min(loads.values()) <= max(r["size"] for r in rows)
+    texts = {d: (t or "").encode() for d, t, _ in documents()}
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 16, zlib.crc32(texts[r["doc_id"]])) for r in rows)
+    for shard in loads:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
     first = sharding.load_slot_map(spark, path, 1)
     grown = sharding.grow_slots(first, 8)
     sharding.save_slot_map(grown, path, 2)
@@ -281,11 +286,16 @@ def test_sharding_laws(spark):
         after[shard] += n
         before[was[s]] += n
     assert max(after.values()) <= max(before.values()) and sum(edited[s][0] != was[s] for s in was) < len(was) / 2
+    # One shard is empty at the start: all end near the mean.
+    skewed = first.withColumn("shard", F.when(F.col("shard") == 5, 2).otherwise(F.col("shard")))
+    after = Counter()
+    for r in sharding.rebalance_slots(skewed, sharding.slot_bytes(sharded), 8).collect():
+        after[r["shard"]] += r["bytes"]
+    mean, largest = sum(after.values()) / 8, max(n for _, n in sharding.slot_bytes(sharded).select("virtual_slot", "bytes").collect())
+    assert len(after) == 8 and all(abs(n - mean) <= 0.02 * mean + largest for n in after.values())
 
 
 def test_packing_keeps_every_token_and_is_near_the_bound(spark):
-    import zlib
-
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -348,6 +358,39 @@ def test_mixing_targets_are_shared_by_weight(spark):
     for s in names:
         assert abs(targets[s] - expected[s]) < 1e-6 * max(1, expected[s])
     assert abs(sum(taken.values()) - sum(expected.values())) < 0.1 * sum(expected.values())
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    for s, docs in by_source.items():  # within five deviations of the draw, source by source
+        rate = targets[s] / sizes[s]
+        spread = sum(r["size"] ** 2 for r in docs) * (rate % 1) * (1 - rate % 1)
+        assert abs(taken[s] - targets[s]) <= 5 * spread**0.5 + 1
+        assert all(r["taken"] in (int(rate) * r["size"], -int(-rate // 1) * r["size"]) and r["source_size"] == sizes[s] for r in docs)
+
+
+def test_token_counts_on_documents(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in queries.op3_token_counts(spark, SF).collect()}
+    for doc_id, text, _ in documents():
+        n = len(model.encode(text or ""))
+        assert (got[doc_id]["n_tokens"], got[doc_id]["n_bytes"], got[doc_id]["over_limit"]) == (n, len((text or "").encode()), n > 4096)
+
+
+def test_media_on_documents(spark):
+    got = {r["doc_id"]: r for r in queries.op8_media_columns(spark, SF).collect()}
+    for doc_id, text, _ in documents():
+        raw = (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        stored = media.to_png(payload)
+        samples = np.frombuffer(payload, np.uint8).reshape(-1, 192).astype(float)
+        share = np.array([n / samples.size for n in Counter(payload).values()])
+        feature = f"192x{len(samples)};mean={samples.mean():.4f};std={samples.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};step={np.abs(samples[:, 1:] - samples[:, :-1]).mean():.4f}"
+        r = got[doc_id]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == feature
 
 
 def test_secrets_on_documents(spark):

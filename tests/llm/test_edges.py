@@ -175,3 +175,44 @@ def test_types_survive(spark, docs):
     kept = secrets.scan_secrets(docs)
     assert kept.schema["doc_id"].dataType == T.LongType()
     assert BIG in {r["doc_id"] for r in kept.collect()}
+
+
+CLASHING = ["SIZE", "Spans", "__source", "__draw", "__key", "__words", "__bit", "row", "kept", "HOST", "line", "text2", "N_TOKENS", "Copies", "Virtual_Slot", "Piece", "component_ID", "bucket", "salt", "a.b"]
+
+
+def _operators(spark):
+    tokenizer, model = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return {
+        "op1": lambda d: html_extract.extract_main_text(d, "text"),
+        "op2": lambda d: sharding.shard_records(d, path(spark), 4, keep=d.columns),
+        "op3": lambda d: token_counts.count_tokens(d, model),
+        "op4": ngram_join.one_per_component,
+        "op5": lambda d: packing.pack_documents(d, tokenizer),
+        "op6": mixing.mix_sources,
+        "op6 rows": lambda d: mixing.mix_sources(d, emit=True),
+        "op9": secrets.scan_secrets,
+        "op10": quality.quality_rules,
+        "op10 texts": lambda d: quality.clean_documents(d),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op6 rows", "op9", "op10", "op10 texts"])
+@pytest.mark.parametrize("id_type", ["long", "string"])
+def test_columns_with_any_names_pass_through(spark, name, id_type):
+    schema = f"doc_id {id_type}, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    texts = [None, "", "one two three four five six seven eight nine ten eleven twelve", "one two three four five six seven eight nine ten eleven twelve", "something else that has words enough to stay in the table by itself"]
+    rows = [(str(i) if id_type == "string" else i, t, "ab"[i % 2], *[100 * i + k for k in range(len(CLASHING))]) for i, t in enumerate(texts)]
+    out = _operators(spark)[name](spark.createDataFrame(rows, schema))
+    low = [c.lower() for c in out.columns]
+    assert len(set(low)) == len(low)
+    passed = [(k, c) for k, c in enumerate(CLASHING) if c in out.columns and out.schema[c].dataType == T.IntegerType()]
+    replaced = {c.lower() for c in CLASHING} - {c.lower() for _, c in passed}
+    assert replaced <= set(low) and (not replaced or name not in ("op1", "op4", "op10 texts"))
+    for r in out.collect():
+        assert all(r[c] == 100 * int(r["doc_id"]) + k for k, c in passed), name
+
+
+def test_media_takes_ids_of_any_type(spark):
+    at = path(spark)
+    media.write_archives(spark.createDataFrame([("a/b", "x"), ("null", "y"), (None, "z"), ("", "w")], "doc_id string, text string"), at)
+    assert {r["doc_id"] for r in media.media_features(media.read_archives(spark, at), id_type="string").collect()} == {"a/b", "null", None, ""}
