@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,18 @@ from ..functions.identity import content_leaf, leaf_sum
 from ..operators import counts, reconcile
 from ..schema import conform
 from ..snapshots import Snapshots
-from ..sources import custom_history, providers
+from ..sources import custom_history, jsonl, providers
 from ..streaming import refresh
 from .tables import TRANSCRIPT_SQL, table, transcript_events
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    """A new path in the folder that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -156,15 +162,30 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     turns.repartition(4, "conv_id").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value")).write.text(folder)
 
-    def parse(batch: DataFrame) -> DataFrame:
-        r = batch.select("file", F.from_json("value", "conv_id long, turn long, role string, text string").alias("r"))
+    def parse(records: DataFrame) -> DataFrame:
+        r = records.select("file", F.from_json("value", "conv_id long, turn long, role string, text string").alias("r"))
         return r.select(F.col("file").alias("source_key"), F.concat_ws("-", "r.conv_id", "r.turn").alias("event_id"), F.col("r.conv_id").cast("string").alias("session_id"), F.col("r.turn").alias("event_sequence"), F.lit("message").alias("event_type"), F.col("r.role").alias("role"), F.col("r.text").alias("body"))
 
     store = Snapshots(spark, root)
-    refresh.refresh(refresh.text_stream(spark, folder, 2), store, parse, mark).awaitTermination()
+    refresh.refresh(refresh.file_stream(spark, folder, 2), store, parse, mark).awaitTermination()
     return store.read().groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
+def streamed_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a dialect without ids of their own: a stream gives them the ids of a batch import."""
+    folder, root, mark = (shared_folder(spark, n) for n in ("incoming", "streamed", "stream-mark"))
+    said = F.struct(F.col("role"), F.col("text").alias("content"))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("s"), F.col("conv_id") % 100).alias("sessionId"), said.alias("message"))).alias("value"))
+    lines.repartition(4).select("value").write.text(folder)  # sessions go across files
+    parse = lambda records: providers.project_format(records, "pi_session_jsonl")
+    store = Snapshots(spark, root)
+    refresh.refresh(refresh.file_stream(spark, folder, 2), store, parse, mark).awaitTermination()
+    streamed = store.read().select("event_id", "role", "session_id")
+    at_once = parse(jsonl.read_records(spark, folder, suffixes=".txt")).select(F.col("event_id").alias("batch_id"))
+    both = streamed.join(at_once, F.col("event_id") == F.col("batch_id"), "full_outer")
+    return both.groupBy("role").agg(F.count("event_id").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.count("batch_id").alias("n_batch"), F.countDistinct("session_id").alias("sessions"))
+
+
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of an event stream at its end equal those of the batch."""
     name = f"usage_{uuid.uuid4().hex}"
@@ -177,7 +198,7 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_custom_events, ingest_custom_rejects, ingest_codex, ingest_claude, ingest_gemini, ingest_pages, snapshot_published, snapshot_appended, source_changes, content_sum_of_documents, streamed_refresh, streamed_usage,
+        ingest_custom_events, ingest_custom_rejects, ingest_codex, ingest_claude, ingest_gemini, ingest_pages, snapshot_published, snapshot_appended, source_changes, content_sum_of_documents, streamed_refresh, streamed_dialect, streamed_usage,
     )
 }
 
@@ -201,5 +222,6 @@ ORACLE_SQL = {
     "source_changes": "WITH d AS (SELECT doc_id AS key, sha256(text) AS digest FROM documents), now AS (SELECT * FROM d WHERE key % 11 <> 0), was AS (SELECT key, CASE WHEN key % 7 = 0 THEN 'old' ELSE digest END AS digest FROM d WHERE key % 10 <> 0) SELECT coalesce(now.key, was.key) AS key, CASE WHEN was.key IS NULL THEN 'new' WHEN now.key IS NULL THEN 'gone' WHEN now.digest = was.digest THEN 'unchanged' ELSE 'stale' END AS change FROM now FULL OUTER JOIN was ON now.key = was.key",
     "content_sum_of_documents": "SELECT DISTINCT source, true AS same FROM documents",
     "streamed_refresh": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role",
+    "streamed_dialect": "SELECT role, count(*) AS n, count(*) AS n_ids, count(*) AS n_batch, count(DISTINCT conv_id % 100) AS sessions FROM conversations WHERE trim(text) <> '' GROUP BY role",
     "streamed_usage": "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS total FROM events GROUP BY event_type",
 }

@@ -2,10 +2,12 @@
 
 A generation is a manifest: for every source the folders that hold its rows,
 with counts and an order-free content sum. A publication writes only the rows
-of changed sources; unchanged ones keep their folders. The pointer to the
-active generation is one small file, replaced by a rename after the new
-manifest has been verified. Readers resolve the pointer once and stay with that
-generation.
+of changed sources; unchanged ones keep their folders. A generation has one
+successor: who publishes claims it by creating a file that must not exist, so of
+two publishers one fails and none is lost. The pointer to the active generation
+is one small file, replaced after the new manifest has been verified; where a
+file system can't rename over a file, readers that find none look again. Readers
+resolve the pointer once and stay with that generation.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .operators.counts import content_sums
 from .schema import CORE_EVENT, conform
 
 GRACE_ABSENCES = 3
+CLAIM_SECONDS = 600  # a claim that led to nothing may be taken over after this
+FOLDER_EVENTS = 1 << 20  # events of a source that one task writes
 
 
 @dataclass
@@ -91,6 +95,11 @@ class Snapshots:
     # -- reading -----------------------------------------------------------
     def pointer(self) -> dict | None:
         text = self._read("pointer.json")
+        for _ in range(20):
+            if text or not self._listed("generations"):
+                break
+            time.sleep(0.1)  # it is being replaced
+            text = self._read("pointer.json")
         return json.loads(text) if text else None
 
     def active(self) -> str | None:
@@ -119,8 +128,12 @@ class Snapshots:
         """Write rows by source below one new folder; their states."""
         batch = f"data/{uuid.uuid4().hex}"
         rows = conform(events).withColumn("__folder", F.sha2("source_key", 256))
-        rows.repartition("source_key", F.pmod(F.xxhash64("event_id"), F.lit(8))).sortWithinPartitions("__folder", "session_id", "event_sequence").write.partitionBy("__folder").parquet(f"{self.root}/{batch}")
+        # A large source is written by as many tasks as it needs, a small one by one.
+        sizes = rows.groupBy("source_key").agg(F.ceil(F.count(F.lit(1)) / FOLDER_EVENTS).cast("int").alias("__tasks"))
+        dealt = rows.join(sizes, "source_key").withColumn("__task", F.pmod(F.xxhash64("event_id"), F.col("__tasks")))
+        dealt.repartition("source_key", "__task").drop("__tasks", "__task").sortWithinPartitions("__folder", "session_id", "event_sequence").write.partitionBy("__folder").parquet(f"{self.root}/{batch}")
         written = self.spark.read.schema(CORE_EVENT).parquet(f"{self.root}/{batch}")
+        self._refuse_repeated(written)
         facts = written.groupBy("source_key").agg(F.count(F.lit(1)).alias("events"))
         sums = content_sums(written)
         states = {}
@@ -128,6 +141,31 @@ class Snapshots:
             states[r["source_key"]] = SourceState([f"{batch}/__folder={r['folder']}"], r["events"], r["content_sum"])
         return states
 
+    @staticmethod
+    def _refuse_repeated(events: DataFrame) -> None:
+        """An identity that stands for two events is an error, never repaired."""
+        found = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(3).collect()
+        if found:
+            raise ValueError(f"events with the same id: {[r['event_id'] for r in found]}")
+
+    def _claim(self, base: str | None, claimant: str) -> None:
+        """Become the one successor of ``base``, or fail."""
+        path = self._path(f"{self.root}/claims/{base or 'first'}.json")
+        for _ in range(2):
+            try:
+                stream = self._fs.create(path, False)
+                stream.write(bytearray(json.dumps({"by": claimant, "ms": int(time.time() * 1000)}).encode()))
+                stream.close()
+                return
+            except Exception as error:  # the file system's own kind of "exists already"
+                if not self._fs.exists(path):
+                    raise
+                old = time.time() * 1000 - self._fs.getFileStatus(path).getModificationTime() > CLAIM_SECONDS * 1000
+                if not old or self.active() != base:
+                    raise RuntimeError("another generation was published in between") from error
+                self._fs.delete(path, False)
+        raise RuntimeError("another generation was published in between")
+
     def publish(
         self,
         replace: DataFrame | None = None,
@@ -160,24 +198,29 @@ class Snapshots:
             states.pop(key, None)
         if replace is not None:
             states |= self._stage(replace)
+        grown: list[str] = []
         if append is not None:
             for key, new in self._stage(append).items():
                 if key not in states:
                     raise ValueError(f"append to a source without a frontier: {key}")
                 old = states[key]
                 total = (int(old.content_sum, 16) + int(new.content_sum, 16)) % (1 << 256)
-                states[key] = SourceState(old.paths + new.paths, old.events + new.events, f"{total:064x}")
+                states[key] = SourceState(old.paths + new.paths, old.events + new.events, f"{total:064x}", old.frontier, old.prefix_hash)
+                grown.append(key)
         for key, (end, prefix) in (frontiers or {}).items():
             if key in states:
                 states[key].frontier, states[key].prefix_hash = end, prefix
         new = Generation(base_id, states, {"published_ms": str(int(time.time() * 1000)), **(notes or {})})
         self._verify(new)
+        if grown:  # new rows against those that were there
+            self._refuse_repeated(self.spark.read.schema(CORE_EVENT).parquet(*[f"{self.root}/{p}" for k in grown for p in states[k].paths]))
+        self._claim(base_id, new.id)
         self._write(f"generations/{new.id}.json", new.text())
         self._write("pointer.json", json.dumps({"active": new.id, "previous": base_id}))
         return new.id
 
     def _verify(self, generation: Generation) -> None:
-        """Every folder is there and no event stands in it twice."""
+        """Every folder is there; repeated events were refused when they were staged."""
         missing = [p for s in generation.sources.values() for p in s.paths if not self._fs.exists(self._path(f"{self.root}/{p}"))]
         if missing:
             raise RuntimeError(f"missing folders: {missing[:3]}")

@@ -60,10 +60,13 @@ class BoundedJsonlReader(DataSourceReader):
         self.max_bytes = int(options.get("maxbytes", options.get("maxBytes", MAX_RECORD_BYTES)))
         self.depth = int(options.get("depth", 8))
         self.frontiers = json.loads(options.get("frontiers", "{}"))
+        self.listed = json.loads(options.get("files", "null"))
 
     def _files(self) -> list[pafs.FileInfo]:
         """Plain files of a bounded tree; links aren't followed by the walk's depth."""
         fs, root = open_fs(self.path)
+        if self.listed is not None:
+            return sorted(fs.get_file_info([open_fs(f)[1] for f in self.listed]), key=lambda f: f.path)
         top = fs.get_file_info(root)
         if top.type == pafs.FileType.File:
             return [top]
@@ -149,6 +152,13 @@ def read_records(spark: SparkSession, path: str, frontiers: dict[str, int] | Non
     return reader.load(path)
 
 
+def read_files(spark: SparkSession, files: list[str], **options) -> DataFrame:
+    """Records of the named files of one file system."""
+    if not files:
+        return spark.createDataFrame([], BoundedJsonl({}).schema())
+    return read_records(spark, files[0], files=json.dumps(files), **options)
+
+
 def split_oversized(records: DataFrame, policy: str = "reject_record") -> DataFrame:
     """Records of legal size; ``reject_source`` makes any oversized one an error."""
     if policy == "reject_record":

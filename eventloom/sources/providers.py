@@ -110,6 +110,11 @@ DIALECTS = {
 def _ids(rows: DataFrame, dialect_format: str, provider: str) -> DataFrame:
     """Stable ids, the source key and the search order of projected rows."""
     session = F.coalesce("session_key", "file")
+    # An event is known by the format's own id, else by its place; equal places in
+    # two files of a session are two events.
+    place = F.concat_ws(":", F.lit("at"), "file", F.col("offset").cast("string"))
+    own = F.concat_ws(":", F.lit("id"), "own_id", "event_type") if "own_id" in rows.columns else None
+    known_as = place if own is None else F.when(F.coalesce("own_id", F.lit("")) == "", place).otherwise(own)
     tag = digest(F.lit(provider), F.lit(dialect_format), session)
     parent = lambda c: F.when(F.col(c).isNotNull(), uuid8(digest(F.lit(provider), F.lit(dialect_format), F.col(c))))
     return conform(
@@ -120,7 +125,7 @@ def _ids(rows: DataFrame, dialect_format: str, provider: str) -> DataFrame:
         .withColumn("parent_session_id", parent("parent_key"))
         .withColumn("root_session_id", parent("root_key"))
         .withColumn("provider_session_id", F.col("session_key"))
-        .withColumn("event_digest", digest(F.lit(provider), F.lit(dialect_format), session, F.col("offset").cast("string"), F.col("part").cast("string")))
+        .withColumn("event_digest", digest(F.lit(provider), F.lit(dialect_format), session, known_as, F.col("part").cast("string")))
         .withColumn("event_id", uuid8(F.col("event_digest")))
         .withColumn("event_sequence", F.col("offset") * 64 + F.col("part"))
         .withColumn("policy_status", F.lit("selected"))
@@ -146,6 +151,7 @@ def project(records: DataFrame, dialect: Dialect) -> DataFrame:
         first_text(v, *dialect.session).alias("session_key"),
         first_text(v, *dialect.parent).alias("parent_key"),
         first_text(v, *dialect.root).alias("root_key"),
+        first_text(v, *dialect.native_id).alias("own_id"),
         F.coalesce(first_text(v, *dialect.native_id), message_id(message, F.col("offset"))).alias("native_event_id"),
         first_ms(*[at(v, p) for p in dialect.time]).alias("occurred_at_ms"),
         F.coalesce(type_by_kind, event_type(message, role_text)).alias("event_type"),
@@ -224,11 +230,12 @@ def project_claude(records: DataFrame) -> DataFrame:
         first_text(v, "sessionId").alias("session_key"),
         F.lit(None).cast("string").alias("parent_key"),
         F.lit(None).cast("string").alias("root_key"),
+        first_text(v, "uuid").alias("own_id"),
         first_text(v, "uuid", "message.id").alias("native_event_id"),
         first_ms(at(v, "timestamp")).alias("occurred_at_ms"),
         role(F.coalesce(at(v, "message.role"), at(v, "role"), entry)).alias("role"),
         F.posexplode(F.concat(F.filter(F.array(text_row), lambda t: t["body"].isNotNull()), call_rows)).alias("part", "e"),
-    ).select("file", "offset", "part", "session_key", "parent_key", "root_key", "native_event_id", "occurred_at_ms", "role", "e.*")
+    ).select("file", "offset", "part", "session_key", "parent_key", "root_key", "own_id", "native_event_id", "occurred_at_ms", "role", "e.*")
     return _ids(rows, "claude_projects_jsonl_tree", "claude")
 
 

@@ -18,25 +18,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..snapshots import Snapshots
+from ..sources import jsonl
 
 QUIET_MS, LONGEST_MS = 250, 2000
 
 
-def text_stream(spark: SparkSession, path: str, files_per_batch: int = 256) -> DataFrame:
-    """Lines of the text files in a folder as they arrive, with their file."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"))
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def refresh(lines: DataFrame, store: Snapshots, parse: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Publish each micro-batch's events; sources in the batch are replaced whole."""
+def file_stream(spark: SparkSession, path: str, files_per_batch: int = 256) -> DataFrame:
+    """The files of a folder as they arrive, by path and length; no content is read."""
+    return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(path).select("path", "length")
+
+
+def refresh(files: DataFrame, store: Snapshots, parse: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True, **options) -> StreamingQuery:
+    """Publish each micro-batch of ``file_stream``; sources in the batch are replaced whole.
+
+    ``parse`` turns records (file, offset, value) into events. Offsets are the
+    bytes at which lines begin, so events have the ids that a batch import gives
+    them. A batch is as many paths as the stream takes at once, a bounded list.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         done = store.generation().notes.get("batch")
         if done is not None and int(done) >= batch_id:
             return
-        store.publish(replace=parse(batch), notes={"batch": str(batch_id)})
+        paths = sorted(r["path"] for r in batch.select("path").collect())
+        records = jsonl.split_oversized(jsonl.read_files(store.spark, paths, **options))
+        store.publish(replace=parse(records), notes={"batch": str(batch_id)})
 
-    writer = lines.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=f"{QUIET_MS} milliseconds").start()
 
 

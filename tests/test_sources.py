@@ -174,6 +174,27 @@ def test_import_and_refresh(spark):
         providers.project_format(_lines(spark, CODEX), "unheard_of")
 
 
+def test_identities_and_publishers(spark):
+    record = json.dumps({"type": "message", "sessionId": "s", "message": {"role": "user", "content": "hi"}})
+    with_id = json.dumps({"type": "message", "id": "m1", "sessionId": "s", "message": {"role": "user", "content": "hi"}})
+    rows = [("a", 0, record), ("a", 90, record), ("b", 0, record), ("a", 200, with_id), ("b", 300, with_id)]
+    events = providers.project_format(spark.createDataFrame(rows, "file string, offset long, value string"), "pi_session_jsonl")
+    ids = [r["event_id"] for r in events.orderBy("source_key", "event_sequence").collect()]
+    assert len(set(ids)) == 4 and ids[2] == ids[4]  # known by its own id, wherever it stands
+    store = Snapshots(spark, shared_folder(spark, "store"))
+    with pytest.raises(ValueError, match="same id"):
+        store.publish(replace=events)
+    assert store.active() is None
+    first = store.publish(replace=events.filter("source_key LIKE '%a'"))
+    with pytest.raises(ValueError, match="same id"):
+        store.publish(append=events.filter("source_key LIKE '%a'"))
+    assert store.active() == first
+    store._claim(first, "someone else")  # another publisher that came first
+    with pytest.raises(RuntimeError, match="in between"):
+        store.publish(notes={"x": "y"})
+    assert store.active() == first and store.read().count() == 3
+
+
 def test_dirty_ledger(spark):
     folder = shared_folder(spark, "deliveries")
     rows = [("r", 1, 1, 1000), ("r", 1, 1, 1200), ("r", 1, 2, 1100), ("r", 0, 9, 9000), ("q", 1, 5, 50)]
