@@ -12,10 +12,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, result_title, snippet
+from ..functions.text import class_weight, query_terms, result_title, snippet
 from ..functions.vectors import chunks, document_header, e5_passage, turn_text
 from ..operators import counts, lineage, lookup, projections, ranges, reconcile, search, sessions, shaping, vector
 from ..operators.filters import EventFilters, outside_tree, semantic_candidate
+from ..operators.term_index import TermIndex
 from ..schema import conform
 from ..snapshots import Snapshots
 from ..sources import providers
@@ -24,18 +25,29 @@ DEFAULT_RESULTS, MAX_RESULTS = 20, 200
 
 
 class History:
-    def __init__(self, spark: SparkSession, events: DataFrame, generation: str = "none", vectors: DataFrame | None = None):
-        """``vectors``: event_id, chunk_index, source_text_hash and embedding, if there are any."""
-        self.spark, self.generation, self.vectors = spark, generation, vectors
+    def __init__(self, spark: SparkSession, events: DataFrame, generation: str = "none", vectors: DataFrame | None = None, index: TermIndex | None = None):
+        """``vectors``: event_id, chunk_index, source_text_hash and embedding, if there are any.
+
+        ``index``: the events' term index; without one a search cuts all texts into tokens.
+        """
+        self.spark, self.generation, self.vectors, self.index = spark, generation, vectors, index
         self.events = conform(events)
 
     @staticmethod
-    def open(store: Snapshots, generation: str | None = None, vectors: DataFrame | None = None) -> History:
-        """Pin the active or a named generation."""
+    def open(store: Snapshots, generation: str | None = None, vectors: DataFrame | None = None, indexed: bool = False) -> History:
+        """Pin the active or a named generation; ``indexed``: with its term index, made if it has none."""
         found = generation or store.active()
         if found is None:
             raise ValueError("nothing has been published")
-        return History(store.spark, store.read(found), found, vectors)
+        events = store.read(found)
+        index = None
+        if indexed:
+            path = f"{store.root}/term-index/{found}"
+            if store.exists(f"term-index/{found}/statistics/_SUCCESS"):  # written last
+                index = TermIndex(store.spark, path)
+            else:
+                index = TermIndex.write(events.withColumn("body", projections.body_search()), path)
+        return History(store.spark, events, found, vectors, index)
 
     # -- search ------------------------------------------------------------
     def backend(self, filters: EventFilters, wanted: str, weight: float) -> str:
@@ -84,11 +96,8 @@ class History:
         return window.select("shown", "session_id", "event_id", "score", "more_matches", "more_available", "occurred_at_ms", "event_type", "role", result_title(F.col("provider"), F.col("role"), F.col("event_type")).alias("title"), cut["snippet"].alias("snippet"), cut["truncated"].alias("truncated")).orderBy("shown")
 
     def _pool(self, rows: DataFrame, terms: list[str], kind: str, scope: str, query_vector: list[float] | None, weight: float) -> DataFrame:
-        body = projections.body_search()
-        corpus = search.with_tokens(self.events.withColumn("__search", body), "__search")
-        mine = corpus.join(rows.select("event_id"), "event_id", "left_semi")
         size = search.POOL if kind == "lexical" else vector.FUSION_POOL
-        lexical = search.coverage_pool(search.lexical_scores(mine, corpus, terms, scope), size) if terms else None
+        lexical = search.coverage_pool(self._scores(rows, terms, scope), size) if terms else None
         if kind == "lexical":
             return lexical.drop("tokens", "doc_len", "__search", "coverage")
         near = vector.eligible(self.vectors, rows.filter(semantic_candidate()))
@@ -99,6 +108,15 @@ class History:
         fused = vector.fuse(placed, vector.ranked(best, "similarity", "semantic_rank"), weight)
         return rows.join(fused.select("event_id", "score"), "event_id")
 
+    def _scores(self, rows: DataFrame, terms: list[str], scope: str) -> DataFrame:
+        """``rows`` that hold a term, with coverage and score; statistics are those of all events."""
+        if self.index is not None:
+            scored = rows.join(self.index.scores(terms), "event_id")
+            return scored.withColumn("score", F.col("score") * class_weight(F.col("event_type"), scope))
+        body = projections.body_search()
+        corpus, mine = (search.with_tokens(x.withColumn("__search", body), "__search") for x in (self.events, rows))
+        return search.lexical_scores(mine, corpus, terms, scope)
+
     def outside_active(self, session_id: str):
         """Predicate that leaves out the session being worked in, with its tree."""
         root = lineage.proven_root(self.events, session_id)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, result_title, snippet, tokens
 from ..operators import search, shaping, vector
+from ..operators.term_index import TermIndex
+from .ingest import shared_folder
 from .literals import events_fixture, events_sql
 from .tables import TOKENS_SQL, document_events, table, transcript_events
 
@@ -29,9 +31,19 @@ tfs AS (SELECT event_id, {tf} FROM toks WHERE term IN ({listed}) GROUP BY event_
 scored AS (SELECT t.event_id, {cover} AS coverage, {part} AS score{extra} FROM tfs t JOIN lens USING (event_id) CROSS JOIN stats)"""
 
 
+_indexes: dict[tuple[str, str], TermIndex] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> TermIndex:
+    """The documents' term index, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = TermIndex.write(document_events(spark, sf_dir), shared_folder(spark, "term-index"))
+    return _indexes[key]
+
+
 def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = search.with_tokens(document_events(spark, sf_dir))
-    return search.lexical_scores(corpus, corpus, query_terms(spark, QUERY))
+    return document_index(spark, sf_dir).scores(query_terms(spark, QUERY))
 
 
 def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,29 +58,26 @@ def search_coverage_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter narrows what is found; statistics stay those of the corpus."""
-    corpus = search.with_tokens(document_events(spark, sf_dir))
-    mine = corpus.filter(F.col("provider") == "en")
-    best = search.best_scores(search.lexical_scores(mine, corpus, TERMS), 20)
-    return best.select("event_id", "source_format", F.round("score", 6).alias("score"))
+    mine = document_events(spark, sf_dir).filter(F.col("provider") == "en").select("event_id", "source_format")
+    best = search.best_scores(document_index(spark, sf_dir).scores(TERMS, mine), 20)
+    return mine.join(F.broadcast(best), "event_id").select("event_id", "source_format", F.round("score", 6).alias("score"))  # 20 rows
 
 
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 with title and snippet; bodies are read for the winners alone."""
     docs = document_events(spark, sf_dir)
-    corpus = search.with_tokens(docs).select("event_id", "tokens", "doc_len")
-    best = search.best_scores(search.lexical_scores(corpus, corpus, TERMS), 20).select("event_id", "score")
+    best = search.best_scores(document_index(spark, sf_dir).scores(TERMS), 20).select("event_id", "score")
     hit = docs.join(F.broadcast(best), "event_id")  # 20 rows
     cut = snippet(F.col("body"), ["reen"])
     return hit.select("event_id", result_title(F.col("provider"), F.lit(None).cast("string"), F.lit("message")).alias("title"), cut["snippet"].alias("snippet"), cut["truncated"].alias("truncated"))
 
 
 def tokens_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = search.with_tokens(document_events(spark, sf_dir))
-    return docs.select("event_id", F.col("doc_len").cast("long").alias("doc_len"))
+    return document_index(spark, sf_dir).lengths.select("event_id", "doc_len")
 
 
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_frequencies(search.with_tokens(document_events(spark, sf_dir)))
+    return document_index(spark, sf_dir).document_frequencies()
 
 
 def transcript_search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +155,7 @@ def vector_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical over documents and vectors of the same ids, fused by rank."""
-    corpus = search.with_tokens(document_events(spark, sf_dir))
-    pool = search.coverage_pool(search.lexical_scores(corpus, corpus, TERMS), vector.FUSION_POOL)
+    pool = search.coverage_pool(document_index(spark, sf_dir).scores(TERMS), vector.FUSION_POOL)
     # A text's place in the pool is its coverage tier first.
     lexical = vector.ranked(pool.withColumn("tiered", F.col("coverage") * 1000 + F.col("score")), "tiered", "lexical_rank")
     near = vector.similarities(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "event_id"), _query_vector(spark, sf_dir))

@@ -92,6 +92,9 @@ class Snapshots:
             self._fs.delete(target, False)
             self._fs.rename(aside, target)
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{name}"))
+
     # -- reading -----------------------------------------------------------
     def pointer(self) -> dict | None:
         text = self._read("pointer.json")

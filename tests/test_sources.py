@@ -136,6 +136,9 @@ def test_history(spark):
     history = History.open(store)
     found = history.search(["parser lexer"], limit=3).collect()
     assert [r["shown"] for r in found] == [1, 2, 3] and found[0]["more_available"]
+    for _ in range(2):  # the index is made, then found
+        by_index = History.open(store, indexed=True).search(["parser lexer"], limit=3).collect()
+        assert [(r["event_id"], round(r["score"], 9)) for r in by_index] == [(r["event_id"], round(r["score"], 9)) for r in found]
     assert {r["session_id"] for r in history.search(["parser"], active_session="s2").collect()}.isdisjoint({"s1", "s2", "s3"})
     only = history.search([""], EventFilters(file="lexer"), by_session=False).collect()
     assert len(only) == 2 and [r["event_id"][:16] for r in only] == ["0000000000000002", "0000000000000001"]
