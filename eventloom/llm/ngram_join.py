@@ -422,7 +422,8 @@ def jaccard_links(docs: DataFrame, digest: DataFrame, k: int = K, percent: int =
     listed = digest.filter(F.col("listed").isNotNull() & (F.size("listed") > 0)).select("sig", "n", "listed")
     members = staged(_buckets(listed, exact), "buckets")
     known = members.select("sig").distinct()
-    wanted = digest.filter(F.col("sig").isNotNull()).join(known, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.count("id").alias("named"))
+    # Copies of one text are many rows of one set: they are summed up before the join.
+    wanted = digest.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("id"), F.count("id").alias("named")).join(known, "sig", "left_semi")
     # One text for each set; sets without any named text are read by their rows.
     named = staged(wanted.filter("named > 0").select("id", F.xxhash64("id").alias("key")), "wanted")
     may, _ = bitmap_split(docs.withColumn("key", F.xxhash64("id")), "key", named)
