@@ -8,8 +8,9 @@ parts that training should learn. The template, per turn:
 Inside roles and texts a backslash goes before every backslash, ``<`` and
 ``>``, so no text can look like a mark, and taking these away gives the text
 back. A batch of turns is laid out at once: segment lengths are counted, their
-running sums are the places, and headers and contents are scattered into one
-buffer allocated for all.
+running sums are the places, and headers and contents are scattered from the
+columns' own buffers into one Arrow buffer allocated for all, of which the
+bodies are slices.
 
 Rows of a conversation meet in one task in order of turn and are streamed: the
 output is a part for each run of turns in a batch, with places in the whole, so
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,14 @@ PART_SCHEMA = "conv_id long, part long, start long, n_turns long, body binary, l
 
 
 def _column_bytes(values) -> tuple[np.ndarray, np.ndarray]:
-    """All values as one run of bytes, and each one's length."""
-    raw = [v.encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]
-    return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+    """The bytes of a string column as they lie in its Arrow buffer, and each value's length."""
+    column = values if isinstance(values, pa.Array) else pa.array(values, pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, np.uint8), np.zeros(len(column), np.int64)
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]], np.diff(edges)
 
 
 def _escaped(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +71,7 @@ def _scatter(buffer: np.ndarray, places: np.ndarray, data: np.ndarray, lengths:
 
 
 def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, start of each turn with the end last, text starts, text stops)."""
+    """(view of one Arrow buffer, start of each turn with the end last, text starts, text stops)."""
     role, role_n = _escaped(*_column_bytes(roles))
     text, text_n = _escaped(*_column_bytes(texts))
     n = len(role_n)
@@ -72,7 +79,7 @@ def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     turn = np.concatenate([[0], np.cumsum(total)])
     role_at = turn[:-1] + len(HEAD)
     text_at = role_at + role_n + len(HEAD_END)
-    buffer = np.empty(int(turn[-1]), np.uint8)
+    buffer = np.frombuffer(pa.allocate_buffer(int(turn[-1])), np.uint8)
     for piece, at in ((HEAD, turn[:-1]), (HEAD_END, role_at + role_n), (TAIL, text_at + text_n)):
         _scatter(buffer, at, np.tile(np.frombuffer(piece, np.uint8), n), np.full(n, len(piece), np.int64))
     _scatter(buffer, role_at, role, role_n)
@@ -80,7 +87,6 @@ def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return buffer, turn, text_at, text_at + text_n
 
 
-_PART = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
 _READ = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 
@@ -89,23 +95,37 @@ def _batch(rows: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _cuts(ids: pa.Array) -> np.ndarray:
+    """Where each run of equal ids begins, and the end; null equals null."""
+    value = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    changed = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(ids)]])
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, part, place, began = None, 0, 0, False
+    before: tuple | None = None  # id, parts and bytes of the conversation that may go on
     for batch in batches:
-        ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
-        buffer, turn, text_at, text_end = assemble(roles, texts)
-        cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
-        rows = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if not began or ids[a] != last:
-                last, part, place, began = ids[a], 0, 0, True
-            body = buffer[turn[a] : turn[b]].tobytes()
-            loss = [{"start": int(place + text_at[i] - turn[a]), "stop": int(place + text_end[i] - turn[a])} for i in range(a, b) if roles[i] in LEARNED_ROLES]
-            rows.append((ids[a], part, place, b - a, body, loss))
-            part, place = part + 1, place + len(body)
-        yield _batch(rows, _PART, ["conv_id", "part", "start", "n_turns", "body", "loss"])
+        if not batch.num_rows:
+            continue
+        roles = batch.column(1)
+        buffer, turn, text_at, text_end = assemble(roles, batch.column(2))
+        cuts = _cuts(batch.column(0))
+        ids, edges = batch.column(0).take(pa.array(cuts[:-1])), turn[cuts]
+        part, place = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        if before is not None and before[0] == ids[0].as_py():
+            part[0], place[0] = before[1:]
+        before = (ids[-1].as_py(), part[-1] + 1, place[-1] + edges[-1] - edges[-2])
+        learned = np.flatnonzero(pc.is_in(roles, value_set=pa.array(LEARNED_ROLES, roles.type)).to_numpy(zero_copy_only=False))
+        run = np.searchsorted(cuts, learned, side="right") - 1
+        shift = place[run] - edges[run]
+        spans = pa.StructArray.from_arrays([pa.array(text_at[learned] + shift), pa.array(text_end[learned] + shift)], ["start", "stop"])
+        loss = pa.ListArray.from_arrays(pa.array(np.searchsorted(learned, cuts), pa.int32()), spans)
+        if edges[-1] >= 1 << 31:
+            raise ValueError("a batch of turns takes over 2 GB: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        body = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(buffer)])
+        columns = [ids, pa.array(part), pa.array(place), pa.array(np.diff(cuts)), body, loss]
+        yield pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "start", "n_turns", "body", "loss"])
 
 
 def format_conversations(turns: DataFrame, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
@@ -153,6 +173,7 @@ class _Conversation:
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+        self.parts, self.bytes = 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, start: int, body: bytes, loss: list[dict]) -> None:
@@ -164,6 +185,7 @@ class _Conversation:
             self.loss.update(text)
             self.loss_chars += len(text.decode("utf-8", "surrogatepass"))
         self.chars += len(body.decode("utf-8", "surrogatepass"))
+        self.parts, self.bytes = self.parts + 1, self.bytes + len(body)
 
     def row(self) -> tuple:
         return (self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
@@ -180,12 +202,21 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     done.append(now.row())
                 now = _Conversation(conv_id)
+            if now is None or (conv_id, part, start) != (now.conv_id, now.parts, now.bytes):
+                raise ValueError("parts of a conversation are missing or out of order")
             now.add(start, body, loss)
         yield _batch(done, _READ, names)
     if now is not None:
         yield _batch([now.row()], _READ, names)
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of conversations, read from formatted parts as ``format_conversations`` leaves them."""
+def read_back(parts: DataFrame, ordered: bool = True) -> DataFrame:
+    """Digests of conversations, read from formatted parts.
+
+    ``ordered``: the parts stand as ``format_conversations`` leaves them. Without
+    it, as for parts read from files, they are brought together and sorted first.
+    A part that is missing or out of place is an error.
+    """
+    if not ordered:
+        parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return parts.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

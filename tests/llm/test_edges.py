@@ -171,6 +171,26 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
 
 
+def test_chat_parts_in_any_order(spark):
+    said = [("assistant" if i % 2 else "user", f"<{i}> \\ \u00e9") for i in range(20)]
+    turns = spark.createDataFrame([(c, i, *said[i]) for c in (1, None) for i in range(20)], "conv_id long, turn long, role string, text string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        parts = chat.format_conversations(turns).collect()
+        assert sum(p["n_turns"] for p in parts) == 40 and len(parts) > 2
+        stored = spark.createDataFrame(parts[::-1], chat.PART_SCHEMA)
+        got = chat.read_back(stored, ordered=False).collect()
+        with pytest.raises(Exception, match="out of order"):
+            chat.read_back(stored.filter("part != 0"), ordered=False).collect()
+    finally:
+        spark.conf.set(key, before)
+    whole = hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+    learned = hashlib.sha256("".join(b for a, b in said if a == "assistant").encode()).hexdigest()
+    assert sorted((g["conv_id"] or 0, g["n_turns"], g["turns_sha256"], g["loss_sha256"]) for g in got) == [(c, 20, whole, learned) for c in (0, 1)]
+
+
 def test_types_survive(spark, docs):
     kept = secrets.scan_secrets(docs)
     assert kept.schema["doc_id"].dataType == T.LongType()
