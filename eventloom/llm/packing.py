@@ -6,14 +6,18 @@ and packed into as few sequences as can be found:
 1. Lengths are counted: at most ``capacity`` numbers, whatever the corpus. All
    planning works on these, on the driver, in counts and never in documents.
 2. Large lengths (an eighth of the capacity and up) are ranked, cut into
-   groups of equal cardinality and rounded up to the largest of their group.
-3. Configurations of these few sizes are optimised one after the other: the
-   largest size left with the best completion (a bounded subset-sum), applied as
-   often as the counts allow.
-4. The actual documents are put in by rank. As ranks of a length are contiguous,
-   the room left in each sequence follows from the counts alone.
-5. Small lengths go, largest first, to the fullest sequences with room for them
-   (best fit), again in counts; what finds no room opens new sequences.
+   ``N_GROUPS`` groups of equal cardinality and rounded up to the largest of
+   their group.
+3. Configurations of these few sizes are optimised together: a linear program
+   over all configurations, whose columns are generated by a knapsack over the
+   dual prices, until it is within a thousandth of the optimum. Whole parts are
+   taken; the rest is less than one sequence a size.
+4. The actual documents are put in by rank, but for the smallest of each
+   configuration. As ranks of a length are contiguous, the room left in each
+   sequence follows from the counts alone.
+5. Those held back, the rest and the small lengths go, longest first, to the
+   fullest sequences with room for them (best fit), again in counts; what finds no
+   room opens new sequences. So room that rounding up left is used.
 
 The plan is a list of rules (first rank, period, first sequence); a document's
 rank among all lengths, found with window functions over small buckets, gives
@@ -44,7 +48,9 @@ from .common import kept_columns, map_texts, packed, quoted, small_batches, stag
 
 CAPACITY = 2048
 END_ID = 0
-N_GROUPS = 1024
+N_GROUPS = 48
+TOLERANCE = 1e-3  # of the linear program
+MOST_PIVOTS = 4000  # far above the need; any basis gives a valid plan
 SMALL_SHARE = 8  # lengths under capacity / 8 are small
 BUCKET_ROWS = 1 << 16  # pieces of a length ranked by one task
 MOST_BUCKETS = 4096
@@ -160,27 +166,58 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, text_column: str = "t
     return map_texts(docs, kept, text_column, {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}, make)
 
 
-def _best_fill(sizes: list[int], counts: list[int], first: int, room: int) -> dict[int, int]:
-    """Counts by size index, from ``first`` on, whose total comes nearest to ``room``."""
-    reach, steps = 1, []
-    mask = (1 << (room + 1)) - 1
-    for i in range(first, len(sizes)):
-        left, block = min(counts[i], room // sizes[i]), 1
-        while left > 0:
-            n = min(block, left)
-            grown = (reach | (reach << (n * sizes[i]))) & mask
-            if grown != reach:
-                steps.append((i, n, reach))
-                reach = grown
-            left, block = left - n, block * 2
-        if reach >> room & 1:
+def _best_configuration(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The counts by size that fit ``capacity`` and have the highest total price."""
+    best, taken = np.zeros(capacity + 1), []
+    for size, price in zip(sizes, prices, strict=True):
+        upto, n_here = best.copy(), np.zeros(capacity + 1, np.int64)
+        for n in range(1, capacity // size + 1) if price > 0 else ():
+            value = best[: -n * size] + n * price
+            better = value > upto[n * size :]
+            upto[n * size :][better], n_here[n * size :][better] = value[better], n
+        best = upto
+        taken.append(n_here)
+    used, room = np.zeros(len(sizes), np.int64), capacity
+    for i in range(len(sizes) - 1, -1, -1):
+        used[i] = taken[i][room]
+        room -= used[i] * sizes[i]
+    return used, float(best[capacity])
+
+
+def optimised_configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(counts by size index, times) that together use no size more often than it occurs.
+
+    Simplex with column generation: begins with one size a configuration and
+    exchanges a configuration as long as the prices of the sizes admit a better
+    one. The optimum's times are rounded down.
+    """
+    if not sizes:
+        return []
+    demand = np.array(counts, float)
+    columns = np.diag([float(capacity // s) for s in sizes])
+    inverse = np.diag([1.0 / (capacity // s) for s in sizes])
+    times = inverse @ demand
+    for pivot in range(MOST_PIVOTS):
+        entering, value = _best_configuration(sizes, inverse.sum(axis=0), capacity)
+        if value <= 1 + TOLERANCE:  # the optimum is at least the present one divided by value
             break
-    total, used = reach.bit_length() - 1, {}
-    for i, n, before in reversed(steps):
-        if not before >> total & 1:
-            used[i] = used.get(i, 0) + n
-            total -= n * sizes[i]
-    return used
+        change = inverse @ entering
+        ratio = np.where(change > 1e-9, times / np.where(change > 1e-9, change, 1.0), np.inf)
+        leaving = int(ratio.argmin())
+        columns[:, leaving] = entering
+        row = inverse[leaving] / change[leaving]
+        inverse -= np.outer(change, row)
+        inverse[leaving] = row
+        if pivot % 64 == 63:
+            inverse = np.linalg.inv(columns)  # sheds rounding errors
+        times = np.maximum(inverse @ demand, 0)
+    left, found = np.array(counts, np.int64), []
+    for column, n in zip(columns.T.astype(np.int64), np.floor(times + 1e-6).astype(np.int64), strict=True):
+        n = min(int(n), *(int(left[i] // column[i]) for i in np.flatnonzero(column)))
+        if n > 0:
+            left -= n * column
+            found.append(({int(i): int(column[i]) for i in np.flatnonzero(column)}, n))
+    return found
 
 
 def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_GROUPS) -> tuple[list[tuple[int, int, int]], int]:
@@ -209,9 +246,9 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
 
     # Groups of equal cardinality, rounded up to their largest length.
     begin, end = counts[capacity], counts[capacity] + sum(counts[n] for n in large)
+
     sizes, left, cursor = [], [], []
-    for g in range(n_groups):
-        a, b = (begin + (end - begin) * k // n_groups for k in (g, g + 1))
+    for a, b in itertools.pairwise(begin + (end - begin) * k // n_groups for k in range(n_groups + 1)):
         if a == b:
             continue
         size = length_at(a)[0]
@@ -220,16 +257,10 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
         else:
             sizes.append(size), left.append(b - a), cursor.append(a)
     gaps: dict[int, list[tuple[int, int]]] = {}  # room left: runs of sequences (first, end)
-    first = 0
-    while first < len(sizes):
-        if not left[first]:
-            first += 1
-            continue
-        left[first] -= 1
-        used = _best_fill(sizes, left, first, capacity - sizes[first])
-        left[first] += 1
-        used[first] = used.get(first, 0) + 1
-        times = min(left[i] // n for i, n in used.items())
+
+    def place(used: dict[int, int], times: int) -> None:
+        """``times`` new sequences of one configuration, from the next ranks of its groups."""
+        nonlocal n_sequences
         slots = []
         for i, n in sorted(used.items()):
             rules.append((cursor[i], times, n_sequences))
@@ -244,10 +275,22 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
             gaps.setdefault(capacity - sum(n for n, _ in here), []).append((n_sequences + at, n_sequences + upto))
             at = upto
         n_sequences += times
-    # Best fit of the small ones, by counts.
+
+    for used, times in optimised_configurations(sizes, left, capacity):
+        if sum(used.values()) > 1:
+            used[max(used)] -= 1  # closed below by the actual length that fits best
+        place({i: n for i, n in used.items() if n}, times)
+    # Best fit, longest first and by counts: what closes configurations, what
+    # rounding down left over, and the small ones.
     open_gaps = sorted(g for g in gaps if g > 0)
-    for n in (x for x in longest_first if x < edge):
-        rank, rest = rank_of[n], counts[n]
+    waiting = []
+    for rank, n_left in zip(cursor, left, strict=True):
+        while n_left:
+            n, upto = length_at(rank)
+            waiting.append((n, rank, min(n_left, upto - rank)))
+            rank, n_left = rank + waiting[-1][2], n_left - waiting[-1][2]
+    waiting += [(n, rank_of[n], counts[n]) for n in longest_first if n < min(edge, capacity)]
+    for n, rank, rest in waiting:
         while rest:
             k = bisect_left(open_gaps, n)
             if k == len(open_gaps):
