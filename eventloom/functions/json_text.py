@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CALL_KINDS = ("tool_use", "tool-use", "tool_call", "tool-call", "function_call", "toolCall", "tool", "agent")
 RESULT_KINDS = ("tool_result", "tool-result", "tool_use_result", "function_result")
@@ -172,3 +173,50 @@ def with_references(rows: DataFrame, column: str) -> DataFrame:
 
     listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{listed}, references array<struct<kind:string,value:string>>")
+
+
+MAX_MEMBERS = 65536
+
+
+def _keys_are_unique(text: str | None) -> bool:
+    members = 0
+
+    def pairs(found: list) -> None:
+        nonlocal members
+        members += len(found)
+        if members > MAX_MEMBERS or len({k for k, _ in found}) < len(found):
+            raise ValueError
+
+    def constant(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        json.loads(text or "", object_pairs_hook=pairs, parse_constant=constant)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def keys_are_unique(texts: pd.Series) -> pd.Series:
+    """Whether a text is one JSON value without repeated keys at any depth.
+
+    The JVM's parsers keep the last of equal keys and don't tell. False for
+    null, malformed or too deep texts and beyond ``MAX_MEMBERS`` members.
+    """
+    return texts.map(_keys_are_unique).astype(bool)
+
+
+def only_alias(value: Column, names: list[str], max_bytes: int = 4096) -> Column:
+    """(state, text) of the one key among ``names``: missing, exact or ambiguous.
+
+    Two of them are ambiguous even when they agree, as are empty, long or other values.
+    """
+    typed = F.from_json(value, "map<string,string>")
+    texts = F.filter(F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(F.map_contains_key(typed, n).alias("there"), F.element_at(typed, n).alias("text"))), lambda x: x["there"])
+    return let(
+        texts,
+        lambda f: F.when(F.size(f) < 1, F.struct(F.lit("missing").alias("state"), F.lit(None).cast("string").alias("text")))
+        .when((F.size(f) == 1) & F.octet_length(F.get(f, F.lit(0))["text"]).between(1, max_bytes), F.struct(F.lit("exact").alias("state"), F.get(f, F.lit(0))["text"].alias("text")))
+        .otherwise(F.struct(F.lit("ambiguous").alias("state"), F.lit(None).cast("string").alias("text"))),
+    )

@@ -110,3 +110,8 @@ def snippet(body: Column, query_texts: list[str], limit: int = SNIPPET_CHARS) ->
     lead = F.floor(F.greatest(F.lit(0), F.lit(limit) - F.greatest(match["size"], F.lit(1))) / 2)
     start = F.when(n <= limit, F.lit(0)).otherwise(F.coalesce(F.least(F.greatest(-match["neg"] - 1 - lead, F.lit(0)), n - limit), F.lit(0))).cast("int")
     return F.struct(F.substring(body, start + 1, F.lit(limit)).alias("snippet"), (n > limit).alias("truncated"))
+
+
+def shell_quoted(value: Column) -> Column:
+    """A word for a suggested command: plain words as they are, others in single quotes."""
+    return F.when(value.rlike(r"\A[A-Za-z0-9_./:@-]+\z"), value).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'")))

@@ -92,6 +92,7 @@ class EventFilters:
     until_ms: int | None = None
     agent_scope: str | None = None
     custom_source: str | None = None
+    source_key: str | None = None
 
     def canonical(self) -> EventFilters:
         """The same selection, written in one way: for cursors and digests."""
@@ -145,6 +146,8 @@ class EventFilters:
             tests.append(F.col("occurred_at_ms") < self.until_ms)
         if self.custom_source is not None:
             tests.append(custom_source(self.custom_source))
+        if self.source_key is not None:
+            tests.append(F.col("source_key") == self.source_key)  # exact: keys aren't trimmed
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 

@@ -137,3 +137,41 @@ def test_document_chunks_cover_whole_texts(spark, tmp_path):
     rows = sorted(rollups.document_chunks(spark, str(tmp_path)).select("start_char", "end_char").collect())
     assert [tuple(r) for r in rows] == vectors.chunk_spans(text)
     assert rows[-1]["end_char"] == len(text) > vectors.SOURCE_CHARS
+
+
+def test_repeated_keys_take_a_record_its_authority(spark):
+    from eventloom.functions.json_text import keys_are_unique
+
+    texts = {'{"a": 1, "b": {"a": 2}}': True, '{"a": 1, "a": 1}': False, '[{"x": {"k": 0, "k": 1}}]': False, "{": False, "NaN": False, "": False, None: False, "[" * 100000: False, "7": True}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", keys_are_unique("text").alias("ok")).collect()
+    assert {r["text"]: r["ok"] for r in rows} == texts
+
+
+def test_commands_of_the_program_itself(spark):
+    from eventloom.operators.retrieval_class import command_class, tool_class
+
+    lines = {
+        "eventloom search x": "derived",
+        " eventloom  show   session 4": "derived",
+        "eventloom show": "unknown",
+        "eventloom searching x": "unknown",
+        "eventloom status": "ordinary",
+        "eventloom search x > f": "unknown",
+        "eventloom search $(id)": "unknown",
+        "cat eventloom search": "unknown",
+        "": "unknown",
+        None: "unknown",
+    }
+    df = spark.createDataFrame([(t,) for t in lines], "line string")
+    assert {r["line"]: r["c"] for r in df.select("line", command_class(F.col("line")).alias("c")).collect()} == lines
+    tools = {("eventloom", "search"): "derived", ("eventloom", "publish"): "ordinary", ("other", "search"): "unknown", (None, "search"): "unknown"}
+    df = spark.createDataFrame(list(tools), "server string, tool string")
+    assert {(r["server"], r["tool"]): r["c"] for r in df.select("*", tool_class(F.col("server"), F.col("tool")).alias("c")).collect()} == tools
+
+
+def test_shell_words(spark):
+    from eventloom.functions.text import shell_quoted
+
+    words = {"a/b_c.d:e@f-1": "a/b_c.d:e@f-1", "": "''", "it's": "'it'\\''s'", "a b": "'a b'", "a\n": "'a\n'", None: None}
+    df = spark.createDataFrame([(t,) for t in words], "w string")
+    assert {r["w"]: r["q"] for r in df.select("w", shell_quoted(F.col("w")).alias("q")).collect()} == words
