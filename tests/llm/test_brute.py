@@ -326,6 +326,31 @@ def test_packing_plans():
         assert n_sequences <= 1.02 * max(-(-int(lengths.sum()) // capacity), large) + 1
 
 
+def test_packing_plans_of_odd_shapes():
+    r = np.random.default_rng(7)
+    for capacity in (1, 2, 3, 8, 64, 512):
+        for lengths in (r.integers(1, capacity + 1, 700), np.full(50, capacity), np.full(50, -(-capacity // 3)), np.array([1]), np.array([], int)):
+            n = len(lengths)
+            rules, n_sequences = packing.plan_packing(np.bincount(lengths, minlength=capacity + 1).tolist(), capacity)
+            if not n:
+                assert (rules, n_sequences) == ([], 0)
+                continue
+            first, period, base = (np.array(x) for x in zip(*rules, strict=True))
+            assert len(set(first)) == len(first)
+            at = np.searchsorted(first, np.arange(n), side="right") - 1
+            fill = np.bincount(base[at] + (np.arange(n) - first[at]) % period[at], np.sort(lengths)[::-1], minlength=n_sequences)
+            assert len(fill) == n_sequences and 0 < fill.min() and fill.max() <= capacity
+
+
+def test_packing_configurations_are_the_best_together():
+    """Sizes that fill sequences only in one mix: 0.5 + 0.3 + 0.2 of the capacity."""
+    found = packing.optimised_configurations([50, 30, 20], [1000, 1000, 1000], 100)
+    assert sum(n for _, n in found) <= 1001
+    for i, size in enumerate([50, 30, 20]):
+        assert 1000 - len(found) * (100 // size) <= sum(used.get(i, 0) * n for used, n in found) <= 1000
+    assert all(sum([50, 30, 20][i] * k for i, k in used.items()) <= 100 for used, _ in found)
+
+
 def test_word_ids_are_the_tokenizers():
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     assert words.direct
