@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, media, mixing, ngram_join, packing, quality, runs, secrets, sharding, token_counts
+from . import chat, html_extract, media, mixing, ngram_join, packing, quality, ranked, runs, secrets, sharding, token_counts
 from .common import read_table, shared_dir
 
 
@@ -70,6 +70,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.ranked_search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
     found = runs.periodic_runs(docs, keep=["doc_id"])
@@ -87,7 +92,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": f"""
+        WITH cut AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+        postings AS (SELECT doc_id, term, count(*) AS tf FROM cut GROUP BY ALL),
+        sizes AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+        weights AS (
+            SELECT term, floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM postings, corpus GROUP BY term, big_n),
+        asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        scored AS (
+            SELECT item_id, doc_id,
+                   sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id), corpus
+            GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """,
+}
