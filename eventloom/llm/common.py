@@ -181,6 +181,11 @@ def bitmap_split(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFram
     return tuple(tested.filter(t).select(*columns) for t in (hit, ~hit))
 
 
+def hashable(rows: DataFrame) -> list[str]:
+    """The columns that Spark can hash: those that hold no map (or a variant)."""
+    return [quoted(f.name) for f in rows.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+
+
 HOT_KEYS = 1024
 
 
@@ -204,7 +209,7 @@ def skew_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, h
     value = F.struct(F.lit(True).alias("found"), *values)
     hot = weighed.filter(is_hot).select(*keys, value.alias(few))
     cold = weighed.filter(~is_hot).select(*keys, F.lit(0).alias(salt), value.alias(many))
-    spread = F.when(F.col(few).isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_KEYS)).cast("int") + 1)
+    spread = F.when(F.col(few).isNull(), 0).otherwise(F.pmod(F.xxhash64(*hashable(rows)), F.lit(HOT_KEYS)).cast("int") + 1)
     both = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, spread).join(cold, [*keys, salt], "left")
     if how != "left":
         both = both.filter(F.col(few).isNotNull() | F.col(many).isNotNull())

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, media, mixing, ngram_join, packing, quality, ranked, runs, secrets, sharding, token_counts
+from . import chat, html_extract, media, mixing, near_vectors, ngram_join, packing, quality, ranked, runs, secrets, sharding, token_counts
 from .common import read_table, shared_dir
 
 
@@ -75,6 +75,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return near_vectors.near_duplicate_vectors(vectors, 0.9, keep=["vec_id"])
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
     found = runs.periodic_runs(docs, keep=["doc_id"])
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_neardup": op12_embedding_neardup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -117,4 +123,17 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
     """,
+    "op12_embedding_neardup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+        named AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+        degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM named LEFT JOIN degrees USING (vec_id)
+    """,
 }
