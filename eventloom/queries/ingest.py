@@ -6,16 +6,18 @@ import json
 import re
 import tempfile
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_leaf, leaf_sum
 from ..operators import counts, reconcile
-from ..schema import conform
+from ..schema import EVENT_TYPES, conform
 from ..snapshots import Snapshots
 from ..sources import custom_history, jsonl, providers
-from ..streaming import refresh
+from ..streaming import growing, refresh
 from .tables import TRANSCRIPT_SQL, table, transcript_events
 
 
@@ -167,7 +169,7 @@ def streamed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         return r.select(F.col("file").alias("source_key"), F.concat_ws("-", "r.conv_id", "r.turn").alias("event_id"), F.col("r.conv_id").cast("string").alias("session_id"), F.col("r.turn").alias("event_sequence"), F.lit("message").alias("event_type"), F.col("r.role").alias("role"), F.col("r.text").alias("body"))
 
     store = Snapshots(spark, root)
-    refresh.refresh(refresh.file_stream(spark, folder, 2), store, parse, mark).awaitTermination()
+    growing.refresh(store, folder, parse, mark, suffixes=".txt").awaitTermination()
     return store.read().groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
@@ -179,13 +181,84 @@ def streamed_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.repartition(4).select("value").write.text(folder)  # sessions go across files
     parse = lambda records: providers.project_format(records, "pi_session_jsonl")
     store = Snapshots(spark, root)
-    refresh.refresh(refresh.file_stream(spark, folder, 2), store, parse, mark).awaitTermination()
+    growing.refresh(store, folder, parse, mark, suffixes=".txt", source_key=providers.source_key("pi_session_jsonl")).awaitTermination()
     streamed = store.read().select("event_id", "role", "session_id")
     at_once = parse(jsonl.read_records(spark, folder, suffixes=".txt")).select(F.col("event_id").alias("batch_id"))
     both = streamed.join(at_once, F.col("event_id") == F.col("batch_id"), "full_outer")
     return both.groupBy("role").agg(F.count("event_id").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.count("batch_id").alias("n_batch"), F.countDistinct("session_id").alias("sessions"))
 
 
+INSTALMENTS = 3
+CONVERSATIONS_PER_FILE = 50
+
+
+def _write_growing(turns: DataFrame, folder: str, instalment: int) -> None:
+    """Every file with its first ``instalment`` parts: what an earlier call wrote, and more lines.
+
+    A part holds the turns of one remainder, so conversations go on in later parts.
+    """
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        fs, root = jsonl.open_fs(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{root}/{key[0].as_py()}.jsonl"
+        with fs.open_output_stream(name) as out:
+            for line in rows.sort_by([("part", "ascending"), ("conv_id", "ascending"), ("turn", "ascending")])["line"].to_pylist():
+                out.write(line.encode() + b"\n")
+            out.write(b'{"an unfinished": ')
+        return pa.table({"file": [name]})
+
+    said = F.struct(F.col("role"), F.col("text").alias("content"))
+    line = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), said.alias("message")))
+    parts = turns.select("conv_id", "turn", (F.col("turn") % INSTALMENTS).alias("part"), line.alias("line")).filter(F.col("part") < instalment)
+    parts.groupBy(F.floor(F.col("conv_id") / CONVERSATIONS_PER_FILE).alias("file")).applyInArrow(write, "file string").collect()  # names of files
+
+
+def streamed_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written in three instalments to the same files; each is streamed as appended lines.
+
+    The end has the ids of one batch import, and no instalment but the first
+    reads a source anew.
+    """
+    folder, root, mark = (shared_folder(spark, n) for n in ("growing", "grown", "growing-mark"))
+    parse = lambda records: providers.project_format(records, "pi_session_jsonl")
+    store = Snapshots(spark, root)
+    turns = table(spark, sf_dir, "conversations")
+    how = []
+    for n in range(1, INSTALMENTS + 1):
+        _write_growing(turns, folder, n)
+        growing.refresh(store, folder, parse, mark, source_key=providers.source_key("pi_session_jsonl")).awaitTermination()
+        how.append(store.verdicts().select(F.lit(n).alias("instalment"), "source_key", "verdict", "added"))
+    appended = reduce(DataFrame.unionByName, how).groupBy("source_key").agg(F.sum(F.when(F.col("verdict") == "appended", F.col("added"))).alias("later"))
+    streamed = store.read().select("source_key", "event_id", "role", F.length("body").alias("chars"))
+    at_once = parse(jsonl.read_records(spark, folder)).select(F.col("event_id").alias("batch_id"))
+    both = streamed.join(at_once, F.col("event_id") == F.col("batch_id"), "full_outer")
+    name = F.regexp_extract("source_key", r"(\d+)\.jsonl$", 1).cast("long")
+    return (
+        both.groupBy("source_key")
+        .agg(F.count("event_id").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.count("batch_id").alias("n_batch"), F.sum("chars").alias("chars"))
+        .join(appended, "source_key", "left")
+        .select(name.alias("file"), "n", "n_ids", "n_batch", "chars", F.coalesce("later", F.lit(0)).alias("n_appended"))
+    )
+
+
+def routes_rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A publication of all sources in which three fail: they keep their rows, the others go on."""
+    store = Snapshots(spark, shared_folder(spark, "routes"))
+    events = _transcripts(spark, sf_dir)
+    first = events.select("source_key").distinct().select("source_key", F.lit("cold").alias("change"), F.lit(2).cast("long").alias("frontier"), F.lit("two").alias("prefix_hash"), F.lit(None).cast("long").alias("known_frontier"), F.lit(None).cast("string").alias("known_hash"))
+    store.publish_routes(events.filter("event_sequence < 2"), first)
+    again = F.col("source_key") == "conv-1"  # every id twice
+    kind = F.when((F.col("source_key") == "conv-2"), "surprise").otherwise(F.col("event_type"))
+    rest = events.filter("event_sequence >= 2").withColumn("event_type", kind)
+    rest = rest.unionByName(rest.filter(again))
+    moved = F.when(F.col("source_key") == "conv-3", "other").otherwise(F.lit("two"))
+    routes = first.select("source_key", F.lit("append").alias("change"), F.lit(9).cast("long").alias("frontier"), F.lit("nine").alias("prefix_hash"), F.lit(2).cast("long").alias("known_frontier"), moved.alias("known_hash"))
+    _, verdicts = store.publish_routes(rest, routes, {"unknown event type": F.col("event_type").isin(*EVENT_TYPES)})
+    now = counts.source_totals(store.read()).select("source_key", F.col("events").alias("n"))
+    return verdicts.join(now, "source_key", "left").select("source_key", "verdict", F.regexp_replace("reason", "^(repeated id).*", "$1").alias("reason"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of an event stream at its end equal those of the batch."""
     name = f"usage_{uuid.uuid4().hex}"
@@ -198,7 +271,7 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_custom_events, ingest_custom_rejects, ingest_codex, ingest_claude, ingest_gemini, ingest_pages, snapshot_published, snapshot_appended, source_changes, content_sum_of_documents, streamed_refresh, streamed_dialect, streamed_usage,
+        ingest_custom_events, ingest_custom_rejects, ingest_codex, ingest_claude, ingest_gemini, ingest_pages, snapshot_published, snapshot_appended, source_changes, content_sum_of_documents, streamed_refresh, streamed_dialect, streamed_growing, routes_rolled_back, streamed_usage,
     )
 }
 
@@ -223,5 +296,10 @@ ORACLE_SQL = {
     "content_sum_of_documents": "SELECT DISTINCT source, true AS same FROM documents",
     "streamed_refresh": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role",
     "streamed_dialect": "SELECT role, count(*) AS n, count(*) AS n_ids, count(*) AS n_batch, count(DISTINCT conv_id % 100) AS sessions FROM conversations WHERE trim(text) <> '' GROUP BY role",
+    "streamed_growing": """SELECT conv_id // 50 AS file, count(*) AS n, count(*) AS n_ids, count(*) AS n_batch, sum(length(text))::BIGINT AS chars, count(*) FILTER (turn % 3 > 0) AS n_appended
+FROM conversations WHERE trim(text) <> '' GROUP BY 1""",
+    "routes_rolled_back": """SELECT 'conv-' || (conv_id % 10) AS source_key, CASE WHEN conv_id % 10 IN (1, 2, 3) THEN 'failed' ELSE 'appended' END AS verdict,
+CASE conv_id % 10 WHEN 1 THEN 'repeated id' WHEN 2 THEN 'unknown event type' WHEN 3 THEN 'frontier moved' END AS reason,
+count(*) FILTER (turn < 2 OR conv_id % 10 NOT IN (1, 2, 3)) AS n FROM conversations GROUP BY conv_id % 10""",
     "streamed_usage": "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS total FROM events GROUP BY event_type",
 }

@@ -18,7 +18,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.counts import content_sums
@@ -27,6 +27,11 @@ from .schema import CORE_EVENT, conform
 GRACE_ABSENCES = 3
 CLAIM_SECONDS = 600  # a claim that led to nothing may be taken over after this
 FOLDER_EVENTS = 1 << 20  # events of a source that one task writes
+VERDICTS = "source_key string, verdict string, reason string, events long, added long"
+
+
+class LostClaim(RuntimeError):
+    """Another publisher took over the claim on a generation."""
 
 
 @dataclass
@@ -95,6 +100,10 @@ class Snapshots:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
+    def work_path(self, name: str) -> str:
+        """A new path below the root for a table that outlives no publication; ``reclaim`` deletes them."""
+        return f"{self.root}/work/{name}-{uuid.uuid4().hex}"
+
     # -- reading -----------------------------------------------------------
     def pointer(self) -> dict | None:
         text = self._read("pointer.json")
@@ -126,16 +135,28 @@ class Snapshots:
             return self.spark.createDataFrame([], CORE_EVENT)
         return self.spark.read.schema(CORE_EVENT).parquet(*[f"{self.root}/{p}" for p in sorted(set(paths))])
 
+    def frontiers(self, generation_id: str | None = None) -> DataFrame:
+        """(source_key, frontier, prefix_hash) of the sources that were read by frontier."""
+        states = self.generation(generation_id).sources
+        return self.spark.createDataFrame([(k, s.frontier, s.prefix_hash) for k, s in states.items() if s.prefix_hash], "source_key string, frontier long, prefix_hash string")
+
+    def verdicts(self, generation_id: str | None = None) -> DataFrame:
+        """What became of each route of the publication that made a generation."""
+        return self.spark.read.schema(VERDICTS).parquet(f"{self.root}/verdicts/{generation_id or self.active()}")
+
     # -- writing -----------------------------------------------------------
-    def _stage(self, events: DataFrame) -> dict[str, SourceState]:
-        """Write rows by source below one new folder; their states."""
+    def _write_rows(self, events: DataFrame) -> tuple[str, DataFrame]:
+        """Write rows by source below one new folder; the folder and what it holds."""
         batch = f"data/{uuid.uuid4().hex}"
         rows = conform(events).withColumn("__folder", F.sha2("source_key", 256))
         # A large source is written by as many tasks as it needs, a small one by one.
         sizes = rows.groupBy("source_key").agg(F.ceil(F.count(F.lit(1)) / FOLDER_EVENTS).cast("int").alias("__tasks"))
         dealt = rows.join(sizes, "source_key").withColumn("__task", F.pmod(F.xxhash64("event_id"), F.col("__tasks")))
         dealt.repartition("source_key", "__task").drop("__tasks", "__task").sortWithinPartitions("__folder", "session_id", "event_sequence").write.partitionBy("__folder").parquet(f"{self.root}/{batch}")
-        written = self.spark.read.schema(CORE_EVENT).parquet(f"{self.root}/{batch}")
+        return batch, self.spark.read.schema(CORE_EVENT).parquet(f"{self.root}/{batch}")
+
+    def _stage(self, events: DataFrame) -> dict[str, SourceState]:
+        batch, written = self._write_rows(events)
         self._refuse_repeated(written)
         facts = written.groupBy("source_key").agg(F.count(F.lit(1)).alias("events"))
         sums = content_sums(written)
@@ -159,7 +180,10 @@ class Snapshots:
                 stream = self._fs.create(path, False)
                 stream.write(bytearray(json.dumps({"by": claimant, "ms": int(time.time() * 1000)}).encode()))
                 stream.close()
+                self._keep_claim(base, claimant)  # two that took over one old claim: the later one has it
                 return
+            except LostClaim:
+                raise
             except Exception as error:  # the file system's own kind of "exists already"
                 if not self._fs.exists(path):
                     raise
@@ -169,6 +193,85 @@ class Snapshots:
                 self._fs.delete(path, False)
         raise RuntimeError("another generation was published in between")
 
+    def _keep_claim(self, base: str | None, claimant: str) -> None:
+        claim = self._read(f"claims/{base or 'first'}.json")
+        if claim is None or json.loads(claim)["by"] != claimant:
+            raise LostClaim("another generation was published in between")
+
+    def _commit(self, base_id: str | None, states: dict[str, SourceState], staged: list[str], notes: dict[str, str] | None) -> str:
+        """Make ``states`` the generation after ``base_id``; ``staged``: the folders that are new."""
+        new = Generation(base_id, states, {"published_ms": str(int(time.time() * 1000)), **(notes or {})})
+        missing = [p for p in staged if not self._fs.exists(self._path(f"{self.root}/{p}"))]
+        if missing:
+            raise RuntimeError(f"missing folders: {missing[:3]}")
+        claimant = uuid.uuid4().hex
+        self._claim(base_id, claimant)
+        self._write(f"generations/{new.id}.json", new.text())
+        self._keep_claim(base_id, claimant)  # a publisher that was slow and overtaken moves nothing
+        self._write("pointer.json", json.dumps({"active": new.id, "previous": base_id}))
+        return new.id
+
+    def publish_routes(self, events: DataFrame, routes: DataFrame, checks: dict[str, Column] | None = None, notes: dict[str, str] | None = None) -> tuple[str | None, DataFrame]:
+        """Publish what is sound: every source stands or falls by itself.
+
+        ``routes``: source_key, change (cold, replace or append), frontier and
+        prefix_hash after it, known_frontier and known_hash that an append starts
+        from. ``checks``: name to a condition that every event has to meet.
+        A source fails if an event breaks a check, if an id stands in it twice, in
+        its rows that an append keeps or in a source of the batch that comes before
+        it by key, or if its frontier isn't the active generation's any more; it
+        keeps the rows and the frontier it had. Sources of ``events`` that aren't
+        among the routes fail too. Returns the new generation, None if no source is
+        sound, and the verdicts (source_key, verdict, reason, events it has now, those added); those of a
+        generation can be read again by ``verdicts``.
+        """
+        base_id = self.active()
+        states = {k: SourceState(**vars(v)) for k, v in self.generation(base_id).sources.items()}
+        asked = {r["source_key"]: r for r in routes.collect()}  # one row a changed source
+        batch, written = self._write_rows(events)
+        found = self._route_facts(written, [k for k, r in asked.items() if r["change"] == "append" and k in states], checks or {})
+        verdicts, staged = [], []
+        for key in sorted(asked.keys() | found.keys()):
+            route, fact, base = asked.get(key), found.get(key), states.get(key)
+            reason = fact["reason"] if fact else None
+            if route is None:
+                reason = "not among the routes"
+            elif route["change"] == "append" and (base is None or (base.frontier, base.prefix_hash) != (route["known_frontier"], route["known_hash"])):
+                reason = "frontier moved"
+            if reason is not None:
+                verdicts.append((key, "failed", reason, base.events if base else 0, 0))
+                continue
+            new = SourceState([f"{batch}/__folder={fact['folder']}"], fact["events"], fact["content_sum"]) if fact else SourceState([], 0, f"{0:064x}")
+            staged += new.paths
+            added = new.events
+            if route["change"] == "append":
+                total = (int(base.content_sum, 16) + int(new.content_sum, 16)) % (1 << 256)
+                new = SourceState(base.paths + new.paths, base.events + new.events, f"{total:064x}")
+            new.frontier, new.prefix_hash = route["frontier"] or 0, route["prefix_hash"] or ""
+            states[key] = new
+            verdicts.append((key, {"append": "appended", "replace": "replaced"}.get(route["change"], "created"), None, new.events, added))
+        sound = any(v[1] != "failed" for v in verdicts)
+        carried = states.keys() - {v[0] for v in verdicts}
+        verdicts += [(k, "carried", None, states[k].events, 0) for k in sorted(carried)]
+        made = self._commit(base_id, states, staged, notes) if sound else None
+        path = f"{self.root}/verdicts/{made or 'none-' + uuid.uuid4().hex}"
+        self.spark.createDataFrame(verdicts, VERDICTS).coalesce(1).write.parquet(path)
+        return made, self.spark.read.schema(VERDICTS).parquet(path)
+
+    def _route_facts(self, written: DataFrame, appended: list[str], checks: dict[str, Column]) -> dict:
+        """Of each source of a batch: folder, events, content sum and the first reason against it."""
+        held = written.groupBy("event_id", "source_key").agg(F.count(F.lit(1)).alias("n"))
+        if appended:
+            base = self.read(sources=appended).groupBy("event_id", "source_key").agg(F.count(F.lit(1)).alias("n"))
+            held = held.unionByName(base.join(held.select("event_id").distinct(), "event_id", "left_semi")).groupBy("event_id", "source_key").agg(F.sum("n").alias("n"))
+        twice = held.groupBy("event_id").agg(F.min("source_key").alias("owner"), F.sum("n").alias("total")).filter("total > 1")
+        repeated = held.join(twice, "event_id").filter((F.col("n") > 1) | (F.col("source_key") != F.col("owner"))).groupBy("source_key").agg(F.min("event_id").alias("repeated"))
+        broken = [F.max(~F.coalesce(c, F.lit(False))).alias(f"broken_{i}") for i, c in enumerate(checks.values())]
+        facts = written.groupBy("source_key").agg(F.count(F.lit(1)).alias("events"), *broken)
+        reason = F.coalesce(*[F.when(F.col(f"broken_{i}"), F.lit(name)) for i, name in enumerate(checks)], F.when(F.col("repeated").isNotNull(), F.concat(F.lit("repeated id "), "repeated")))
+        rows = facts.join(repeated, "source_key", "left").join(content_sums(written), "source_key")
+        return {r["source_key"]: r for r in rows.select("source_key", "events", "content_sum", reason.alias("reason"), F.sha2("source_key", 256).alias("folder")).collect()}
+
     def publish(
         self,
         replace: DataFrame | None = None,
@@ -190,7 +293,7 @@ class Snapshots:
         base_id = self.active()
         if expected is not None and expected != base_id:
             raise RuntimeError("another generation was published in between")
-        base = self.generation()
+        base = self.generation(base_id)
         states = {k: SourceState(**vars(v)) for k, v in base.sources.items()}
         for key in absent:
             if key in states:
@@ -199,11 +302,15 @@ class Snapshots:
                     del states[key]
         for key in delete:
             states.pop(key, None)
+        staged: list[str] = []
         if replace is not None:
-            states |= self._stage(replace)
+            new_states = self._stage(replace)
+            states |= new_states
+            staged += [p for s in new_states.values() for p in s.paths]
         grown: list[str] = []
         if append is not None:
             for key, new in self._stage(append).items():
+                staged += new.paths
                 if key not in states:
                     raise ValueError(f"append to a source without a frontier: {key}")
                 old = states[key]
@@ -213,20 +320,9 @@ class Snapshots:
         for key, (end, prefix) in (frontiers or {}).items():
             if key in states:
                 states[key].frontier, states[key].prefix_hash = end, prefix
-        new = Generation(base_id, states, {"published_ms": str(int(time.time() * 1000)), **(notes or {})})
-        self._verify(new)
         if grown:  # new rows against those that were there
             self._refuse_repeated(self.spark.read.schema(CORE_EVENT).parquet(*[f"{self.root}/{p}" for k in grown for p in states[k].paths]))
-        self._claim(base_id, new.id)
-        self._write(f"generations/{new.id}.json", new.text())
-        self._write("pointer.json", json.dumps({"active": new.id, "previous": base_id}))
-        return new.id
-
-    def _verify(self, generation: Generation) -> None:
-        """Every folder is there; repeated events were refused when they were staged."""
-        missing = [p for s in generation.sources.values() for p in s.paths if not self._fs.exists(self._path(f"{self.root}/{p}"))]
-        if missing:
-            raise RuntimeError(f"missing folders: {missing[:3]}")
+        return self._commit(base_id, states, staged, notes)
 
     def duplicates(self, generation_id: str | None = None) -> DataFrame:
         """Event ids that stand in a generation more than once; an error, never repaired."""
@@ -256,6 +352,11 @@ class Snapshots:
         for name in self._listed("generations"):
             if name.endswith(".json") and name[:-5] not in kept:
                 self._fs.delete(self._path(f"{self.root}/generations/{name}"), False)
+        for folder in ("verdicts", "term-index", "work"):
+            for name in self._listed(folder):
+                path = self._path(f"{self.root}/{folder}/{name}")
+                if name not in kept and time.time() * 1000 - self._fs.getFileStatus(path).getModificationTime() > CLAIM_SECONDS * 1000:
+                    self._fs.delete(path, True)  # no longer being written or read by a publication
         used = {p.split("/")[1] for g in kept for s in self.generation(g).sources.values() for p in s.paths}
         gone = [d for d in self._listed("data") if d not in used]
         for d in gone:

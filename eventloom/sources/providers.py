@@ -8,6 +8,7 @@ own, have their projections below.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,9 @@ class Dialect:
     family: str = "jsonl"
     table: str = ""
     columns: tuple[str, ...] = ()
+    #: Paths of ids that no two records share; None: those of ``native_id``. Records
+    #: without one are known by their place, as are all with ``()``.
+    unique_id: tuple[str, ...] | None = None
 
 
 def _jsonl(name: str, provider: str, **more) -> Dialect:
@@ -70,7 +74,7 @@ DIALECTS = {
         _jsonl("factory_ai_droid_sessions_jsonl", "factory_ai_droid", session=("sessionId", "callingSessionId"), parent=("parentId",), kinds={"compaction_state": ("summary", "system"), "session_start": ("notice", "system")}),
         _jsonl("copilot_cli_session_events_jsonl", "copilot_cli", session=("data.sessionId", "sessionId"), content=("data.content", "data.result.content", "data.error.message", "data.arguments"), kinds={"user.message": ("message", "user"), "assistant.message": ("message", "assistant"), "tool.execution_start": ("tool_call", "assistant"), "tool.execution_complete": ("tool_output", "tool"), "session.start": ("notice", "system"), "session.truncation": ("notice", "system"), "abort": ("notice", "system")}),
         _jsonl("qwen_code_chat_jsonl", "qwen_code", native_id=("uuid", "id"), kinds={"tool_result": ("tool_output", "tool"), "system": ("notice", "system")}),
-        _jsonl("grok_build_session_updates_jsonl", "grok_build", session=("params.sessionId", "sessionId"), native_id=("eventId", "params.update.toolCallId"), kind=("params.update.sessionUpdate", "sessionUpdate"), time=("params._meta.agentTimestampMs", "timestamp"), content=("params.update.content", "params.update.rawOutput", "params.update.rawInput", "params.update.title"), kinds={"user_message_chunk": ("message", "user"), "agent_message_chunk": ("message", "assistant"), "tool_call": ("tool_call", "assistant"), "tool_call_update": ("tool_output", "tool")}),
+        _jsonl("grok_build_session_updates_jsonl", "grok_build", session=("params.sessionId", "sessionId"), native_id=("eventId", "params.update.toolCallId"), unique_id=("eventId",), kind=("params.update.sessionUpdate", "sessionUpdate"), time=("params._meta.agentTimestampMs", "timestamp"), content=("params.update.content", "params.update.rawOutput", "params.update.rawInput", "params.update.title"), kinds={"user_message_chunk": ("message", "user"), "agent_message_chunk": ("message", "assistant"), "tool_call": ("tool_call", "assistant"), "tool_call_update": ("tool_output", "tool")}),
         _jsonl("deepseek_harness_session_jsonl", "deepseek_harness", content=("data.content", "data.text", "data.arguments", "data.result"), kinds={"user/message": ("message", "user"), "assistant/message": ("message", "assistant"), "tool/call": ("tool_call", "assistant"), "tool/result": ("tool_output", "tool")}),
         _jsonl("pi_session_jsonl", "pi", kinds={"branch_summary": ("summary", "assistant"), "session_info": ("notice", "system"), "model_change": ("notice", "system"), "thinking_level_change": ("notice", "system"), "bashExecution": ("command_output", "tool")}, parent=("parentSession",)),
         _jsonl("junie_session_events_jsonl_tree", "junie", kind=("event.agentEvent.kind", "event.kind", "kind"), time=("timestampMs", "event.timestampMs"), content=("event.agentEvent.result", "event.agentEvent.text", "event.agentEvent.message", "event.prompt", "prompt", "text"), kinds={"UserPromptEvent": ("message", "user"), "ResultBlockUpdatedEvent": ("message", "assistant"), "AgentFailureEvent": ("notice", "system"), "FileChangesBlockUpdatedEvent": ("artifact", "assistant"), "CurrentDirectoryUpdatedEvent": ("notice", "system")}, skipped=("LlmResponseMetadataEvent",)),
@@ -118,7 +122,7 @@ def _ids(rows: DataFrame, dialect_format: str, provider: str) -> DataFrame:
     tag = digest(F.lit(provider), F.lit(dialect_format), session)
     parent = lambda c: F.when(F.col(c).isNotNull(), uuid8(digest(F.lit(provider), F.lit(dialect_format), F.col(c))))
     return conform(
-        rows.withColumn("source_key", F.concat_ws("/", F.lit(provider), "file"))
+        rows.withColumn("source_key", _source_key(provider, F.col("file")))
         .withColumn("provider", F.lit(provider))
         .withColumn("source_format", F.lit(dialect_format))
         .withColumn("session_id", uuid8(tag))
@@ -127,6 +131,7 @@ def _ids(rows: DataFrame, dialect_format: str, provider: str) -> DataFrame:
         .withColumn("provider_session_id", F.col("session_key"))
         .withColumn("event_digest", digest(F.lit(provider), F.lit(dialect_format), session, known_as, F.col("part").cast("string")))
         .withColumn("event_id", uuid8(F.col("event_digest")))
+        # a line has fewer parts than bytes, so those of one never reach the next
         .withColumn("event_sequence", F.col("offset") * 64 + F.col("part"))
         .withColumn("policy_status", F.lit("selected"))
     )
@@ -144,6 +149,7 @@ def project(records: DataFrame, dialect: Dialect) -> DataFrame:
         type_by_kind = F.when(kind == name, event).otherwise(type_by_kind)
         role_by_kind = F.when(kind == name, who).otherwise(role_by_kind)
     rows = records.filter(~F.coalesce(kind.isin(*dialect.skipped), F.lit(False))) if dialect.skipped else records
+    unique = dialect.native_id if dialect.unique_id is None else dialect.unique_id
     projected = rows.select(
         "file",
         "offset",
@@ -151,7 +157,7 @@ def project(records: DataFrame, dialect: Dialect) -> DataFrame:
         first_text(v, *dialect.session).alias("session_key"),
         first_text(v, *dialect.parent).alias("parent_key"),
         first_text(v, *dialect.root).alias("root_key"),
-        first_text(v, *dialect.native_id).alias("own_id"),
+        (first_text(v, *unique) if unique else F.lit(None).cast("string")).alias("own_id"),
         F.coalesce(first_text(v, *dialect.native_id), message_id(message, F.col("offset"))).alias("native_event_id"),
         first_ms(*[at(v, p) for p in dialect.time]).alias("occurred_at_ms"),
         F.coalesce(type_by_kind, event_type(message, role_text)).alias("event_type"),
@@ -273,6 +279,17 @@ def document_records(files: DataFrame, list_path: str | None = None) -> DataFram
     return files.select(F.col("path").alias("file"), F.posexplode(items).alias("offset", "value")).select("file", F.col("offset").cast("long").alias("offset"), "value")
 
 
+def _source_key(provider: str, file: Column) -> Column:
+    return F.concat_ws("/", F.lit(provider), file)
+
+
+def source_key(source_format: str) -> Callable[[Column], Column]:
+    """The source that a file of a format makes."""
+    own = {"codex_session_jsonl": "codex", "claude_projects_jsonl_tree": "claude", "codex_history_jsonl": "codex"}
+    provider = own.get(source_format) or DIALECTS[source_format].provider
+    return lambda file: _source_key(provider, file)
+
+
 def project_format(records: DataFrame, source_format: str) -> DataFrame:
     """Events of any known format."""
     own = {"codex_session_jsonl": project_codex, "claude_projects_jsonl_tree": project_claude, "codex_history_jsonl": project_prompt_history}

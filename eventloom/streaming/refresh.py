@@ -1,56 +1,22 @@
 """Incremental refresh with Structured Streaming.
 
-Files are the stream: new files come in micro-batches, each batch is parsed and
-published as one generation by ``foreachBatch``, and the checkpoint holds what
-was read. A batch that is run again after a failure replaces the sources it
-holds, so results don't depend on how often a batch ran. Deliveries are told
-apart by (epoch, sequence): an older epoch or a sequence not above the last one
-is a repetition.
+``growing`` publishes what is new in watched files; here are the deliveries that
+tell of changes: told apart by (epoch, sequence), where an older epoch or a
+sequence not above the last one is a repetition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..snapshots import Snapshots
-from ..sources import jsonl
-
 QUIET_MS, LONGEST_MS = 250, 2000
 
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
-
-def file_stream(spark: SparkSession, path: str, files_per_batch: int = 256) -> DataFrame:
-    """The files of a folder as they arrive, by path and length; no content is read."""
-    return spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(path).select("path", "length")
-
-
-def refresh(files: DataFrame, store: Snapshots, parse: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True, **options) -> StreamingQuery:
-    """Publish each micro-batch of ``file_stream``; sources in the batch are replaced whole.
-
-    ``parse`` turns records (file, offset, value) into events. Offsets are the
-    bytes at which lines begin, so events have the ids that a batch import gives
-    them. A batch is as many paths as the stream takes at once, a bounded list.
-    """
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        done = store.generation().notes.get("batch")
-        if done is not None and int(done) >= batch_id:
-            return
-        paths = sorted(r["path"] for r in batch.select("path").collect())
-        records = jsonl.split_oversized(jsonl.read_files(store.spark, paths, **options))
-        store.publish(replace=parse(records), notes={"batch": str(batch_id)})
-
-    writer = files.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=f"{QUIET_MS} milliseconds").start()
-
-
 def new_deliveries(stream: DataFrame) -> DataFrame:
     """Drop repeated deliveries of a stream with route, epoch and sequence."""
     return stream.dropDuplicates(["route", "epoch", "sequence"])
