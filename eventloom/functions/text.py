@@ -61,6 +61,24 @@ def bm25_term(tf: Column, idf_value: Column, length: Column, mean_length: Column
     return idf_value * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / mean_length))
 
 
+def length_code(length: Column) -> Column:
+    """A length in one byte: itself below 24, then what is over 24 as a binary
+    exponent and three digits after the first, so exact up to 40."""
+    over = (length - 24).cast("long")
+    digits = F.length(F.bin(over))
+    shift = F.greatest(digits - 4, F.lit(0))
+    coarse = F.when(over < 8, over).otherwise(F.call_function("shiftright", over, shift).bitwiseAND(F.lit(7).cast("long")) + (shift + 1) * 8)
+    return F.when(length < 24, length).otherwise(F.lit(24) + coarse).cast("int")
+
+
+def length_of_code(code: Column) -> Column:
+    """The length that a code stands for, the least of those with that code."""
+    coarse = (code - 24).cast("long")
+    shift = F.floor(coarse / 8).cast("int") - 1
+    long = F.when(coarse < 8, coarse).otherwise(F.call_function("shiftleft", (coarse % 8).bitwiseOR(F.lit(8).cast("long")), shift))
+    return F.when(code < 24, code).otherwise(F.lit(24) + long).cast("long")
+
+
 def class_weight(event_type: Column, scope: str = "all") -> Column:
     """Weight of an event's class; it scales the score and never filters."""
     if scope == "all":

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bm25_term, class_weight, idf, term_frequencies
+from ..functions.text import bm25_term, class_weight, idf, length_code, length_of_code, term_frequencies
 
 POOL = 4096
 TIE = 1e-12
@@ -33,17 +33,19 @@ def collection_stats(events: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def lexical_scores(events: DataFrame, corpus: DataFrame, terms: list[str], scope: str | None = None) -> DataFrame:
+def lexical_scores(events: DataFrame, corpus: DataFrame, terms: list[str], scope: str | None = None, byte_lengths: bool = False) -> DataFrame:
     """``events`` that hold a term, with ``coverage`` (distinct terms) and ``score``.
 
     Statistics come from ``corpus``: a filter narrows the events, not the score.
+    ``byte_lengths``: events are as long as one byte tells, as in an index.
     """
     if not terms:
         return events.limit(0).withColumn("coverage", F.lit(0)).withColumn("score", F.lit(0.0))
     stats = collection_stats(corpus, terms)
     hit = events.filter(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in terms]))).withColumn("__tf", term_frequencies(F.col("tokens"), terms))
     scored = hit.crossJoin(F.broadcast(stats))  # stats is one row
-    parts = [F.when(F.get("__tf", F.lit(i)) > 0, bm25_term(F.get("__tf", F.lit(i)).cast("double"), idf(F.col("n_docs"), F.col(f"df_{i}")), F.col("doc_len"), F.col("mean_len"))).otherwise(0.0) for i in range(len(terms))]
+    length = length_of_code(length_code(F.col("doc_len"))) if byte_lengths else F.col("doc_len")
+    parts = [F.when(F.get("__tf", F.lit(i)) > 0, bm25_term(F.get("__tf", F.lit(i)).cast("double"), idf(F.col("n_docs"), F.col(f"df_{i}")), length, F.col("mean_len"))).otherwise(0.0) for i in range(len(terms))]
     total: Column = parts[0]
     for p in parts[1:]:
         total = total + p

@@ -12,20 +12,21 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import class_weight, query_terms, result_title, snippet
+from ..functions.text import query_terms, result_title, snippet
 from ..functions.vectors import chunks, document_header, e5_passage, turn_text
-from ..operators import counts, lineage, lookup, projections, ranges, reconcile, search, sessions, shaping, vector
+from ..operators import adaptive, counts, lineage, lookup, projections, ranges, reconcile, search, sessions, shaping, vector
 from ..operators.filters import EventFilters, outside_tree, semantic_candidate
-from ..operators.term_index import TermIndex
+from ..operators.segments import SegmentedIndex
 from ..schema import conform
 from ..snapshots import Snapshots
 from ..sources import providers
 
 DEFAULT_RESULTS, MAX_RESULTS = 20, 200
+SHOWN = ("shown", "session_id", "event_id", "score", "more_matches", "more_available", "occurred_at_ms", "provider", "event_type", "role")
 
 
 class History:
-    def __init__(self, spark: SparkSession, events: DataFrame, generation: str = "none", vectors: DataFrame | None = None, index: TermIndex | None = None):
+    def __init__(self, spark: SparkSession, events: DataFrame, generation: str = "none", vectors: DataFrame | None = None, index: SegmentedIndex | None = None):
         """``vectors``: event_id, chunk_index, source_text_hash and embedding, if there are any.
 
         ``index``: the events' term index; without one a search cuts all texts into tokens.
@@ -35,18 +36,12 @@ class History:
 
     @staticmethod
     def open(store: Snapshots, generation: str | None = None, vectors: DataFrame | None = None, indexed: bool = False) -> History:
-        """Pin the active or a named generation; ``indexed``: with its term index, made if it has none."""
+        """Pin the active or a named generation; ``indexed``: with its term index, brought up to date."""
         found = generation or store.active()
         if found is None:
             raise ValueError("nothing has been published")
         events = store.read(found)
-        index = None
-        if indexed:
-            path = f"{store.root}/term-index/{found}"
-            if store.exists(f"term-index/{found}/statistics/_SUCCESS"):  # written last
-                index = TermIndex(store.spark, path)
-            else:
-                index = TermIndex.write(events.withColumn("body", projections.body_search()), path)
+        index = SegmentedIndex.update(store, found) if indexed else None
         return History(store.spark, events, found, vectors, index)
 
     # -- search ------------------------------------------------------------
@@ -81,8 +76,10 @@ class History:
         terms = query_terms(self.spark, texts)
         if not terms and kind == "lexical":
             if chosen.file is None:
-                return shaping.result_window(shaping.diversified(shaping.session_champions(search.metadata_pool(rows, 0))), limit)
-            pool = search.metadata_pool(rows)
+                return self._shown(shaping.result_window(shaping.diversified(shaping.session_champions(search.metadata_pool(rows.select(*projections.HIT_COLUMNS), 0))), limit), texts)
+            pool = search.metadata_pool(rows.select(*projections.HIT_COLUMNS))
+        elif kind == "lexical" and self.index is not None:
+            pool = adaptive.candidates(self.index, terms, limit, rows.select(*projections.HIT_COLUMNS), chosen.content_scope, by_session).pool
         else:
             pool = self._pool(rows, terms, kind, chosen.content_scope, query_vector, weight)
         if by_session:
@@ -91,31 +88,38 @@ class History:
             from pyspark.sql import Window
 
             shown = pool.withColumn("more_matches", F.lit(0)).withColumn("shown", F.row_number().over(Window.orderBy(*search.final_order())))  # a bounded pool
-        window = shaping.result_window(shown, limit)
+        return self._shown(shaping.result_window(shown, limit), texts)
+
+    def _shown(self, window: DataFrame, texts: list[str]) -> DataFrame:
+        """The window's rows with titles and snippets; bodies are read for them alone."""
+        rows = window.select(*SHOWN).collect()  # MAX_RESULTS at most
+        found = self.spark.createDataFrame(rows, window.select(*SHOWN).schema)
+        mine = self.events.filter(F.col("session_id").isin(*{r["session_id"] for r in rows}) & F.col("event_id").isin(*[r["event_id"] for r in rows])).select("event_id", "body") if rows else self.events.limit(0).select("event_id", "body")
         cut = snippet(F.coalesce("body", F.lit("")), texts or [""])
-        return window.select("shown", "session_id", "event_id", "score", "more_matches", "more_available", "occurred_at_ms", "event_type", "role", result_title(F.col("provider"), F.col("role"), F.col("event_type")).alias("title"), cut["snippet"].alias("snippet"), cut["truncated"].alias("truncated")).orderBy("shown")
+        return found.join(mine, "event_id", "left").select("shown", "session_id", "event_id", "score", "more_matches", "more_available", "occurred_at_ms", "event_type", "role", result_title(F.col("provider"), F.col("role"), F.col("event_type")).alias("title"), cut["snippet"].alias("snippet"), cut["truncated"].alias("truncated")).orderBy("shown")
 
     def _pool(self, rows: DataFrame, terms: list[str], kind: str, scope: str, query_vector: list[float] | None, weight: float) -> DataFrame:
+        slim = rows.select(*projections.HIT_COLUMNS)
         size = search.POOL if kind == "lexical" else vector.FUSION_POOL
-        lexical = search.coverage_pool(self._scores(rows, terms, scope), size) if terms else None
+        lexical = self._lexical(rows, terms, scope, size) if terms else None
         if kind == "lexical":
-            return lexical.drop("tokens", "doc_len", "__search", "coverage")
+            return lexical.drop("coverage")
         near = vector.eligible(self.vectors, rows.filter(semantic_candidate()))
         best = vector.top_vectors(vector.best_chunks(vector.similarities(near, query_vector)), size)
         if kind == "semantic" or lexical is None:
-            return rows.join(best.select("event_id", F.col("similarity").alias("score")), "event_id")
+            return slim.join(best.select("event_id", F.col("similarity").alias("score")), "event_id")
         placed = vector.ranked(lexical.withColumn("__tier", F.col("coverage") * 1e6 + F.col("score")), "__tier", "lexical_rank")
         fused = vector.fuse(placed, vector.ranked(best, "similarity", "semantic_rank"), weight)
-        return rows.join(fused.select("event_id", "score"), "event_id")
+        return slim.join(fused.select("event_id", "score"), "event_id")
 
-    def _scores(self, rows: DataFrame, terms: list[str], scope: str) -> DataFrame:
-        """``rows`` that hold a term, with coverage and score; statistics are those of all events."""
+    def _lexical(self, rows: DataFrame, terms: list[str], scope: str, size: int) -> DataFrame:
+        """The ``size`` best of ``rows`` by coverage and score; statistics are those of all events."""
         if self.index is not None:
-            scored = rows.join(self.index.scores(terms), "event_id")
-            return scored.withColumn("score", F.col("score") * class_weight(F.col("event_type"), scope))
+            return self.index.best(terms, size, rows.select(*projections.HIT_COLUMNS), scope, tiers=True).pool
         body = projections.body_search()
         corpus, mine = (search.with_tokens(x.withColumn("__search", body), "__search") for x in (self.events, rows))
-        return search.lexical_scores(mine, corpus, terms, scope)
+        scored = search.lexical_scores(mine, corpus, terms, scope, byte_lengths=True)
+        return search.coverage_pool(scored, size).select(*projections.HIT_COLUMNS, "coverage", "score")
 
     def outside_active(self, session_id: str):
         """Predicate that leaves out the session being worked in, with its tree."""
