@@ -3,8 +3,8 @@
 Patterns give the base findings; the method then looks at what long base64 and
 hex runs decode to, from every place where an encoding can begin, and reports
 what has the structure of a key or token: DER sequences whose nested lengths add
-up at all levels, length-prefixed SSH key blobs, the magic of OpenSSH keys,
-armour around any of these (also encrypted, with header lines, or with a check
+up at all levels, length-prefixed SSH key blobs, OpenSSH's private key files field
+by field, armour around any of these (also encrypted, with header lines, or with a check
 sum that fits), and signed tokens whose header is a JSON object that names an
 algorithm. Whatever stands in a text, nothing raises.
 
@@ -46,6 +46,7 @@ ADDED_KINDS = ("jwt", "pem", "key64", "keyhex")
 KINDS = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
+CIPHER_NAME = re.compile(rb"[A-Za-z0-9@.-]{1,64}")
 # What is taken for a key's encoding: at most so many parts and levels, and a value of key size.
 MOST_PARTS, MOST_LEVELS, KEY_BYTES = 128, 16, 16
 DER_TAGS = frozenset((0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31, 0x80, 0x81, 0x82, 0xA0, 0xA1, 0xA2, 0xA3))
@@ -124,17 +125,49 @@ def der_end(data: bytes, at: int = 0) -> int | None:
     return outer[2] if top >= 2 and key else None
 
 
+def _field(data: bytes, at: int) -> tuple[int, int] | None:
+    """Start and end of the length-prefixed field at ``at``."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (at + 4, end) if at + 4 <= end <= len(data) and at + 4 <= len(data) else None
+
+
+def openssh_end(data: bytes, at: int = 0) -> int | None:
+    """Where the private key file at ``at`` ends: after its magic the names of cipher
+    and key derivation, its options, a number of public keys, as many of them, and
+    private parts that fill whole cipher blocks."""
+    if not data.startswith(OPENSSH_MAGIC, at):
+        return None
+    at += len(OPENSSH_MAGIC)
+    for name in (True, True, False):
+        field = _field(data, at)
+        if field is None or (name and not CIPHER_NAME.fullmatch(data, *field)):
+            return None
+        at = field[1]
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= MOST_LEVELS:
+        return None
+    for _ in range(keys):
+        field = _field(data, at)
+        if field is None or _field(data, field[0]) is None or not data.startswith(SSH_NAMES, field[0] + 4):
+            return None
+        at = field[1]
+    field = _field(data, at)
+    if field is None or field[1] - field[0] < KEY_BYTES or (field[1] - field[0]) % 8:
+        return None
+    return field[1]
+
+
 def ssh_end(data: bytes, at: int = 0) -> int | None:
     """Where the length-prefixed fields at ``at`` end that follow an SSH key type."""
     if data.startswith(OPENSSH_MAGIC, at):
-        return len(data)
+        return openssh_end(data, at)
     fields, end, key = 0, at, False
-    while fields < 8 and end + 4 <= len(data):
-        n = int.from_bytes(data[end : end + 4], "big")
-        if end + 4 + n > len(data) or not (fields or data.startswith(SSH_NAMES, end + 4)):
+    while fields < 8 and (field := _field(data, end)):
+        if not (fields or data.startswith(SSH_NAMES, field[0])):
             break
-        key = key or (fields > 0 and n >= KEY_BYTES)
-        fields, end = fields + 1, end + 4 + n
+        key = key or (fields > 0 and field[1] - field[0] >= KEY_BYTES)
+        fields, end = fields + 1, field[1]
     return end if fields >= 2 and key else None
 
 
@@ -142,43 +175,27 @@ def key_end(data: bytes, at: int = 0) -> int | None:
     return der_end(data, at) or ssh_end(data, at)
 
 
-def _window64(run: str, at: int) -> tuple[bytes | None, int]:
-    """The bytes the run encodes from ``at`` on, as many as the sequence there says."""
-    head = _decoded64(run[at : at + 8])
-    if head is None:
-        return None, 0
-    item = head[1] if len(head) > 1 else 0
-    if head[0] != 0x30:
-        named = _decoded64(run[at : at + 24]) or b""
-        if not named.startswith((OPENSSH_MAGIC, *SSH_NAMES), 0 if named.startswith(b"open") else 4):
-            return None, 0
-        wanted = 1 << 16
-    elif item & 0x80:
-        n = item & 0x7F
-        if not 1 <= n <= 4 or len(head) < 2 + n:
-            return None, 0
-        wanted = 2 + n + int.from_bytes(head[2 : 2 + n], "big")
-    else:
-        wanted = 2 + item
-    chars = -(-wanted * 4 // 3)
-    if head[0] == 0x30 and (chars > len(run) - at or wanted < KEY_BYTES + 4):
-        return None, 0
-    part = run[at : at + chars]
-    return _decoded64(part[: len(part) - (len(part) % 4 == 1)]), wanted
-
-
 def keys_in64(run: str) -> list[tuple[int, int]]:
-    """Spans in a base64 run that decode to keys, the leftmost first."""
+    """Spans in a base64 run that decode to keys, the leftmost first.
+
+    The run is decoded once for each of the four places a group can begin at; a
+    place where an encoding can begin is looked up in the one that fits it.
+    """
     found, at = [], 0
     body = run.rstrip("=")
+    by_place: dict[int, bytes] = {}
     while m := START64.search(body, at):
-        data, _ = _window64(body, m.start())
-        end = key_end(data) if data else None
+        start = m.start()
+        if start % 4 not in by_place:
+            part = body[start % 4 :]
+            by_place[start % 4] = _decoded64(part[: len(part) - (len(part) % 4 == 1)]) or b""
+        first = start // 4 * 3
+        end = key_end(by_place[start % 4], first)
         if end is None:
-            at = m.start() + 1
+            at = start + 1
             continue
-        at = m.start() + -(-end * 4 // 3)
-        found.append((m.start(), len(run) if at >= len(body) else at))
+        at = start + -(-(end - first) * 4 // 3)
+        found.append((start, len(run) if at >= len(body) else at))
     return found
 
 

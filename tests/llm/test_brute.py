@@ -463,7 +463,8 @@ def test_secrets_are_confirmed_by_structure():
 def _key_texts():
     key = _der(0x30, _der(2, b"\0") + _der(0x30, _der(6, b"\x2a\x86\x48") + _der(5, b"")) + _der(4, _der(0x30, _der(2, bytes(range(1, 200))) + _der(2, b"\1\0\1"))))
     blob = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
-    return key, blob, b"openssh-key-v1\0" + bytes(range(64))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    return key, blob, b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(blob) + field(bytes(range(64)))
 
 
 def test_secrets_are_found_at_inner_places():
@@ -494,6 +495,58 @@ def test_secrets_false_structure_is_not_reported():
     assert secrets.confirmed_spans(base64.b64encode(inner).decode()) == []
 
 
+def test_openssh_magic_alone_is_no_key():
+    magic = b"openssh-key-v1\0"
+    good = _key_texts()[2]
+    assert secrets.key_end(good) == len(good)
+    for raw in (magic + bytes(range(60)), magic + random.Random(1).randbytes(60), magic):
+        assert secrets.confirmed_spans(base64.b64encode(raw).decode()) == [] and secrets.confirmed_spans(raw.hex()) == []
+    for raw in (good[:-1], good[:-8], good.replace(b"ssh-ed25519", b"xsh-ed25519"), good.replace(b"none", b"no\0e")):
+        # the public key inside may be reported, the file isn't
+        assert secrets.openssh_end(raw) is None and not [x for x in secrets.confirmed_spans(raw.hex()) if x[0] == 0]
+
+
+def plain_keys64(run):
+    """Every place of a base64 run decoded by itself, the leftmost keys first."""
+    found, at, body = [], 0, run.rstrip("=")
+    while at < len(body):
+        part = body[at:].replace("-", "+").replace("_", "/")
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        begins = data[:1] == b"\x30" or data[4:].startswith((b"ssh-", b"ecdsa-sha2-")) or data.startswith(b"openssh-key-v1\0")
+        end = secrets.key_end(data) if begins else None
+        if end is None:
+            at += 1
+            continue
+        stop = at + -(-end * 4 // 3)
+        found.append((at, len(run) if stop >= len(body) else stop))
+        at = stop
+    return found
+
+
+def test_secrets_in_base64_runs_against_every_place_decoded_alone():
+    r = random.Random(12)
+    key, blob, magic = _key_texts()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    for _ in range(60):
+        run = ""
+        for _ in range(r.randint(1, 4)):
+            run += "".join(r.choices(letters, k=r.randint(0, 30))) + r.choice(["", "MII", base64.b64encode(r.choice([key, blob, magic])).decode().rstrip("=")])
+        if len(run) >= 40:
+            assert secrets.keys_in64(run) == plain_keys64(run), run
+
+
+def test_lengths_that_claim_all_that_follows_are_read_once():
+    import time
+
+    claims = base64.b64encode(b"\x30\x83\x0f\xff\xff" * 200_000).decode()  # 1.3 MB
+    nested = base64.b64encode(b"".join(b"\x30\x83" + (3 * n).to_bytes(3, "big") for n in range(70_000, 0, -1))).decode()
+    for text in (claims, nested, "MII" * 400_000, "AAAAB3NzaC1yc2E" * 60_000, "b3BlbnNzaC1rZXktdjE" * 50_000):
+        began = time.perf_counter()
+        secrets.confirmed_spans(text)
+        assert time.perf_counter() - began < 5, text[:20]
+
+
 def test_secrets_in_armour():
     key, _, magic = _key_texts()
     armour = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
