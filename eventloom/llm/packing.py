@@ -13,7 +13,8 @@ and packed into as few sequences as can be found:
    dual prices, until it is within a thousandth of the optimum. Whole parts are
    taken; the rest is less than one sequence a size.
 4. The actual documents are put in by rank, but for the smallest of each
-   configuration. As ranks of a length are contiguous, the room left in each
+   configuration; how many of these are held back is tried (``HELD``), down to all
+   of them, and the plan with the fewest sequences is taken. As ranks of a length are contiguous, the room left in each
    sequence follows from the counts alone.
 5. Those held back, the rest and the small lengths go, longest first, to the
    fullest sequences with room for them (best fit), again in counts; what finds no
@@ -49,6 +50,7 @@ from .common import kept_columns, map_texts, packed, quoted, small_batches, stag
 CAPACITY = 2048
 END_ID = 0
 N_GROUPS = 48
+HELD = (1, 0, 2, 3, 7, None)
 TOLERANCE = 1e-3  # of the linear program
 MOST_PIVOTS = 4000  # far above the need; any basis gives a valid plan
 SMALL_SHARE = 8  # lengths under capacity / 8 are small
@@ -221,9 +223,20 @@ def optimised_configurations(sizes: list[int], counts: list[int], capacity: int)
 
 
 def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_GROUPS) -> tuple[list[tuple[int, int, int]], int]:
+    """The plan with the fewest sequences among those that hold back more or fewer
+    lengths of each configuration for best fit; with all held back it is plain
+    best-fit decreasing, so no plan is worse than that.
+    """
+    found: dict = {}
+    return min((_planned(counts, capacity, n_groups, held, found) for held in HELD), key=lambda plan: plan[1])
+
+
+def _planned(counts: list[int], capacity: int, n_groups: int, held: int | None, found: dict) -> tuple[list[tuple[int, int, int]], int]:
     """Rules (first rank, period, first sequence) and the number of sequences.
 
-    ``counts[n]``: pieces of length n. Ranks run from the longest piece to the
+    ``held``: how many lengths of a configuration, the smallest, are put in by best
+    fit, if it has more; None for all. ``found`` keeps the configurations from plan
+    to plan. ``counts[n]``: pieces of length n. Ranks run from the longest piece to the
     shortest; the piece of rank r under the rule with the largest first rank not
     above r goes to sequence first + (r - first rank) modulo period.
     """
@@ -276,9 +289,12 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
             at = upto
         n_sequences += times
 
-    for used, times in optimised_configurations(sizes, left, capacity):
-        if sum(used.values()) > 1:
-            used[max(used)] -= 1  # closed below by the actual length that fits best
+    if held is not None and "configurations" not in found:
+        found["configurations"] = optimised_configurations(sizes, left, capacity)
+    for whole, times in found["configurations"] if held is not None else []:
+        used = dict(whole)
+        for _ in range(min(held, sum(used.values()) - 1)):
+            used[max(i for i, n in used.items() if n)] -= 1  # closed below by the actual length that fits best
         place({i: n for i, n in used.items() if n}, times)
     # Best fit, longest first and by counts: what closes configurations, what
     # rounding down left over, and the small ones.
@@ -294,10 +310,23 @@ def plan_packing(counts: list[int], capacity: int = CAPACITY, n_groups: int = N_
         while rest:
             k = bisect_left(open_gaps, n)
             if k == len(open_gaps):
-                new = -(-rest // (capacity // n))
-                gaps.setdefault(capacity, []).append((n_sequences, n_sequences + new))
+                each = capacity // n
+                new = rest // each  # sequences full of this length, then one begun
+                if not new:
+                    gaps.setdefault(capacity, []).append((n_sequences, n_sequences + 1))
+                    n_sequences += 1
+                    insort(open_gaps, capacity)
+                    continue
+                for _ in range(each):
+                    rules.append((rank, new, n_sequences))
+                    rank += new
+                room = capacity - each * n
+                if room > 0:
+                    if room not in gaps:
+                        insort(open_gaps, room)
+                    gaps.setdefault(room, []).append((n_sequences, n_sequences + new))
+                rest -= new * each
                 n_sequences += new
-                insort(open_gaps, capacity)
                 continue
             gap = open_gaps[k]
             a, b = gaps[gap].pop()

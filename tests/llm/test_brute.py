@@ -679,3 +679,34 @@ def test_html_decoding_is_consistent(spark):
                 path.append(id(at) in chosen)
                 at = at.up
             assert "".join("10"[not x] for x in reversed(path)).strip("0").find("0") == -1  # out, in, cut
+
+
+def test_packing_is_never_worse_than_best_fit_decreasing():
+    from bisect import bisect_left, insort
+
+    def best_fit(lengths, capacity):
+        room = []
+        for x in sorted(lengths, reverse=True):
+            k = bisect_left(room, x)
+            insort(room, (room.pop(k) if k < len(room) else capacity) - x)
+        return len(room)
+
+    rng = np.random.default_rng(4)
+    shapes = [
+        np.clip(rng.lognormal(6.3, 0.6, 6000), 256, 2047).astype(int),
+        rng.integers(256, 900, 4000),
+        rng.integers(700, 2047, 3000),
+        np.clip(rng.lognormal(5, 1.3, 6000), 1, 2047).astype(int),
+        rng.choice([600, 683, 1024, 341], 3000),
+        np.full(1000, 683),
+    ]
+    for lengths in shapes:
+        rules, n = packing.plan_packing([*np.bincount(lengths, minlength=2048).tolist(), 0])
+        assert n <= best_fit(lengths.tolist(), 2048)
+        ranked = sorted(lengths.tolist(), reverse=True)
+        first = [r[0] for r in rules]
+        filled = Counter()
+        for rank, x in enumerate(ranked):
+            a, period, sequence = rules[bisect_left(first, rank + 1) - 1]
+            filled[sequence + (rank - a) % period] += x
+        assert max(filled.values()) <= 2048 and len(filled) == n
