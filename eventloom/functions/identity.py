@@ -34,15 +34,15 @@ def content_leaf(*parts: Column) -> Column:
 
 
 def leaf_sum(leaf: Column) -> Column:
-    """Sum of leaves modulo 2^256, as eight sums of 32-bit limbs, in hex.
+    """Sum of leaves modulo 2^256, as sixteen sums of 16-bit limbs, in hex.
 
-    Limb sums stay below 2^63 for two billion rows and are carried at the end,
-    so the aggregate is partial on every executor.
+    Limb sums stay below 2^63 for 2^47 rows and are carried at the end, so the
+    aggregate is partial on every executor.
     """
-    limbs = [F.sum(F.conv(F.substring(leaf, 1 + 8 * i, 8), 16, 10).cast("long")) for i in range(8)]
+    limbs = [F.sum(F.conv(F.substring(leaf, 1 + 4 * i, 4), 16, 10).cast("long")) for i in range(16)]
     carry, out = F.lit(0).cast("long"), []
     for limb in reversed(limbs):
         total = limb + carry
-        out.append(F.lpad(F.lower(F.hex(total.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
-        carry = F.shiftrightunsigned(total, 32)
+        out.append(F.lpad(F.lower(F.hex(total.bitwiseAND(F.lit(0xFFFF)))), 4, "0"))
+        carry = F.shiftrightunsigned(total, 16)
     return F.concat(*reversed(out))

@@ -61,26 +61,63 @@ def session_tree(spark: SparkSession, events: DataFrame, start: list[str], max_s
         links.unpersist()
 
 
-def proven_root(events: DataFrame, session_id, max_depth: int = MAX_ROUNDS) -> str | None:
-    """Root of a session's parent chain; None for cycles, gaps and contradicting claims."""
+def _chains(sessions: DataFrame, start: DataFrame, max_ancestors: int) -> DataFrame:
+    """(session_id, at, parent, claimed, depth): every session and its ancestors, itself at depth 0.
+
+    One recursive query for all of ``start``; a chain of more than
+    ``max_ancestors`` goes one step further and no more.
+    """
+    spark = sessions.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # read when the query runs; its rows grow with the sessions
+    return spark.sql(
+        """
+        WITH RECURSIVE chain AS (
+            SELECT session_id, session_id AS at, parent_session_id AS parent, root_session_id AS claimed, 0 AS depth FROM {start}
+            UNION ALL
+            SELECT c.session_id, s.session_id, s.parent_session_id, s.root_session_id, c.depth + 1
+            FROM chain c JOIN {sessions} s ON c.parent = s.session_id WHERE c.depth <= {most})
+        SELECT * FROM chain
+        """,
+        sessions=sessions,
+        start=start,
+        most=max_ancestors,
+    )
+
+
+def proven_roots(events: DataFrame, session_ids: DataFrame | None = None, max_ancestors: int = MAX_ROUNDS) -> DataFrame:
+    """(session_id, proven_root) of all sessions, or of those in ``session_ids``.
+
+    The root is where a chain of parents ends. It is null where the chain has a
+    gap, a cycle or more than ``max_ancestors`` ancestors, where a session has
+    several records that disagree, and where a session on the chain claims a root
+    that is none of its ancestors (the root itself may claim itself only).
+    """
     facts = _session_edges(events)
-    seen, at, claimed = [], session_id, None
-    for _ in range(max_depth):
-        if at in seen:
-            return None
-        seen.append(at)
-        rows = facts.filter(F.col("session_id") == at).limit(2).collect()
-        if len(rows) != 1:
-            return None
-        row = rows[0]
-        if row["root_session_id"] is not None:
-            if claimed is not None and claimed != row["root_session_id"]:
-                return None
-            claimed = row["root_session_id"]
-        if row["parent_session_id"] is None:
-            return at if claimed in (None, at) else None
-        at = row["parent_session_id"]
-    return None
+    one = facts.groupBy("session_id").agg(F.count(F.lit(1)).alias("records"), F.first("parent_session_id").alias("parent_session_id"), F.first("root_session_id").alias("root_session_id"))
+    sessions = one.filter("records = 1").drop("records")
+    asked = one.select("session_id") if session_ids is None else one.select("session_id").join(session_ids.select("session_id").distinct(), "session_id", "left_semi")
+    start = sessions if session_ids is None else sessions.join(asked, "session_id", "left_semi")
+    chains = _chains(sessions, start, max_ancestors)
+    # Of each chain: its nodes by depth, so that every claim is looked up among those above it.
+    node = F.struct("depth", "at", "parent", "claimed")
+    whole = chains.groupBy("session_id").agg(F.sort_array(F.collect_list(node)).alias("chain"))  # at most max_ancestors + 2
+    last = F.get("chain", F.size("chain") - 1)
+    proven = F.forall(
+        "chain",
+        lambda n: n["claimed"].isNull()
+        | F.when(n["depth"] == F.size("chain") - 1, n["claimed"] == n["at"]).otherwise(F.exists("chain", lambda m: (m["depth"] > n["depth"]) & (m["at"] == n["claimed"]))),
+    )
+    good = last["parent"].isNull() & (F.size("chain") <= max_ancestors + 1) & proven
+    found = whole.select("session_id", F.when(good, last["at"]).alias("proven_root"))
+    return asked.join(found, "session_id", "left")
+
+
+def proven_root(events: DataFrame, session_id, max_depth: int = MAX_ROUNDS):
+    """The proven root of one session; None if there is none."""
+    kind = events.schema["session_id"].dataType.simpleString()
+    asked = events.sparkSession.createDataFrame([(session_id,)], f"session_id {kind}")
+    row = proven_roots(events, asked, max_depth).first()
+    return None if row is None else row["proven_root"]
 
 
 def lineage_report(events: DataFrame, event_id, policy: tuple[int, int] = SHOW_POLICY) -> dict[str, DataFrame]:

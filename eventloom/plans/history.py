@@ -16,6 +16,7 @@ from ..functions.text import query_terms, result_title, snippet
 from ..functions.vectors import chunks, document_header, e5_passage, turn_text
 from ..operators import adaptive, counts, lineage, lookup, projections, ranges, reconcile, search, sessions, shaping, vector
 from ..operators.filters import EventFilters, outside_tree, semantic_candidate
+from ..operators.retrieval_class import Routes, classified
 from ..operators.segments import SegmentedIndex
 from ..schema import conform
 from ..snapshots import Snapshots
@@ -159,9 +160,13 @@ class History:
         return counts.status_totals(self.events)
 
 
-def import_records(store: Snapshots, records: DataFrame, source_format: str, expected: str | None = None) -> str:
-    """Parse records of a known format and publish their sources anew."""
-    return store.publish(replace=providers.project_format(records, source_format), expected=expected)
+def import_records(store: Snapshots, records: DataFrame, source_format: str, expected: str | None = None, routes: Routes | None = None) -> str:
+    """Parse records of a known format and publish their sources anew.
+
+    With ``routes`` what repeats results of an engine's own searches is kept out of later ones.
+    """
+    events = providers.project_format(records, source_format)
+    return store.publish(replace=events if routes is None else classified(events, routes), expected=expected)
 
 
 def documents_to_embed(events: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

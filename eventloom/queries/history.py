@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import counts, filters, lineage, lookup, projections, ranges, sessions
-from .literals import events_fixture, events_sql
-from .tables import RANGE_SQL, TRANSCRIPT_SQL, range_events, transcript_events
+from .tables import RANGE_SQL, TABLE_EVENTS_SQL, TRANSCRIPT_SQL, range_events, table_events, transcript_events
+from .whole_tables import roots_sql
 
-EV = f"WITH {events_sql()}"
+EV = f"WITH {TABLE_EVENTS_SQL}"
 RE = f"WITH {RANGE_SQL}"
 TR = f"WITH {TRANSCRIPT_SQL}"
 FACT_SQL = "len(list_filter(facts, lambda f: {test})) > 0"
 WORKSPACE_SQL = FACT_SQL.format(test="f.kind IN ('workspace', 'session_cwd', 'tool_workdir', 'project') AND contains(lower(f.value), '{0}')")
 
-#: name: the filter and the same as a SQL condition, over the literal events.
+#: name: the filter and the same as a SQL condition, over the conversations as events.
 FILTERS: dict[str, tuple[filters.EventFilters, str]] = {
     "filter_discoverable": (filters.EventFilters(discoverable=True), "policy_status = 'selected' AND discovery_exclusion IS NULL"),
     "filter_provider": (filters.EventFilters(provider="claude"), "provider = 'claude'"),
@@ -44,20 +44,20 @@ FILTERS: dict[str, tuple[filters.EventFilters, str]] = {
 
 
 def _filter_query(chosen: filters.EventFilters) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: events_fixture(spark).filter(chosen.column()).select("event_id")
+    return lambda spark, sf_dir: table_events(spark, sf_dir).filter(chosen.column()).select("event_id")
 
 
 def filter_outside_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_fixture(spark).filter(filters.outside_tree(["s1"], "custom", "p5")).select("event_id")
+    return table_events(spark, sf_dir).filter(filters.outside_tree(["s1"], "custom", "p5")).select("event_id")
 
 
 def filter_semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_fixture(spark).filter(filters.semantic_candidate()).select("event_id")
+    return table_events(spark, sf_dir).filter(filters.semantic_candidate()).select("event_id")
 
 
 def filter_id_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rows at most: enough to see that a prefix is ambiguous."""
-    return lookup.by_prefix(events_fixture(spark), "000000000000000").select("event_id")
+    return lookup.by_prefix(table_events(spark, sf_dir), "000000000000000").select("event_id")
 
 
 def filter_range_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def session_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_first_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_records(events_fixture(spark)).select("session_id", "event_id", "provider", "agent_scope")
+    return sessions.session_records(table_events(spark, sf_dir)).select("session_id", "event_id", "provider", "agent_scope")
 
 
 def session_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_full_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.full_mode(events_fixture(spark)).select("event_id")
+    return sessions.full_mode(table_events(spark, sf_dir)).select("event_id")
 
 
 def session_lite_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,26 +143,25 @@ def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.copy_sources(events_fixture(spark))
+    return lineage.copy_sources(table_events(spark, sf_dir))
 
 
 def copies_of_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.copies_of(events_fixture(spark), "0000000000000001aaaabbbbccccdddd")
+    return lineage.copies_of(table_events(spark, sf_dir), "0000000000000001aaaabbbbccccdddd")
 
 
 def copy_relationship_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.relationship_counts(events_fixture(spark), "0000000000000001aaaabbbbccccdddd")
+    return lineage.relationship_counts(table_events(spark, sf_dir), "0000000000000001aaaabbbbccccdddd")
 
 
 def session_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lineage.session_tree(spark, events_fixture(spark), ["s2"]) or []
+    found = lineage.session_tree(spark, table_events(spark, sf_dir), ["s2"]) or []
     return spark.createDataFrame([(s,) for s in found], "session_id string")
 
 
 def proven_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = events_fixture(spark)
-    rows = [(s, lineage.proven_root(events, s)) for s in ("s1", "s2", "s3", "s5", "s6")]
-    return spark.createDataFrame(rows, "session_id string, proven_root string")
+    """All sessions' roots; ``whole_tables.session_roots`` has gaps, cycles and false claims too."""
+    return lineage.proven_roots(table_events(spark, sf_dir))
 
 
 def hydrate_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,19 +171,19 @@ def hydrate_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_provider_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.sessions_by_provider_id(events_fixture(spark), "p1")
+    return lookup.sessions_by_provider_id(table_events(spark, sf_dir), "p1")
 
 
 def locate_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.locate(events_fixture(spark), "0000000000000009")
+    return lookup.locate(table_events(spark, sf_dir), "0000000000000009")
 
 
 def shortest_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.shortest_unique(events_fixture(spark))
+    return lookup.shortest_unique(table_events(spark, sf_dir))
 
 
 def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.status_totals(events_fixture(spark))
+    return counts.status_totals(table_events(spark, sf_dir))
 
 
 def session_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,15 +195,15 @@ def event_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.source_totals(events_fixture(spark).withColumn("source_key", F.concat_ws("/", "provider", "provider_session_id")))
+    return counts.source_totals(table_events(spark, sf_dir).withColumn("source_key", F.concat_ws("/", "provider", "provider_session_id")))
 
 
 def body_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_fixture(spark).select("event_id", projections.body_search().alias("body_search"))
+    return table_events(spark, sf_dir).select("event_id", projections.body_search().alias("body_search"))
 
 
 def content_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = projections.content(events_fixture(spark), "text")
+    shown = projections.content(table_events(spark, sf_dir), "text")
     return shown.select("event_id", "body", F.size("facts").cast("long").alias("n_facts"))
 
 
@@ -250,8 +249,8 @@ ORACLE_SQL = {name: f"{EV} SELECT event_id FROM ev WHERE {test}" for name, (_, t
     "copy_sources": f"{EV} SELECT c.event_id, c.copy_ancestor_event_id AS ancestor_event_id, a.event_id IS NOT NULL AS resolved FROM ev c LEFT JOIN ev a ON a.event_id = c.copy_ancestor_event_id AND a.session_id = c.copy_ancestor_session_id WHERE c.copy_ancestor_event_id IS NOT NULL",
     "copies_of_event": f"{EV} SELECT event_id, session_id, coalesce(session_relationship, 'unspecified') AS relationship FROM ev WHERE copy_ancestor_event_id = {_E1} ORDER BY event_id LIMIT 20",
     "copy_relationship_counts": f"{EV} SELECT CASE WHEN session_relationship IN ('root', 'delegated', 'forked', 'resumed_from', 'workflow_child') THEN session_relationship ELSE 'unspecified' END AS relationship, count(*) AS n FROM ev WHERE copy_ancestor_event_id = {_E1} GROUP BY 1",
-    "session_tree": f"WITH RECURSIVE {events_sql()}, e AS (SELECT session_id AS a, parent_session_id AS b FROM ev WHERE parent_session_id IS NOT NULL UNION SELECT session_id, root_session_id FROM ev WHERE root_session_id IS NOT NULL UNION SELECT parent_session_id, session_id FROM ev WHERE parent_session_id IS NOT NULL UNION SELECT root_session_id, session_id FROM ev WHERE root_session_id IS NOT NULL), r(session_id) AS (SELECT 's2' UNION SELECT e.b FROM r JOIN e ON e.a = r.session_id) SELECT session_id FROM r",
-    "proven_roots": "SELECT * FROM (VALUES ('s1', 's1'), ('s2', 's1'), ('s3', 's1'), ('s5', 's4'), ('s6', NULL)) AS t(session_id, proven_root)",
+    "session_tree": f"WITH RECURSIVE {TABLE_EVENTS_SQL}, e AS (SELECT session_id AS a, parent_session_id AS b FROM ev WHERE parent_session_id IS NOT NULL UNION SELECT session_id, root_session_id FROM ev WHERE root_session_id IS NOT NULL UNION SELECT parent_session_id, session_id FROM ev WHERE parent_session_id IS NOT NULL UNION SELECT root_session_id, session_id FROM ev WHERE root_session_id IS NOT NULL), r(session_id) AS (SELECT 's2' UNION SELECT e.b FROM r JOIN e ON e.a = r.session_id) SELECT session_id FROM r",
+    "proven_roots": roots_sql("SELECT DISTINCT session_id AS sid, parent_session_id AS parent, root_session_id AS claimed FROM ev", f"{TABLE_EVENTS_SQL},"),
     "hydrate_by_ids": f"{TR} SELECT w.ordinal, tr.event_id, tr.role FROM (VALUES (0::BIGINT, 12001), (1, 3000), (2, 7002)) AS w(ordinal, id) JOIN tr ON tr.event_id = w.id",
     "resolve_provider_session": f"{EV} SELECT DISTINCT session_id, provider FROM ev WHERE provider_session_id = 'p1' ORDER BY session_id LIMIT 2",
     "locate_event": f"{EV} SELECT event_id, session_id, provider, source_format, provider_session_id FROM ev WHERE starts_with(event_id, '0000000000000009') ORDER BY event_id LIMIT 2",

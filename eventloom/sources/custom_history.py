@@ -22,7 +22,7 @@ RECORD = (
 )
 RECORD_TYPES = ("manifest", "source", "session", "event", "file_reference", "file_touch", "edge")
 DIRECT = ("delegated", "forked", "resumed_from", "workflow_child")
-FORMAT = "history_jsonl_v1"
+FORMAT = "custom_history_jsonl"  # this library's own name for it
 BODY_FIELDS = ("text", "content", "message", "summary", "command")
 
 

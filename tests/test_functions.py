@@ -148,25 +148,43 @@ def test_repeated_keys_take_a_record_its_authority(spark):
 
 
 def test_commands_of_the_program_itself(spark):
-    from eventloom.operators.retrieval_class import command_class, tool_class
+    from eventloom.operators.retrieval_class import Routes, classified, command_class, tool_class
+    from eventloom.schema import conform
 
+    routes = Routes("recall", ("find", "read turn"), ("tidy",), "recall-tools", ("find",))
     lines = {
-        "eventloom search x": "derived",
-        " eventloom  show   session 4": "derived",
-        "eventloom show": "unknown",
-        "eventloom searching x": "unknown",
-        "eventloom status": "ordinary",
-        "eventloom search x > f": "unknown",
-        "eventloom search $(id)": "unknown",
-        "cat eventloom search": "unknown",
+        "recall find x": "derived",
+        " recall  read   turn 4": "derived",
+        "recall read": "unknown",
+        "recall finding x": "unknown",
+        "recall tidy": "ordinary",
+        "recall find x > f": "unknown",
+        "recall find $(id)": "unknown",
+        "cat recall find": "unknown",
         "": "unknown",
         None: "unknown",
     }
     df = spark.createDataFrame([(t,) for t in lines], "line string")
-    assert {r["line"]: r["c"] for r in df.select("line", command_class(F.col("line")).alias("c")).collect()} == lines
-    tools = {("eventloom", "search"): "derived", ("eventloom", "publish"): "ordinary", ("other", "search"): "unknown", (None, "search"): "unknown"}
+    assert {r["line"]: r["c"] for r in df.select("line", command_class(F.col("line"), routes).alias("c")).collect()} == lines
+    tools = {("recall-tools", "find"): "derived", ("recall-tools", "tidy"): "ordinary", ("other", "find"): "unknown", (None, "find"): "unknown"}
     df = spark.createDataFrame(list(tools), "server string, tool string")
-    assert {(r["server"], r["tool"]): r["c"] for r in df.select("*", tool_class(F.col("server"), F.col("tool")).alias("c")).collect()} == tools
+    assert {(r["server"], r["tool"]): r["c"] for r in df.select("*", tool_class(F.col("server"), F.col("tool"), routes).alias("c")).collect()} == tools
+    assert df.select(command_class(F.col("tool"), Routes("find", ())).alias("c")).distinct().collect()[0]["c"] == "unknown"
+
+    rows = [
+        ("c1", "s", "tool_call", "k1", "recall-tools", "find", None, None, None),
+        ("r1", "s", "tool_output", "k1", None, None, "succeeded", None, None),
+        ("r2", "s", "tool_output", "k1", None, None, "failed", None, None),
+        ("r3", "other", "tool_output", "k1", None, None, "succeeded", None, None),
+        ("c2", "s", "command_started", "k2", None, "shell", None, [("command", "recall read turn 1")], None),
+        ("r4", "s", "command_finished", "k2", None, None, "succeeded", None, None),
+        ("c3", "s", "tool_call", "k3", None, "shell", None, [("command", "ls")], None),
+        ("r5", "s", "tool_output", "k3", None, None, "succeeded", None, "private"),
+        ("m", "s", "message", None, None, None, None, None, None),
+    ]
+    events = conform(spark.createDataFrame(rows, "event_id string, session_id string, event_type string, call_id string, server string, tool string, result_status string, facts array<struct<kind:string,value:string>>, discovery_exclusion string"))
+    got = {r["event_id"]: r["discovery_exclusion"] for r in classified(events, routes).collect()}
+    assert got == {"c1": "retrieval_derived", "r1": "retrieval_derived", "r2": None, "r3": None, "c2": "retrieval_derived", "r4": "retrieval_derived", "c3": None, "r5": "private", "m": None}
 
 
 def test_shell_words(spark):
