@@ -8,8 +8,11 @@ best labelling in which a path from the root is outside, then inside, then cut
 out: nothing cut can hold article text and no article holds another one's
 outside, so ancestor and descendant never contradict.
 
-The trees are fitted with Spark ML on ``TRAINING_PAGES`` generated pages in many
-layouts with known labels, a fixed bounded sample. What hashed attribute words
+The trees are fitted with Spark ML on generated pages in many layouts with known
+labels, a fixed bounded sample: ``TRAINING_PAGES`` whose parts have usual names and as
+many that say little of their parts. Where the best labelling of a page is empty
+though it has long paragraphs, the trees are taken to be wrong by the same odds
+everywhere, the least that lets some of it be an article. What hashed attribute words
 tell is learned there too, as log-odds of those on ``MIN_PAGES`` of these pages
 or more. The pages of the table are all scored, whole.
 
@@ -41,6 +44,8 @@ TREE_DEPTH = 5
 ENTER_COST = 2.0
 CUT_COST = 1.0
 ODDS_LIMIT = 3.0
+PROSE_CHARS = 400
+MORE_ODDS = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
 SLICE_CHARS = 4 << 20
 SYLLABLES = "an er the on re ti in st ou ve la de que mi so ta lo en ar ch ung be ge".split()
 
@@ -206,11 +211,89 @@ class _Writer:
         return "".join(self.out), self.labels
 
 
+#: Other languages' names of a page's parts.
+FOREIGN = {
+    "main": "inhalt hauptinhalt contenu contenido conteudo contenuto artikel",
+    "nav": "navigation hauptmenue menu-principal navegacion navigazione",
+    "header": "kopfzeile kopf entete cabecera cabecalho testata",
+    "footer": "fusszeile fuss pied-de-page pie rodape piede",
+    "side": "seitenleiste colonne lateral barra-lateral",
+    "ad": "anzeige werbung publicite publicidad anuncio pubblicita",
+    "notice": "hinweis avis aviso avviso",
+    "form": "suche recherche buscar cerca",
+    "talk": "kommentare commentaires comentarios commenti",
+    "one": "kommentar commentaire comentario",
+    "share": "teilen partager compartir condividi",
+}
+FOREIGN = {k: v.split() for k, v in FOREIGN.items()}
+
+
+class _BareWriter(_Writer):
+    """Pages that say little of their parts: the article stands in the body itself or
+    in an element without a name, others have no names, invented or foreign ones."""
+
+    def __init__(self, seed: int):
+        super().__init__(seed)
+        self.speaks = self.r.choice(["nothing", "nothing", "invented", "foreign"])
+        self.invented: dict[str, str] = {}
+
+    def plain(self) -> str:
+        return "" if self.r.random() < 0.7 else super().plain()
+
+    def named(self, kind: str, share: float = 1.0) -> str:
+        r = self.r
+        if self.speaks == "nothing":
+            return ""
+        if self.speaks == "foreign" and kind in FOREIGN:
+            return f'{r.choice(["class", "id"])}="{r.choice(FOREIGN[kind])}"'
+        word = self.invented.setdefault(kind, "".join(r.choice(SYLLABLES) for _ in range(3)))
+        return f'class="{word}"'
+
+    def junk(self, kind: str) -> None:
+        if self.speaks != "foreign" and kind in ("ad", "notice", "talk", "side"):
+            # without a name only its form tells a part from the article
+            kind = self.r.choice(["share", "form", "nav"])
+        super().junk(kind)
+
+    def lines(self) -> None:
+        """An article as running text with line breaks, in its container itself."""
+        self.out.append("<br><br>".join(self.words(self.r.choice([12, 30, 60, 90])) for _ in range(self.r.randint(2, 9))))
+
+    def page(self) -> tuple[str, list[int]]:
+        r = self.r
+        where = r.choice(["body", "body", "div", "div", "wrapped", "td"])
+        inside = self.lines if r.random() < 0.2 else lambda: [self.paragraph(1, r.choice([12, 30, 60])) for _ in range(r.randint(3, 10))] if r.random() < 0.4 else self.article()
+        above = [k for k in ("header", "nav", "form") if r.random() < 0.5]
+        below = [k for k in ("nav", "form", "footer") if r.random() < 0.5]
+        junk = lambda kinds: [self.junk(k) for k in kinds]
+
+        def body() -> None:
+            if where == "body":
+                junk(above)
+                inside()
+                junk(below)
+                return
+            junk(above)
+            if where == "wrapped":
+                self.block("div", 0, lambda: (self.block("div", 0, lambda: self.links(r.randint(2, 6))), self.block("div", 1, inside, self.plain())))
+            elif where == "td":
+                self.block("table", 0, lambda: self.block("tr", 0, lambda: (self.block("td", 0, lambda: self.links(r.randint(2, 6))), self.block("td", 1, inside))))
+            else:
+                self.block("div", 1, inside, self.named("main"))
+            junk(below)
+
+        self.labels.append(0)
+        self.out.append('<!DOCTYPE html><html><head><meta charset="utf-8"><title>x</title></head>')
+        self.block("body", int(where == "body"), body, self.plain())
+        self.out.append("</html>")
+        return "".join(self.out), self.labels
+
+
 def training_rows(pages: int = TRAINING_PAGES) -> tuple[np.ndarray, np.ndarray, TokenOdds]:
-    """Features and labels of the nodes of generated pages, and the odds of their tokens."""
+    """Features and labels of the nodes of generated pages, half of them bare, and the odds of their tokens."""
     parsed = []
-    for seed in range(pages):
-        page, labels = _Writer(seed).page()
+    for writer in (w for seed in range(pages) for w in (_Writer(seed), _BareWriter(seed))):
+        page, labels = writer.page()
         nodes = parse(page)
         if len(nodes) == len(labels):
             parsed.append((nodes, len(page), labels))
@@ -243,7 +326,7 @@ _fitted: dict[tuple, Trees] = {}
 
 
 def fit_trees(spark: SparkSession, pages: int = TRAINING_PAGES, n_trees: int = N_TREES) -> Trees:
-    """Boosted trees from generated pages; the same for the same parameters."""
+    """Boosted trees from ``pages`` generated pages of each kind; the same for the same parameters."""
     if (pages, n_trees) not in _fitted:
         x, y, token_odds = training_rows(pages)
         rows = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x array<double>, label double").coalesce(1)
@@ -296,6 +379,29 @@ def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
     return chosen
 
 
+def has_prose(nodes: list[Node]) -> bool:
+    """Whether long running texts stand in a page: over ``PROSE_CHARS`` in elements with
+    sentences of their own that aren't mostly links (after ``features`` summed them up)."""
+    total = 0
+    for n in nodes:
+        kids = [p for p in n.parts if isinstance(p, Node)]
+        own, links, stops = (getattr(n, f) - sum(getattr(k, f) for k in kids) for f in ("chars", "link_chars", "stops"))
+        if own >= PROSE_CHARS // 4 and stops and 3 * links < own:
+            total += own
+    return total >= PROSE_CHARS
+
+
+def labelled(nodes: list[Node], odds: np.ndarray) -> set[int]:
+    """``decode``, with higher odds all over as long as a page with prose has no article."""
+    chosen = decode(nodes, odds)
+    if not chosen and has_prose(nodes):
+        for more in MORE_ODDS:
+            chosen = decode(nodes, odds + more)
+            if chosen and block_text(nodes[0], chosen):
+                break
+    return chosen
+
+
 def block_text(root: Node, chosen: set[int]) -> str:
     """The chosen nodes' text, a line for each block."""
     lines: list[str] = []
@@ -337,7 +443,7 @@ def main_texts(pages: list, trees: Trees) -> list[str]:
         if nodes is None:
             out.append("")
             continue
-        out.append(block_text(nodes[0], decode(nodes, odds[at : at + len(nodes)])))
+        out.append(block_text(nodes[0], labelled(nodes, odds[at : at + len(nodes)])))
         at += len(nodes)
     return out
 
