@@ -94,6 +94,12 @@ def from_png(data: bytes) -> np.ndarray:
     return lines[:, 1:]
 
 
+def _add(stream, name: str, body: bytes) -> int:
+    info = tarfile.TarInfo(name)
+    info.size = len(body)
+    return stream.write(info.tobuf(tarfile.USTAR_FORMAT) + body + b"\0" * (-len(body) % BLOCK))
+
+
 def _write(path: str):
     def listed(rows: list[tuple[str, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["archive", "members"])
@@ -109,10 +115,11 @@ def _write(path: str):
                     stream = fs.open_output_stream(f"{root}/{stem}.tar")
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 body = to_png(padded(raw))
-                info = tarfile.TarInfo(f"{stem}/{'' if key is None else 'i' + base64.urlsafe_b64encode(key.encode()).decode()}/{len(raw)}.png")
-                info.size = len(body)
-                stream.write(info.tobuf(tarfile.USTAR_FORMAT) + body + b"\0" * (-len(body) % BLOCK))
-                held, members = held + len(body), members + 1
+                name = "" if key is None else "i" + base64.urlsafe_b64encode(key.encode()).decode()
+                if len(name) > MOST_NAME:  # in a member of its own before the image
+                    held += _add(stream, f"{stem}/{ID_MEMBER}", name.encode())
+                    name = ID_BEFORE
+                held, members = held + _add(stream, f"{stem}/{name}/{len(raw)}.png", body), members + 1
                 if held >= ARCHIVE_BYTES:
                     stream.write(b"\0" * 2 * BLOCK)
                     stream.close()
@@ -140,6 +147,12 @@ def write_archives(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
             fs.delete_file(found.path)
 
 
+#: Names longer than this would not fit an archive's header beside the rest.
+MOST_NAME = 48
+ID_MEMBER, ID_BEFORE = "id", "@"
+SEARCH_BYTES = 1 << 20
+
+
 class ByteRange(InputPartition):
     def __init__(self, archive: str, start: int, stop: int, size: int):
         super().__init__((archive, start, stop))
@@ -194,16 +207,37 @@ class MediaArchiveReader(DataSourceReader):
         """Members whose header begins in the range."""
         stem = part.archive.rsplit("/", 1)[-1].removesuffix(".tar") + "/"
         at, synced = part.start, part.start == 0
+        if not synced:  # the range before has the member that goes on here
+            at = self._next_header(fs, part, stem)
         while at < part.stop:
-            head = self._tried(fs, part.archive, at, BLOCK, lambda raw: self._header(raw, stem, synced))
+            head = self._tried(fs, part.archive, at, BLOCK, lambda raw: self._header(raw, stem, True))
             if head is None:
-                if synced:
-                    return  # the archive's end
-                at += BLOCK
+                return  # the archive's end
+            begin, after = at, at + BLOCK + -(-head.size // BLOCK) * BLOCK
+            if head.name == stem + ID_MEMBER:  # with the image that it belongs to, wherever that is
+                key = self._tried(fs, part.archive, at + BLOCK, head.size, bytes.decode)
+                at = after
+                head = self._tried(fs, part.archive, at, BLOCK, lambda raw: self._header(raw, stem, True))
+                name = f"{stem}{key}/{head.name.rsplit('/', 1)[-1]}"
+                after = at + BLOCK + -(-head.size // BLOCK) * BLOCK
+            elif head.name.startswith(f"{stem}{ID_BEFORE}/"):
+                at = after  # read by the range that holds its id
                 continue
-            synced = True
-            yield at, head.name, self._tried(fs, part.archive, at + BLOCK, head.size, self._whole)
-            at += BLOCK + -(-head.size // BLOCK) * BLOCK
+            else:
+                name = head.name
+            yield begin, name, self._tried(fs, part.archive, at + BLOCK, head.size, self._whole)
+            at = after
+
+    def _next_header(self, fs, part: ByteRange, stem: str) -> int:
+        """Where the first header in the range is; its end if there is none."""
+        at = part.start
+        while at < part.stop:
+            blocks = self._tried(fs, part.archive, at, min(SEARCH_BYTES, part.size - at), bytes)
+            for i in range(0, min(len(blocks), part.stop - at), BLOCK):
+                if self._header(blocks[i : i + BLOCK], stem, False) is not None:
+                    return at + i
+            at += SEARCH_BYTES
+        return part.stop
 
     @staticmethod
     def _header(raw: bytes, stem: str, synced: bool) -> tarfile.TarInfo | None:

@@ -2,6 +2,7 @@
 rows, empty tables, further columns with clashing names."""
 
 import hashlib
+import random
 import uuid
 import zlib
 
@@ -236,3 +237,16 @@ def test_media_takes_ids_of_any_type(spark):
     at = path(spark)
     media.write_archives(spark.createDataFrame([("a/b", "x"), ("null", "y"), (None, "z"), ("", "w")], "doc_id string, text string"), at)
     assert {r["doc_id"] for r in media.media_features(media.read_archives(spark, at), id_type="string").collect()} == {"a/b", "null", None, ""}
+
+
+def test_media_with_long_ids_in_ranges_of_any_size(spark):
+    r = random.Random(3)
+    rows = [("x" * r.choice([1, 60, 105, 3000]) + str(i), "t" * r.choice([0, 10, 5000])) for i in range(60)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for range_bytes in (512, 4096, 1 << 20):
+        folder = path(spark)
+        media.write_archives(docs, folder)
+        spark.dataSource.register(media.MediaArchiveSource)
+        members = spark.read.format("media_archive").option("rangeBytes", range_bytes).load(folder) if range_bytes < 1 << 20 else media.read_archives(spark, folder)
+        got = media.media_features(members, id_type="string").select("doc_id", "n_bytes").collect()
+        assert sorted(map(str, ((g["doc_id"], g["n_bytes"]) for g in got))) == sorted(map(str, ((i, len(t)) for i, t in rows)))
