@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sqlite3
 import tempfile
 import uuid
 from functools import reduce
@@ -132,9 +133,9 @@ def snapshot_published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source in two parts has the content sum of the whole."""
+    """Sources in two parts have the content sums of the whole."""
     store = Snapshots(spark, shared_folder(spark, "snapshots"))
-    events = _transcripts(spark, sf_dir).filter("source_key IN ('conv-1', 'conv-2')")
+    events = _transcripts(spark, sf_dir)
     store.publish(replace=events.filter("event_sequence < 2"))
     store.publish(append=events.filter("event_sequence >= 2"))
     kept = spark.createDataFrame([(k, s.content_sum) for k, s in store.generation().sources.items()], "source_key string, content_sum string")
@@ -259,6 +260,46 @@ def routes_rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.join(now, "source_key", "left").select("source_key", "verdict", F.regexp_replace("reason", "^(repeated id).*", "$1").alias("reason"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _write_agent_databases(turns: DataFrame, folder: str) -> None:
+    """Conversations as databases of an agent, ``CONVERSATIONS_PER_FILE`` each: transcripts,
+    events, identities (some missing, some twice) and sessions with parents."""
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        fs, root = jsonl.open_fs(folder)
+        fs.create_dir(root, recursive=True)
+        with tempfile.TemporaryDirectory() as here:
+            link = sqlite3.connect(f"{here}/x.db")
+            link.executescript(
+                "CREATE TABLE session_transcript_active_events (session_id TEXT, active_position INTEGER, event_seq INTEGER); CREATE TABLE transcript_events (session_id TEXT, seq INTEGER, event_json TEXT, created_at INTEGER);"
+                "CREATE TABLE transcript_event_identities (session_id TEXT, seq INTEGER, event_id TEXT); CREATE TABLE sessions (session_id TEXT, parent_session_id TEXT);"
+            )
+            for r in rows.sort_by([("conv_id", "ascending"), ("turn", "ascending")]).to_pylist():
+                session, seq = f"s{r['conv_id']}", r["turn"] + 10
+                if r["turn"] == 0:
+                    link.execute("INSERT INTO sessions VALUES (?, ?)", (session, f"s{r['conv_id'] // 2}" if r["conv_id"] % 2 else None))
+                link.execute("INSERT INTO session_transcript_active_events VALUES (?, ?, ?)", (session, r["turn"], seq))
+                link.execute("INSERT INTO transcript_events VALUES (?, ?, ?, ?)", (session, seq, json.dumps({"type": "message", "message": {"role": r["role"], "content": r["text"]}}), 1704067200000 + r["turn"]))
+                for n in range((1, 0, 2)[((r["conv_id"] + r["turn"]) % 20 == 7) + 2 * ((r["conv_id"] + r["turn"]) % 20 == 9)]):
+                    link.execute("INSERT INTO transcript_event_identities VALUES (?, ?, ?)", (session, seq, f"{session}-{seq}-{n}"))
+            link.commit()
+            link.close()
+            with open(f"{here}/x.db", "rb") as made, fs.open_output_stream(f"{root}/{key[0].as_py()}.db") as out:
+                out.write(made.read())
+        return pa.table({"file": [key[0].as_py()]})
+
+    turns.select("conv_id", "turn", "role", "text").groupBy(F.floor(F.col("conv_id") / CONVERSATIONS_PER_FILE).alias("file")).applyInArrow(write, "file long").collect()  # numbers of files
+
+
+def sqlite_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent databases made of all conversations: their tables joined inside each database."""
+    folder = shared_folder(spark, "agents")
+    _write_agent_databases(table(spark, sf_dir, "conversations"), folder)
+    events, rejects = providers.openclaw_agent_events(spark, folder)
+    kept = events.groupBy("provider_session_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"), F.sum(F.length("body")).alias("chars"), F.max("occurred_at_ms").alias("last_ms"), F.count("parent_session_id").alias("with_parent"))
+    bad = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(bad.select(F.col("reason").alias("provider_session_id"), "n"), allowMissingColumns=True)
+
+
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of an event stream at its end equal those of the batch."""
     name = f"usage_{uuid.uuid4().hex}"
@@ -271,7 +312,7 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_custom_events, ingest_custom_rejects, ingest_codex, ingest_claude, ingest_gemini, ingest_pages, snapshot_published, snapshot_appended, source_changes, content_sum_of_documents, streamed_refresh, streamed_dialect, streamed_growing, routes_rolled_back, streamed_usage,
+        ingest_custom_events, ingest_custom_rejects, ingest_codex, ingest_claude, ingest_gemini, ingest_pages, snapshot_published, snapshot_appended, source_changes, content_sum_of_documents, streamed_refresh, streamed_dialect, streamed_growing, routes_rolled_back, sqlite_joined, streamed_usage,
     )
 }
 
@@ -291,7 +332,7 @@ ORACLE_SQL = {
     "ingest_gemini": "SELECT * FROM (VALUES ('g1', 'message', 'user', 'question', 1704067200000::BIGINT), ('g2', 'message', 'assistant', 'answer', 1704067201000)) AS t(native_event_id, event_type, role, body, occurred_at_ms)",
     "ingest_pages": "SELECT page_id, strlen(html) AS bytes, sha256(html) AS digest FROM pages",
     "snapshot_published": f"WITH {TRANSCRIPT_SQL} SELECT 'conv-' || (session_id % 10) AS source_key, count(*) AS events, count(DISTINCT session_id) AS sessions FROM tr WHERE session_id % 10 <> 4 AND (session_id % 10 <> 3 OR event_sequence < 2) GROUP BY 1",
-    "snapshot_appended": "SELECT * FROM (VALUES ('conv-1', true), ('conv-2', true)) AS t(source_key, same)",
+    "snapshot_appended": "SELECT DISTINCT 'conv-' || (conv_id % 10) AS source_key, true AS same FROM conversations",
     "source_changes": "WITH d AS (SELECT doc_id AS key, sha256(text) AS digest FROM documents), now AS (SELECT * FROM d WHERE key % 11 <> 0), was AS (SELECT key, CASE WHEN key % 7 = 0 THEN 'old' ELSE digest END AS digest FROM d WHERE key % 10 <> 0) SELECT coalesce(now.key, was.key) AS key, CASE WHEN was.key IS NULL THEN 'new' WHEN now.key IS NULL THEN 'gone' WHEN now.digest = was.digest THEN 'unchanged' ELSE 'stale' END AS change FROM now FULL OUTER JOIN was ON now.key = was.key",
     "content_sum_of_documents": "SELECT DISTINCT source, true AS same FROM documents",
     "streamed_refresh": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role",
@@ -301,5 +342,8 @@ FROM conversations WHERE trim(text) <> '' GROUP BY 1""",
     "routes_rolled_back": """SELECT 'conv-' || (conv_id % 10) AS source_key, CASE WHEN conv_id % 10 IN (1, 2, 3) THEN 'failed' ELSE 'appended' END AS verdict,
 CASE conv_id % 10 WHEN 1 THEN 'repeated id' WHEN 2 THEN 'unknown event type' WHEN 3 THEN 'frontier moved' END AS reason,
 count(*) FILTER (turn < 2 OR conv_id % 10 NOT IN (1, 2, 3)) AS n FROM conversations GROUP BY conv_id % 10""",
+    "sqlite_joined": """WITH t AS (SELECT *, CASE (conv_id + turn) % 20 WHEN 7 THEN 0 WHEN 9 THEN 2 ELSE 1 END AS identities FROM conversations)
+SELECT 's' || conv_id AS provider_session_id, count(*) AS n, count(*) AS n_ids, sum(length(text))::BIGINT AS chars, max(1704067200000 + turn) AS last_ms, count(*) FILTER (WHERE conv_id % 2 = 1) AS with_parent FROM t WHERE identities = 1 AND trim(text) <> '' GROUP BY conv_id
+UNION ALL SELECT identities || ' identities', count(*), NULL, NULL, NULL, NULL FROM t WHERE identities <> 1 GROUP BY identities""",
     "streamed_usage": "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS total FROM events GROUP BY event_type",
 }

@@ -61,26 +61,3 @@ def events_sql(name: str = "ev") -> str:
         listed = "[" + ", ".join(f"{{'kind': {_sql(k)}, 'value': {_sql(v)}}}" for k, v in facts) + "]::STRUCT(kind VARCHAR, value VARCHAR)[]"
         lines.append("(" + ", ".join([*map(_sql, row), listed]) + ")")
     return f"{name} AS (SELECT * FROM (VALUES {', '.join(lines)}) AS t({', '.join(EVENT_COLUMNS)}, facts))"
-
-
-USAGE_COLUMNS = "day_utc definition_version tool_version surface operation outcome value_class duration_bucket context_coverage calls result_count delivered_output_bytes delivered_context_bytes matched_session_bytes".split()
-USAGE_BASE = [
-    ("2024-01-01", "1", "0.1", "cli", "search", "success", "useful", "lt_100ms", "complete", 5, 40, 900, 700, 9000),
-    ("2024-01-01", "1", "0.1", "cli", "search", "error", "empty", "lt_1s", "none", 1, 0, 20, 0, 0),
-    ("2024-01-02", "1", "0.1", "mcp", "show", "success", "useful", "lt_10ms", "partial", 2, 2, 300, 250, 800),
-    ("2024-01-03", "1", "0.2", "mcp", "search", "success", "empty", "lt_10s", "complete", 3, 0, 90, 60, 60),
-]
-USAGE_DELTA = [
-    ("2024-01-01", "1", "0.1", "cli", "search", "success", "useful", "lt_100ms", "complete", 2, 10, 100, 50, 500),
-    ("2024-01-04", "2", "0.2", "cli", "list", "success", "useful", "ge_10s", "complete", 7, 700, 7000, 6000, 90000),
-]
-
-
-def usage_fixture(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType() if i < 9 else T.LongType()) for i, c in enumerate(USAGE_COLUMNS)])
-    return spark.createDataFrame(rows, schema)
-
-
-def usage_sql(name: str, rows: list[tuple]) -> str:
-    values = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
-    return f"{name} AS (SELECT * FROM (VALUES {values}) AS t({', '.join(USAGE_COLUMNS)}))"

@@ -9,13 +9,13 @@ from ..functions.text import query_terms, result_title, snippet, tokens
 from ..operators import search, shaping, vector
 from ..operators.term_index import TermIndex
 from .ingest import shared_folder
-from .literals import events_fixture, events_sql
-from .tables import TOKENS_SQL, document_events, table, transcript_events
+from .tables import TABLE_EVENTS_SQL, TOKENS_SQL, document_events, table, table_events, transcript_events
 
 QUERY = ["onble antion", "reen"]
 TERMS = ["antion", "onble", "reen"]  # query_terms(QUERY)
 TALK_QUERY = ["enten pour"]
 TALK_TERMS = ["enten", "pour"]
+FAMILY_TERMS = ["der", "the"]
 VECTOR_ID = 7
 
 
@@ -93,36 +93,36 @@ _TALK = TOKENS_SQL.replace("doc_id AS event_id", "conv_id * 1000 + turn AS event
 
 
 def fixture_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = search.with_tokens(events_fixture(spark))
-    scored = search.lexical_scores(events, events, ["lexer", "parser"], "all")
+    events = search.with_tokens(table_events(spark, sf_dir))
+    scored = search.lexical_scores(events, events, FAMILY_TERMS, "all")
     return scored.select("event_id", F.col("coverage").cast("long").alias("coverage"), F.round("score", 6).alias("score"))
 
 
 def fixture_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = search.with_tokens(events_fixture(spark))
-    scored = search.lexical_scores(events, events, ["lexer", "parser"], "all")
+    events = search.with_tokens(table_events(spark, sf_dir))
+    scored = search.lexical_scores(events, events, FAMILY_TERMS, "all")
     shown = shaping.diversified(shaping.session_champions(scored))
     return shown.select(F.col("shown").cast("long").alias("shown"), "session_id", "event_id", F.col("round").cast("long").alias("round"))
 
 
-_FIXTURE_SCORES = f"""WITH {events_sql()},
+_FIXTURE_SCORES = f"""WITH {TABLE_EVENTS_SQL},
 toks AS (SELECT event_id, lower(unnest(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM ev),
 lens AS (SELECT e.event_id, count(t.term) AS doc_len FROM ev e LEFT JOIN toks t ON t.event_id = e.event_id GROUP BY ALL),
-{_bm25_sql(["lexer", "parser"])},
+{_bm25_sql(FAMILY_TERMS)},
 weighed AS (SELECT e.*, s.coverage, s.score * CASE WHEN event_type = 'message' THEN 1.0 WHEN event_type = 'summary' THEN 0.9 WHEN event_type IN ('tool_output', 'command_output', 'command_finished') THEN 0.6 ELSE 0.8 END AS score FROM scored s JOIN ev e USING (event_id))"""
 
 _SESSION_ORDER = "round(score, 9) DESC, occurred_at_ms DESC NULLS LAST, event_sequence DESC, event_id"
 
 
 def root_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = search.with_tokens(events_fixture(spark))
-    strong = shaping.root_strength(search.lexical_scores(events, events, ["lexer", "parser"], "all"))
+    events = search.with_tokens(table_events(spark, sf_dir))
+    strong = shaping.root_strength(search.lexical_scores(events, events, FAMILY_TERMS, "all"))
     return strong.select("root_id", F.round("strongest", 6).alias("strongest"), F.round("strongest_primary", 6).alias("strongest_primary"))
 
 
 def metadata_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search without text: the pool is chosen by id, then put in shown order."""
-    pool = search.metadata_pool(events_fixture(spark).filter(F.exists("facts", lambda f: f["kind"] == "file")), 3)
+    pool = search.metadata_pool(table_events(spark, sf_dir).filter(F.exists("facts", lambda f: f["kind"] == "file")), 3)
     return pool.orderBy(*search.final_order()).select("event_id", "occurred_at_ms")
 
 
@@ -213,7 +213,7 @@ picked AS (SELECT *, coalesce(min(CASE WHEN agent_scope = 'primary' AND score >=
 rounds AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY CASE WHEN place = champion THEN 0 ELSE place END) AS round FROM picked)
 SELECT row_number() OVER (ORDER BY round, round(strongest, 9) DESC, root_id) AS shown, session_id, event_id, round FROM rounds""",
     "root_strength": f"{_FIXTURE_SCORES} SELECT coalesce(root_session_id, session_id) AS root_id, round(max(score), 6) AS strongest, round(max(CASE WHEN agent_scope = 'primary' THEN score END), 6) AS strongest_primary FROM weighed GROUP BY 1",
-    "metadata_list": f"WITH {events_sql()} SELECT event_id, occurred_at_ms::BIGINT AS occurred_at_ms FROM (SELECT * FROM ev WHERE len(list_filter(facts, lambda f: f.kind = 'file')) > 0 ORDER BY event_id LIMIT 3)",
+    "metadata_list": f"WITH {TABLE_EVENTS_SQL} SELECT event_id, occurred_at_ms::BIGINT AS occurred_at_ms FROM (SELECT * FROM ev WHERE len(list_filter(facts, lambda f: f.kind = 'file')) > 0 ORDER BY event_id LIMIT 3)",
     "vector_top_k": f"WITH {_SIM7} SELECT vec_id, round(similarity, 6) AS similarity FROM sims WHERE similarity > 0 ORDER BY round(sims.similarity, 12) DESC, vec_id LIMIT 20",
     "vector_best_chunk": f"""WITH {_SIM7}, best AS (SELECT vec_id // 4 AS event_id, vec_id % 4 AS chunk_index, similarity, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY similarity DESC, vec_id % 4) AS rn FROM sims WHERE similarity > 0)
 SELECT event_id, chunk_index, round(similarity, 6) AS similarity FROM best WHERE rn = 1 ORDER BY round(best.similarity, 12) DESC, event_id LIMIT 20""",

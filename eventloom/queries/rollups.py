@@ -7,43 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, json_text, times, vectors
 from ..operators import usage
-from .literals import USAGE_BASE, USAGE_DELTA, usage_fixture, usage_sql
-from .tables import RANGE_SQL, range_events, table
+from .tables import RANGE_SQL, USAGE_SQL, range_events, table, usage_rows
 
-BOTH = USAGE_BASE + USAGE_DELTA
-US = f"WITH {usage_sql('us', BOTH)}"
-
-
-def _usage(spark: SparkSession) -> DataFrame:
-    return usage_fixture(spark, BOTH)
+US = f"WITH {USAGE_SQL}"
 
 
 def usage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.upsert(usage_fixture(spark, USAGE_BASE), usage_fixture(spark, USAGE_DELTA))
+    """Counters of one half of the events added to those of the other."""
+    rows = usage_rows(spark, sf_dir)
+    base = usage.upsert(rows.filter("event_id % 2 = 0"), rows.limit(0))
+    return usage.upsert(base, rows.filter("event_id % 2 = 1"))
 
 
 def usage_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.retained(_usage(spark), "2024-01-02").select("day_utc", "operation", "calls")
+    return usage.retained(usage_rows(spark, sf_dir), "2024-01-02").select("day_utc", "operation", "calls")
 
 
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.summary(_usage(spark))
+    return usage.summary(usage_rows(spark, sf_dir))
 
 
 def usage_active_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.active_range(_usage(spark))
+    return usage.active_range(usage_rows(spark, sf_dir))
 
 
 def usage_by_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.by_operation(_usage(spark))
+    return usage.by_operation(usage_rows(spark, sf_dir))
 
 
 def usage_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.duration_histogram(_usage(spark))
+    return usage.duration_histogram(usage_rows(spark, sf_dir))
 
 
 def usage_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.versions(_usage(spark))
+    return usage.versions(usage_rows(spark, sf_dir))
 
 
 def usage_token_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +49,7 @@ def usage_token_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_avoided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _usage(spark).groupBy("surface").agg(F.sum("matched_session_bytes").alias("m"), F.sum("delivered_context_bytes").alias("d"), F.sum(F.when(F.col("context_coverage") == "complete", F.col("calls")).otherwise(0)).alias("c"))
+    sums = usage_rows(spark, sf_dir).groupBy("surface").agg(F.sum("matched_session_bytes").alias("m"), F.sum("delivered_context_bytes").alias("d"), F.sum(F.when(F.col("context_coverage") == "complete", F.col("calls")).otherwise(0)).alias("c"))
     return sums.select("surface", usage.avoided_bytes(F.col("m"), F.col("d"), F.col("c")).alias("avoided"))
 
 

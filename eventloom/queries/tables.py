@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import usage
 from ..schema import conform
 
 
@@ -120,6 +121,39 @@ WHEN 2 THEN [{'kind': 'branch', 'value': 'Main'}, {'kind': 'project', 'value': '
 FROM (SELECT *, (conv_id + 7) % 8 AS k, (conv_id + turn) % 10 AS n FROM conversations))"""
 
 
+def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as usage counters, a call each: surfaces, versions, outcomes and sizes follow their columns."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    size = F.length("props").cast("long")
+    failed = F.col("event_type") == "error"
+    return e.select(
+        n,
+        F.date_format("ts", "yyyy-MM-dd").alias("day_utc"),
+        F.when(n % 5 == 0, "2").otherwise("1").alias("definition_version"),
+        F.when(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"), "0.2").otherwise("0.1").alias("tool_version"),
+        F.when(F.col("user_id") % 2 == 0, "cli").otherwise("mcp").alias("surface"),
+        F.col("event_type").alias("operation"),
+        F.when(failed, "error").otherwise("success").alias("outcome"),
+        F.when(failed, "other").when(n % 3 == 0, "empty").otherwise("useful").alias("value_class"),
+        usage.duration_bucket(n * 7 % 20_000).alias("duration_bucket"),
+        F.when(n % 4 == 0, "none").when(n % 4 == 1, "partial").otherwise("complete").alias("context_coverage"),
+        F.lit(1).cast("long").alias("calls"),
+        (n % 50).alias("result_count"),
+        (size * 3).alias("delivered_output_bytes"),
+        size.alias("delivered_context_bytes"),
+        (size * (5 + n % 7)).alias("matched_session_bytes"),
+    )
+
+
+USAGE_SQL = """us AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_utc, CASE WHEN event_id % 5 = 0 THEN '2' ELSE '1' END AS definition_version,
+CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN '0.2' ELSE '0.1' END AS tool_version, CASE WHEN user_id % 2 = 0 THEN 'cli' ELSE 'mcp' END AS surface, event_type AS operation,
+CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS outcome, CASE WHEN event_type = 'error' THEN 'other' WHEN event_id % 3 = 0 THEN 'empty' ELSE 'useful' END AS value_class,
+CASE WHEN ms < 10 THEN 'lt_10ms' WHEN ms < 100 THEN 'lt_100ms' WHEN ms < 1000 THEN 'lt_1s' WHEN ms < 10000 THEN 'lt_10s' ELSE 'ge_10s' END AS duration_bucket,
+CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'complete' END AS context_coverage, 1::BIGINT AS calls, event_id % 50 AS result_count,
+size * 3 AS delivered_output_bytes, size AS delivered_context_bytes, size * (5 + event_id % 7) AS matched_session_bytes
+FROM (SELECT *, event_id * 7 % 20000 AS ms, length(props)::BIGINT AS size FROM events))"""
+
+
 def document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a text corpus: language as provider, source as format."""
     docs = table(spark, sf_dir, "documents")

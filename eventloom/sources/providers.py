@@ -18,6 +18,7 @@ from ..functions.identity import digest, uuid8
 from ..functions.json_text import at, block_text, elements, event_type, first_text, literal_facts, message_id, role, value_text
 from ..functions.times import first_ms
 from ..schema import conform
+from .sqlite import Joined, read_joined
 
 # Keys of the formats that state a fact.
 COMMON_FACTS = {
@@ -51,6 +52,15 @@ class Dialect:
     #: Paths of ids that no two records share; None: those of ``native_id``. Records
     #: without one are known by their place, as are all with ``()``.
     unique_id: tuple[str, ...] | None = None
+    #: (path, text that must be in it or None, event type): what a record holds decides before its kind.
+    present: tuple[tuple[str, str | None, str], ...] = ()
+    #: (path, words before it): the text of records that have no other.
+    phrases: tuple[tuple[str, str], ...] = ()
+    #: Where a record names its author, and the roles of these; before its kind's role.
+    author: str | None = None
+    authors: dict = field(default_factory=dict)
+    #: (event type, role) of kinds that aren't listed; None: by the message's own fields.
+    other: tuple[str, str] | None = None
 
 
 def _jsonl(name: str, provider: str, **more) -> Dialect:
@@ -68,12 +78,12 @@ DIALECTS = {
     for d in (
         _jsonl("cursor_agent_transcript_jsonl_tree", "cursor", kind=("event", "type"), content=("message.content", "message", "content", "text")),
         _jsonl("gemini_cli_chat_recording_jsonl", "gemini", kinds={"gemini": ("message", "assistant"), "user": ("message", "user"), "result": ("tool_output", "tool")}, skipped=("$set", "$rewindTo"), time=("timestamp", "startTime")),
-        _jsonl("antigravity_cli_transcript_jsonl_tree", "antigravity", native_id=("step_index", "id"), kinds={"USER_INPUT": ("message", "user"), "PLANNER_RESPONSE": ("message", "assistant"), "SYSTEM_MESSAGE": ("notice", "system"), "CODE_ACTION": ("tool_call", "assistant"), "CHECKPOINT": ("notice", "system")}),
-        _jsonl("tabnine_cli_chat_recording_jsonl", "tabnine", kinds={"tabnine": ("message", "assistant"), "user": ("message", "user")}, skipped=("$set", "$rewindTo"), time=("timestamp", "startTime")),
+        _jsonl("antigravity_cli_transcript_jsonl_tree", "antigravity", native_id=("step_index", "id"), content=("message.content", "content", "text", "thinking", "tool_calls"), kinds={"USER_INPUT": ("message", "user"), "CONVERSATION_HISTORY": ("message", "assistant"), "PLANNER_RESPONSE": ("message", "assistant"), "SYSTEM_MESSAGE": ("notice", "system"), "CODE_ACTION": ("tool_call", "assistant"), "CHECKPOINT": ("summary", "system")}, present=(("tool_calls", None, "tool_call"),), author="source", authors={"user": "user", "planner": "assistant", "agent": "assistant", "assistant": "assistant", "tool": "tool", "executor": "tool", "system": "system"}, other=("notice", "assistant")),
+        _jsonl("tabnine_cli_chat_recording_jsonl", "tabnine", content=("message.content", "content", "text", "toolCalls", "$['$set']"), kinds={"tabnine": ("message", "assistant"), "gemini": ("message", "assistant"), "user": ("message", "user")}, present=(("$['$set']", None, "notice"), ("$['$rewindTo']", None, "notice"), ("toolCalls[*].result", None, "tool_output"), ("toolCalls", None, "tool_call")), phrases=(("$['$rewindTo']", "rewind to "),), other=("notice", "system"), time=("timestamp", "startTime")),
         _jsonl("qoder_transcript_jsonl", "qoder", content=("message.content", "data.content", "content"), kinds={"toolUseResult": ("tool_output", "tool")}),
         _jsonl("factory_ai_droid_sessions_jsonl", "factory_ai_droid", session=("sessionId", "callingSessionId"), parent=("parentId",), kinds={"compaction_state": ("summary", "system"), "session_start": ("notice", "system")}),
-        _jsonl("copilot_cli_session_events_jsonl", "copilot_cli", session=("data.sessionId", "sessionId"), content=("data.content", "data.result.content", "data.error.message", "data.arguments"), kinds={"user.message": ("message", "user"), "assistant.message": ("message", "assistant"), "tool.execution_start": ("tool_call", "assistant"), "tool.execution_complete": ("tool_output", "tool"), "session.start": ("notice", "system"), "session.truncation": ("notice", "system"), "abort": ("notice", "system")}),
-        _jsonl("qwen_code_chat_jsonl", "qwen_code", native_id=("uuid", "id"), kinds={"tool_result": ("tool_output", "tool"), "system": ("notice", "system")}),
+        _jsonl("copilot_cli_session_events_jsonl", "copilot_cli", session=("data.sessionId", "sessionId"), content=("data.content", "data.result.content", "data.error.message", "data.arguments"), kinds={"user.message": ("message", "user"), "assistant.message": ("message", "assistant"), "tool.execution_start": ("tool_call", "tool"), "tool.execution_complete": ("tool_output", "tool"), "session.start": ("notice", "system"), "session.truncation": ("summary", "system"), "abort": ("notice", "system")}, other=("notice", "system")),
+        _jsonl("qwen_code_chat_jsonl", "qwen_code", native_id=("uuid", "id"), kinds={"tool_result": ("tool_output", "tool"), "system": ("notice", "system")}, present=(("message.content[*].type", "tool_use", "tool_call"), ("toolCallResult", None, "tool_output"))),
         _jsonl("grok_build_session_updates_jsonl", "grok_build", session=("params.sessionId", "sessionId"), native_id=("eventId", "params.update.toolCallId"), unique_id=("eventId",), kind=("params.update.sessionUpdate", "sessionUpdate"), time=("params._meta.agentTimestampMs", "timestamp"), content=("params.update.content", "params.update.rawOutput", "params.update.rawInput", "params.update.title"), kinds={"user_message_chunk": ("message", "user"), "agent_message_chunk": ("message", "assistant"), "tool_call": ("tool_call", "assistant"), "tool_call_update": ("tool_output", "tool")}),
         _jsonl("deepseek_harness_session_jsonl", "deepseek_harness", content=("data.content", "data.text", "data.arguments", "data.result"), kinds={"user/message": ("message", "user"), "assistant/message": ("message", "assistant"), "tool/call": ("tool_call", "assistant"), "tool/result": ("tool_output", "tool")}),
         _jsonl("pi_session_jsonl", "pi", kinds={"branch_summary": ("summary", "assistant"), "session_info": ("notice", "system"), "model_change": ("notice", "system"), "thinking_level_change": ("notice", "system"), "bashExecution": ("command_output", "tool")}, parent=("parentSession",)),
@@ -143,11 +153,19 @@ def project(records: DataFrame, dialect: Dialect) -> DataFrame:
     kind = at(v, *dialect.kind)
     role_text = first_text(v, *dialect.role)
     message = F.coalesce(F.when(F.startswith(F.ltrim(at(v, *dialect.message)), F.lit("{")), at(v, *dialect.message)), v)
-    body = F.coalesce(value_text(at(v, *dialect.content)), block_text(message))
-    type_by_kind, role_by_kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    said = [F.concat(F.lit(words), at(v, path)) for path, words in dialect.phrases]
+    body = F.coalesce(*[F.nullif(x, F.lit("")) for x in (value_text(at(v, *dialect.content)), *said)], block_text(message))
+    type_by_kind, role_by_kind = (F.lit(None if dialect.other is None else x).cast("string") for x in dialect.other or (None, None))
     for name, (event, who) in dialect.kinds.items():
         type_by_kind = F.when(kind == name, event).otherwise(type_by_kind)
         role_by_kind = F.when(kind == name, who).otherwise(role_by_kind)
+    for path, needle, event in reversed(dialect.present):
+        held = at(v, path)
+        type_by_kind = F.when(held.isNotNull() if needle is None else held.contains(needle), event).otherwise(type_by_kind)
+    if dialect.author is not None:
+        author = first_text(v, dialect.author)
+        for name, who in dialect.authors.items():
+            role_by_kind = F.when(author == name, who).otherwise(role_by_kind)
     rows = records.filter(~F.coalesce(kind.isin(*dialect.skipped), F.lit(False))) if dialect.skipped else records
     unique = dialect.native_id if dialect.unique_id is None else dialect.unique_id
     projected = rows.select(
@@ -260,6 +278,34 @@ def sqlite_records(table: DataFrame) -> DataFrame:
     return table.select(F.col("database").alias("file"), F.col("row_number").alias("offset"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
 
 
+#: Events of agent databases: a line of the session's active transcript, the event it names, and that event's identity.
+OPENCLAW_AGENT = Dialect("openclaw_agent_sqlite", "openclaw", session=("sessionId",), native_id=("id",), time=("timestamp", "event.timestamp"), kind=("event.type",), role=("event.message.role", "event.role", "event.type"), content=("event.message.content", "event.content", "event.text"), message=("event.message", "event"), parent=("parentId",))
+
+
+def openclaw_agent_events(spark, path: str, suffix: str = ".db") -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of agent databases: active transcripts joined with their events, identities and sessions.
+
+    The tables are joined inside each database. A line of a transcript whose event has no
+    identity, or more than one, is rejected: (file, offset, reason).
+    """
+    joins = [
+        Joined("transcript_events", (("session_id", "session_id"), ("seq", "event_seq")), {"event_json": "event_json", "created_at": "created_at"}, True),
+        Joined("transcript_event_identities", (("session_id", "session_id"), ("seq", "event_seq")), {"identity": "event_id"}),
+        Joined("sessions", (("session_id", "session_id"),), {"parent_id": "parent_session_id"}),
+    ]
+    rows = read_joined(spark, path, "session_transcript_active_events", {"session_id": "session_id", "position": "active_position", "event_seq": "event_seq"}, joins, suffix)
+    lines = rows.groupBy("database", "session_id", F.col("position").cast("long").alias("position"), "event_seq").agg(
+        F.count("identity").alias("identities"), F.min("identity").alias("identity"), F.min("event_json").alias("event_json"), F.min("created_at").alias("created_at"), F.min("parent_id").alias("parent_id"), F.min("row_number").alias("offset")
+    )
+    reason = F.when(F.col("identities") != 1, F.concat(F.col("identities").cast("string"), F.lit(" identities"))).when(F.try_parse_json("event_json").isNull(), "malformed")
+    judged = lines.withColumn("reason", reason)
+    quoted = lambda c: F.to_json(F.array(F.col(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2)
+    value = F.concat(F.lit('{"sessionId":'), quoted("session_id"), F.lit(',"id":'), quoted("identity"), F.lit(',"timestamp":'), quoted("created_at"), F.when(F.col("parent_id").isNotNull(), F.concat(F.lit(',"parentId":'), quoted("parent_id"))).otherwise(""), F.lit(',"event":'), F.col("event_json"), F.lit("}"))
+    good = judged.filter("reason IS NULL").select(F.col("database").alias("file"), F.col("position").alias("offset"), value.alias("value"))
+    rejects = judged.filter("reason IS NOT NULL").select(F.col("database").alias("file"), "offset", "reason")
+    return project(good, OPENCLAW_AGENT), rejects
+
+
 def _json_value(text: Column) -> Column:
     quoted = F.to_json(F.struct(text.alias("v")))
     nested = F.ltrim(text)

@@ -234,3 +234,68 @@ def test_an_overtaken_publisher_moves_nothing(spark, store):
     with pytest.raises(LostClaim):
         store.publish(notes={"x": "y"})
     assert store.active() == first
+
+
+def test_rules_of_dialects(spark):
+    """What a record holds decides its type before its kind does."""
+    cases = {
+        "tabnine_cli_chat_recording_jsonl": [
+            ({"type": "user", "content": "hi"}, ("message", "user", "hi")),
+            ({"type": "gemini", "content": "yes"}, ("message", "assistant", "yes")),
+            ({"type": "tabnine", "toolCalls": [{"name": "grep"}], "content": "looking"}, ("tool_call", "assistant", "looking")),
+            ({"type": "tabnine", "toolCalls": [{"name": "grep", "result": "x"}], "content": "found"}, ("tool_output", "assistant", "found")),
+            ({"$rewindTo": "m7"}, ("notice", "system", "rewind to m7")),
+            ({"type": "info", "content": "note"}, ("notice", "system", "note")),
+        ],
+        "antigravity_cli_transcript_jsonl_tree": [
+            ({"type": "USER_INPUT", "content": "do"}, ("message", "user", "do")),
+            ({"type": "PLANNER_RESPONSE", "content": "plan", "tool_calls": [{"name": "run"}]}, ("tool_call", "assistant", "plan")),
+            ({"type": "CHECKPOINT", "content": "so far"}, ("summary", "system", "so far")),
+            ({"type": "ELSE", "source": "executor", "content": "ran"}, ("notice", "tool", "ran")),
+            ({"type": "PLANNER_RESPONSE", "thinking": "hm"}, ("message", "assistant", "hm")),
+        ],
+        "copilot_cli_session_events_jsonl": [
+            ({"type": "session.truncation", "data": {"content": "cut"}}, ("summary", "system", "cut")),
+            ({"type": "tool.execution_start", "data": {"arguments": "ls"}}, ("tool_call", "tool", "ls")),
+            ({"type": "new.kind", "data": {"content": "x"}}, ("notice", "system", "x")),
+        ],
+        "qwen_code_chat_jsonl": [
+            ({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "go"}, {"type": "tool_use", "name": "ls"}]}}, ("tool_call", "assistant", None)),
+            ({"type": "user", "message": {"role": "user", "content": [{"type": "text", "text": "go"}]}}, ("message", "user", "go")),
+            ({"type": "tool_result", "message": {"content": "done"}}, ("tool_output", "tool", "done")),
+        ],
+    }
+    for name, rows in cases.items():
+        records = spark.createDataFrame([("f", i, json.dumps(r)) for i, (r, _) in enumerate(rows)], "file string, offset long, value string")
+        got = {r["event_sequence"] // 64: (r["event_type"], r["role"], r["body"]) for r in providers.project_format(records, name).collect()}
+        for i, (_, want) in enumerate(rows):
+            assert got[i][:2] == want[:2] and want[2] in (None, got[i][2]), (name, i, got.get(i))
+
+
+def test_tables_joined_inside_databases(spark, tmp_path):
+    import sqlite3
+
+    from eventloom.sources.sqlite import Joined, SqliteJoinReader, read_joined
+
+    for n in range(3):
+        link = sqlite3.connect(tmp_path / f"{n}.db")
+        link.execute("CREATE TABLE a (k INTEGER, v TEXT)")
+        link.executemany("INSERT INTO a VALUES (?, ?)", [(1, f"one {n}"), (2, "two"), (3, None)])
+        if n < 2:
+            link.execute("CREATE TABLE b (k INTEGER, w TEXT)")
+            link.executemany("INSERT INTO b VALUES (?, ?)", [(1, "x"), (1, "y"), (3, "z")])
+        link.commit()
+        link.close()
+    joined = lambda required: read_joined(spark, str(tmp_path), "a", {"key": "k", "value": "v", "missing": "nothing"}, [Joined("b", (("k", "k"),), {"other": "w"}, required)])
+    rows = lambda df: sorted((r["database"][-4], r["key"], r["value"] or "", r["other"] or "", r["missing"]) for r in df.collect())
+    both = [(d, k, v.format(d), w, None) for d in "01" for k, v, w in (("1", "one {}", "x"), ("1", "one {}", "y"), ("3", "", "z"))]
+    assert rows(joined(True)) == sorted(both)
+    outer = [(d, "2", "two", "", None) for d in "012"] + [("2", "1", "one 2", "", None), ("2", "3", "", "", None)]
+    assert rows(joined(False)) == sorted(both + outer)
+    some = joined(False).filter("key = '1' AND other > 'x' AND value LIKE 'one%'")
+    assert rows(some) == [(d, "1", f"one {d}", "y", None) for d in "01"]
+    reader = SqliteJoinReader({"path": str(tmp_path), "base": "a", "columns": '{"key": "k"}', "joins": "[]"})
+    from pyspark.sql.datasource import EqualTo, IsNull
+
+    assert list(reader.pushFilters([EqualTo(("key",), "2"), IsNull(("key",)), EqualTo(("database",), "x")])) == [IsNull(("key",)), EqualTo(("database",), "x")]
+    assert reader.statement({"a": {"k"}}) is not None and reader.statement({}) is None and reader.pushed == [("key", "=", "2")]
