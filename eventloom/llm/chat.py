@@ -9,8 +9,8 @@ Inside roles and texts a backslash goes before every backslash, ``<`` and
 ``>``, so no text can look like a mark, and taking these away gives the text
 back. A batch of turns is laid out at once: segment lengths are counted, their
 running sums are the places, and headers and contents are scattered from the
-columns' own buffers into one Arrow buffer allocated for all, of which the
-bodies are slices.
+columns' own buffers, a megabyte at a time, into one Arrow buffer allocated for
+all, of which the bodies are slices. Ids are of any type that Spark sorts.
 
 Rows of a conversation meet in one task in order of turn and are streamed: the
 output is a part for each run of turns in a batch, with places in the whole, so
@@ -39,6 +39,7 @@ HEAD, HEAD_END, TAIL = b"<turn ", b">\n", b"\n</turn>\n"
 ESCAPED = np.zeros(256, bool)
 ESCAPED[[ord("\\"), ord("<"), ord(">")]] = True
 LEARNED_ROLES = ("assistant",)
+SLICE = 1 << 20
 PART_SCHEMA = "conv_id long, part long, start long, n_turns long, body binary, loss array<struct<start:long,stop:long>>"
 
 
@@ -53,41 +54,62 @@ def _column_bytes(values) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]], np.diff(edges)
 
 
-def _escaped(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes with their escapes, and each value's new length."""
-    mark = ESCAPED[data]
-    at = np.arange(len(data)) + np.cumsum(mark)
-    out = np.full(len(data) + int(mark.sum()), ord("\\"), np.uint8)
-    out[at] = data
-    before = np.concatenate([[0], np.cumsum(mark)])
+def _escapes_before(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes take an escape before each value's end, the start of the first included."""
+    before, total = np.zeros(len(ends) + 1, np.int64), 0
+    for a in range(0, len(data), SLICE):
+        marks = np.cumsum(ESCAPED[data[a : a + SLICE]], dtype=np.int32)
+        low, high = np.searchsorted(ends, [a, a + len(marks)], side="right")  # values that end in the slice
+        at = ends[low:high] - a - 1
+        before[low + 1 : high + 1] = total + marks[at]
+        total += int(marks[-1])
+    empty = np.flatnonzero(ends == 0)
+    before[empty + 1] = 0
+    return before
+
+
+def _lay_out(buffer: np.ndarray, places: np.ndarray, data: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> None:
+    """Copy the i-th value of ``data`` to ``places[i]`` of ``buffer``, a backslash before what takes one.
+
+    ``SLICE`` bytes at a time, in a value or over many, so indices take the
+    memory of a slice.
+    """
     ends = np.cumsum(lengths)
-    return out, lengths + before[ends] - before[ends - lengths]
+    shift, total = places - (ends - lengths) - before[:-1], 0
+    for a in range(0, len(data), SLICE):
+        part = data[a : a + SLICE]
+        marks = ESCAPED[part]
+        first, last = np.searchsorted(ends, [a, a + len(part) - 1], side="right")
+        held = np.minimum(ends[first : last + 1], a + len(part)) - np.maximum(ends[first : last + 1] - lengths[first : last + 1], a)
+        to = np.arange(a + total, a + total + len(part)) + np.cumsum(marks) + np.repeat(shift[first : last + 1], held)
+        buffer[to] = part
+        buffer[to[marks] - 1] = ord("\\")
+        total += int(marks.sum())
 
 
-def _scatter(buffer: np.ndarray, places: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> None:
-    """Copy the i-th run of ``data`` to ``places[i]`` of ``buffer``, all at once."""
-    shift = np.repeat(places - (np.cumsum(lengths) - lengths), lengths)
-    buffer[np.arange(len(data)) + shift] = data
+def _scatter(buffer: np.ndarray, places: np.ndarray, piece: bytes) -> None:
+    """Copy ``piece`` to each of ``places``."""
+    buffer[(places[:, None] + np.arange(len(piece))).ravel()] = np.tile(np.frombuffer(piece, np.uint8), len(places))
 
 
 def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(view of one Arrow buffer, start of each turn with the end last, text starts, text stops)."""
-    role, role_n = _escaped(*_column_bytes(roles))
-    text, text_n = _escaped(*_column_bytes(texts))
-    n = len(role_n)
-    total = len(HEAD) + role_n + len(HEAD_END) + text_n + len(TAIL)
+    (role, role_n), (text, text_n) = _column_bytes(roles), _column_bytes(texts)
+    role_before, text_before = _escapes_before(role, np.cumsum(role_n)), _escapes_before(text, np.cumsum(text_n))
+    role_size, text_size = role_n + np.diff(role_before), text_n + np.diff(text_before)
+    total = len(HEAD) + role_size + len(HEAD_END) + text_size + len(TAIL)
     turn = np.concatenate([[0], np.cumsum(total)])
     role_at = turn[:-1] + len(HEAD)
-    text_at = role_at + role_n + len(HEAD_END)
+    text_at = role_at + role_size + len(HEAD_END)
     buffer = np.frombuffer(pa.allocate_buffer(int(turn[-1])), np.uint8)
-    for piece, at in ((HEAD, turn[:-1]), (HEAD_END, role_at + role_n), (TAIL, text_at + text_n)):
-        _scatter(buffer, at, np.tile(np.frombuffer(piece, np.uint8), n), np.full(n, len(piece), np.int64))
-    _scatter(buffer, role_at, role, role_n)
-    _scatter(buffer, text_at, text, text_n)
-    return buffer, turn, text_at, text_at + text_n
+    for piece, at in ((HEAD, turn[:-1]), (HEAD_END, role_at + role_size), (TAIL, text_at + text_size)):
+        _scatter(buffer, at, piece)
+    _lay_out(buffer, role_at, role, role_n, role_before)
+    _lay_out(buffer, text_at, text, text_n, text_before)
+    return buffer, turn, text_at, text_at + text_size
 
 
-_READ = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+_READ = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
 
 def _batch(rows: list, kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -97,9 +119,8 @@ def _batch(rows: list, kinds: list, names: list[str]) -> pa.RecordBatch:
 
 def _cuts(ids: pa.Array) -> np.ndarray:
     """Where each run of equal ids begins, and the end; null equals null."""
-    value = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    changed = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    number = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    changed = number[1:] != number[:-1]
     return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(ids)]])
 
 
@@ -135,8 +156,8 @@ def format_conversations(turns: DataFrame, id_column: str = "conv_id", turn_colu
     body: UTF-8 bytes, loss: byte spans of the whole that training learns).
     """
     small_batches(turns.sparkSession)
-    rows = turns.select(F.col(quoted(id_column)).cast("long").alias("conv_id"), F.col(quoted(turn_column)).alias("turn"), F.col(quoted(role_column)).cast("string").alias("role"), F.col(quoted(text_column)).cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format, PART_SCHEMA)
+    rows = turns.select(F.col(quoted(id_column)).alias("conv_id"), F.col(quoted(turn_column)).alias("turn"), F.col(quoted(role_column)).cast("string").alias("role"), F.col(quoted(text_column)).cast("string").alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format, PART_SCHEMA.replace("conv_id long", f"conv_id {rows.schema['conv_id'].dataType.simpleString()}", 1))
 
 
 def unescaped(raw: bytes) -> bytes:
@@ -171,7 +192,7 @@ def _odd_escapes(body: bytes, at: int) -> bool:
 class _Conversation:
     """Running digests of the conversation being read."""
 
-    def __init__(self, conv_id: int | None):
+    def __init__(self, conv_id: object):
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.parts, self.bytes = 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
@@ -195,7 +216,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     now: _Conversation | None = None
     for batch in batches:
-        done = []
+        kinds, done = [batch.schema.field(0).type, *_READ], []
         ids, parts, starts, _, bodies, losses = (c.to_pylist() for c in batch.columns)
         for conv_id, part, start, body, loss in zip(ids, parts, starts, bodies, losses, strict=True):
             if part == 0:
@@ -205,9 +226,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is None or (conv_id, part, start) != (now.conv_id, now.parts, now.bytes):
                 raise ValueError("parts of a conversation are missing or out of order")
             now.add(start, body, loss)
-        yield _batch(done, _READ, names)
+        yield _batch(done, kinds, names)
     if now is not None:
-        yield _batch([now.row()], _READ, names)
+        yield _batch([now.row()], kinds, names)
 
 
 def read_back(parts: DataFrame, ordered: bool = True) -> DataFrame:
@@ -219,4 +240,5 @@ def read_back(parts: DataFrame, ordered: bool = True) -> DataFrame:
     """
     if not ordered:
         parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = parts.schema["conv_id"].dataType.simpleString()
+    return parts.mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

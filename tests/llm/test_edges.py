@@ -250,3 +250,30 @@ def test_media_with_long_ids_in_ranges_of_any_size(spark):
         members = spark.read.format("media_archive").option("rangeBytes", range_bytes).load(folder) if range_bytes < 1 << 20 else media.read_archives(spark, folder)
         got = media.media_features(members, id_type="string").select("doc_id", "n_bytes").collect()
         assert sorted(map(str, ((g["doc_id"], g["n_bytes"]) for g in got))) == sorted(map(str, ((i, len(t)) for i, t in rows)))
+
+
+def test_chat_with_ids_of_any_type_and_long_texts(spark):
+    long = "ab<c>\\ " * 300_000
+    rows = [("b", 0, "user", long), ("b", 1, "assistant", "ok"), ("a" * 200, 0, "assistant", "x"), (None, 0, "user", None), (None, 1, "assistant", "<")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    digest = lambda *said: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+    assert got == {
+        "b": (2, digest(("user", long), ("assistant", "ok")), 2),
+        "a" * 200: (1, digest(("assistant", "x")), 1),
+        None: (2, digest(("user", ""), ("assistant", "<")), 1),
+    }
+
+
+def test_chat_layout_by_slices_of_any_size(monkeypatch):
+    r = random.Random(1)
+    for size in (1, 2, 7, 50, 1 << 20):
+        monkeypatch.setattr(chat, "SLICE", size)
+        for _ in range(60):
+            n = r.randint(0, 6)
+            roles = ["".join(r.choice("<>\\\nab/turn ") for _ in range(r.randint(0, 8))) for _ in range(n)]
+            texts = ["".join(r.choice("<>\\\n/turné\U0001f600 ") for _ in range(r.choice([0, 0, 1, 5, 30]))) for _ in range(n)]
+            buffer, _, begin, end = chat.assemble(roles, texts)
+            assert [(a.decode(), b.decode()) for a, b in chat.parse_part(buffer.tobytes())] == list(zip(roles, texts, strict=True))
+            escaped = [t.replace("\\", "\\\\").replace("<", "\\<").replace(">", "\\>") for t in texts]
+            assert [buffer[a:b].tobytes().decode() for a, b in zip(begin, end, strict=True)] == escaped
