@@ -339,9 +339,9 @@ ORACLE_SQL = {
     "streamed_dialect": "SELECT role, count(*) AS n, count(*) AS n_ids, count(*) AS n_batch, count(DISTINCT conv_id % 100) AS sessions FROM conversations WHERE trim(text) <> '' GROUP BY role",
     "streamed_growing": """SELECT conv_id // 50 AS file, count(*) AS n, count(*) AS n_ids, count(*) AS n_batch, sum(length(text))::BIGINT AS chars, count(*) FILTER (turn % 3 > 0) AS n_appended
 FROM conversations WHERE trim(text) <> '' GROUP BY 1""",
-    "routes_rolled_back": """SELECT 'conv-' || (conv_id % 10) AS source_key, CASE WHEN conv_id % 10 IN (1, 2, 3) THEN 'failed' ELSE 'appended' END AS verdict,
-CASE conv_id % 10 WHEN 1 THEN 'repeated id' WHEN 2 THEN 'unknown event type' WHEN 3 THEN 'frontier moved' END AS reason,
-count(*) FILTER (turn < 2 OR conv_id % 10 NOT IN (1, 2, 3)) AS n FROM conversations GROUP BY conv_id % 10""",
+    "routes_rolled_back": """WITH c AS (SELECT conv_id % 10 AS k, count(*) FILTER (turn < 2) AS n_first, count(*) FILTER (turn >= 2) AS n_rest FROM conversations GROUP BY 1),
+r AS (SELECT *, CASE WHEN k = 1 AND n_rest > 0 THEN 'repeated id' WHEN k = 2 AND n_rest > 0 THEN 'unknown event type' WHEN k = 3 THEN 'frontier moved' END AS reason FROM c)
+SELECT 'conv-' || k AS source_key, CASE WHEN reason IS NULL THEN 'appended' ELSE 'failed' END AS verdict, reason, n_first + CASE WHEN reason IS NULL THEN n_rest ELSE 0 END AS n FROM r""",
     "sqlite_joined": """WITH t AS (SELECT *, CASE (conv_id + turn) % 20 WHEN 7 THEN 0 WHEN 9 THEN 2 ELSE 1 END AS identities FROM conversations)
 SELECT 's' || conv_id AS provider_session_id, count(*) AS n, count(*) AS n_ids, sum(length(text))::BIGINT AS chars, max(1704067200000 + turn) AS last_ms, count(*) FILTER (WHERE conv_id % 2 = 1) AS with_parent FROM t WHERE identities = 1 AND trim(text) <> '' GROUP BY conv_id
 UNION ALL SELECT identities || ' identities', count(*), NULL, NULL, NULL, NULL FROM t WHERE identities <> 1 GROUP BY identities""",
