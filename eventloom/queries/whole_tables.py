@@ -79,7 +79,9 @@ def vector_scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search over all documents scored."""
-    docs = search.with_tokens(document_events(spark, sf_dir))
+    path = shared_folder(spark, "tokens")
+    search.with_tokens(document_events(spark, sf_dir)).select("event_id", "tokens", "doc_len").write.parquet(path)  # cut once, read for statistics and scores
+    docs = spark.read.parquet(path)
     scored, seen = diagnostics.lexical_scan(docs, docs, TERMS)
     search.best_scores(scored, 20).collect()  # 20 rows
     return spark.createDataFrame([tuple(seen.get.values())], ", ".join(f"{n} long" for n in seen.get))

@@ -5,9 +5,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import DENSE, term_counts, tokens
-from eventloom.operators import term_index
+from eventloom.operators import diagnostics, term_index
 from eventloom.operators.term_index import TermIndex
+from eventloom.queries import whole_tables
 
+SF = "/root/testdata/sf0.001"
 TEXTS = ["ab AB äb ab2 xжy", "", None, "ж" * 100_000, "日本語 ab" * 20, "x" * 70 + " x", "a-b_cͅ ª²ʰ \U00010400y"]
 
 
@@ -28,3 +30,10 @@ def test_index_tasks_stay_small_as_postings_grow(spark, tmp_path, monkeypatch):
     TermIndex.write(events, str(tmp_path / "index"))
     files = spark.read.parquet(str(tmp_path / "index" / "postings")).groupBy(F.input_file_name()).count()
     assert files.agg(F.max("count")).first()[0] < 500  # 4,000 postings a term: more files, not larger ones
+
+
+def test_scan_counters_cut_texts_once(spark, monkeypatch):
+    plans, scan = [], diagnostics.lexical_scan
+    monkeypatch.setattr(diagnostics, "lexical_scan", lambda events, *rest: plans.append(events._jdf.queryExecution().optimizedPlan().toString()) or scan(events, *rest))
+    whole_tables.lexical_scan_counters(spark, SF).collect()
+    assert "regexp_extract_all" not in plans[0]
