@@ -4,10 +4,14 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from eventloom import snapshots
 from eventloom.functions.text import DENSE, term_counts, tokens
-from eventloom.operators import diagnostics, term_index
+from eventloom.operators import diagnostics, segments, term_index
+from eventloom.operators.segments import SegmentedIndex
 from eventloom.operators.term_index import TermIndex
 from eventloom.queries import whole_tables
+from eventloom.schema import conform
+from eventloom.snapshots import Snapshots
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["ab AB äb ab2 xжy", "", None, "ж" * 100_000, "日本語 ab" * 20, "x" * 70 + " x", "a-b_cͅ ª²ʰ \U00010400y"]
@@ -37,3 +41,23 @@ def test_scan_counters_cut_texts_once(spark, monkeypatch):
     monkeypatch.setattr(diagnostics, "lexical_scan", lambda events, *rest: plans.append(events._jdf.queryExecution().optimizedPlan().toString()) or scan(events, *rest))
     whole_tables.lexical_scan_counters(spark, SF).collect()
     assert "regexp_extract_all" not in plans[0]
+
+
+def test_tasks_of_publications_and_segments_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "FOLDER_BYTES", 2_000)
+    monkeypatch.setattr(segments, "POSTINGS_PER_TASK", 500)
+    store = Snapshots(spark, str(tmp_path / "store"))
+    n = F.col("id")
+    rows = spark.range(2000).select(F.format_string("e%06d", n).alias("event_id"), F.lit("one").alias("source_key"), F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), n % 40), F.concat(F.lit("r"), n)).alias("body"), F.lit("message").alias("event_type"), F.lit("selected").alias("policy_status"), F.lit("s").alias("session_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store.publish(replace=conform(rows))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.read().groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 1500  # about 25 kB of text of one source
+    index = SegmentedIndex.update(store)
+    blocks = SegmentedIndex._read_blocks(store, [s.name for s in index.segments])
+    assert index.written == 6000 == blocks.agg(F.sum("n")).first()[0]
+    files = blocks.groupBy(F.input_file_name(), "bucket").agg(F.sum("n").alias("n"))
+    assert files.agg(F.max("n")).first()[0] < 1500 and files.count() > segments.BUCKETS  # "all" has 2,000 postings
+    assert index.document_frequencies(["all", "w7"]) == {"all": 2000, "w7": 50}
+    found = [r["event_id"] for r in index.best(["all", "w7"], 10).pool.collect()]
+    assert sorted(found) == [f"e{i:06d}" for i in range(7, 400, 40)]
