@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jsonl import MAX_RECORD_BYTES, BoundedJsonl, BoundedJsonlReader, LineRange, open_fs
+from .jsonl import MAX_RECORD_BYTES, OPEN_BYTES, TASK_BYTES, BoundedJsonl, BoundedJsonlReader, LineRange, LineRanges, open_fs
 
 HASH_RANGE = 8 << 20
 LINE_RANGE = 32 << 20
@@ -42,6 +42,16 @@ def listed(spark: SparkSession, path: str, suffixes: str = ".jsonl,.jsonl.zst,.j
 _FACTS = "file string, start long, whole string, line_end long, line string, known string"
 
 
+def _dealt(ranges: DataFrame, size: Column) -> DataFrame:
+    """Ranges (file, start) dealt to as many tasks as the bytes behind them ask for.
+
+    The number is stated, as ranges are few bytes themselves: adaptive execution
+    would take thousands of files for one small partition.
+    """
+    total = ranges.agg(F.sum(size + OPEN_BYTES).alias("bytes")).first()["bytes"] or 0
+    return ranges.repartition(max(1, -(-total // TASK_BYTES)), "file", "start")
+
+
 def _hashed(scheme_path: str, hash_range: int):
     """Of each range: the hash of its bytes, of those to its last line's end, and of those to the known frontier."""
 
@@ -88,7 +98,7 @@ def certified(files: DataFrame, path: str, hash_range: int = HASH_RANGE) -> Data
     """
     wanted = files.select("file", "size", "frontier", "prefix_hash")
     pieces = wanted.select("file", "size", "frontier", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(hash_range).cast("long"))).alias("start"))
-    facts = pieces.repartition("file", "start").mapInArrow(_hashed(path, hash_range), _FACTS)
+    facts = _dealt(pieces, F.least(F.col("size") - F.col("start"), F.lit(hash_range))).mapInArrow(_hashed(path, hash_range), _FACTS)
     ranges = facts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "whole", "line_end", "line", "known"))).alias("ranges"))
     r = F.col("ranges")
     ended = F.filter(r, lambda x: x["line_end"].isNotNull())
@@ -113,8 +123,7 @@ def _line_reader(path: str, max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = BoundedJsonlReader({"path": path, "maxBytes": max_bytes})
         for batch in batches:
-            for r in batch.to_pylist():
-                yield from reader.read(LineRange(r["file"], r["start"], r["stop"], r["floor"]))
+            yield from reader.read(LineRanges([LineRange(r["file"], r["start"], r["stop"], r["floor"]) for r in batch.to_pylist()]))
 
     return run
 
@@ -128,5 +137,6 @@ def lines(files: DataFrame, path: str, max_bytes: int = MAX_RECORD_BYTES, line_r
     packed = F.endswith("file", F.lit(".zst"))
     starts = F.when(packed, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col("floor"), F.greatest(F.col("stop") - 1, F.col("floor")), F.lit(line_range).cast("long")))
     ranges = files.filter(packed | (F.col("stop") > F.col("floor"))).select("file", "floor", F.col("stop").alias("end"), F.explode(starts).alias("start"))
-    ranges = ranges.select("file", "floor", "start", F.when(packed, -1).otherwise(F.least("end", F.col("start") + line_range)).cast("long").alias("stop"))
-    return ranges.repartition("file", "start").mapInArrow(_line_reader(path, max_bytes), BoundedJsonl({}).schema())
+    size = F.least(F.col("end") - F.col("start"), F.lit(line_range))
+    ranges = _dealt(ranges, size).select("file", "floor", "start", F.when(packed, -1).otherwise(F.least("end", F.col("start") + line_range)).cast("long").alias("stop"))
+    return ranges.mapInArrow(_line_reader(path, max_bytes), BoundedJsonl({}).schema())

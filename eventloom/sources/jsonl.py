@@ -6,7 +6,8 @@ have an order whatever task read them. A last line without its end isn't a
 record yet and is left for the next read; NUL padding at the end is dropped;
 lines over ``maxBytes`` come as ``oversized`` without text. ``frontiers`` (JSON:
 file to offset) resumes behind what earlier reads have certified. Files that
-end in ``.zst`` are read whole by one task.
+end in ``.zst`` are read whole by one task. A task reads as many small ranges as
+``TASK_BYTES`` hold, so tasks grow with the bytes and not with the files.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 32 << 20
+TASK_BYTES = 4 << 20  # ranges of a task, unless one range is more
+OPEN_BYTES = 128 << 10  # what opening a file counts for
 MAX_RECORD_BYTES = 64 << 20
 BATCH_ROWS = 2000
 
@@ -40,6 +43,12 @@ class LineRange(InputPartition):
         self.file, self.start, self.stop, self.floor = file, start, stop, floor
 
 
+class LineRanges(InputPartition):
+    def __init__(self, ranges: list[LineRange]):
+        super().__init__(ranges)
+        self.ranges = ranges
+
+
 class BoundedJsonl(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -80,24 +89,36 @@ class BoundedJsonlReader(DataSourceReader):
                     found.append(info)
         return sorted(found, key=lambda f: f.path)
 
-    def partitions(self) -> list[LineRange]:
-        ranges = []
+    def _ranges(self) -> Iterator[tuple[LineRange, int]]:
+        """Ranges of all files, with their bytes."""
         for f in self._files():
             if f.path.endswith(".zst"):
-                ranges.append(LineRange(f.path, 0, -1, 0))
+                yield LineRange(f.path, 0, -1, 0), f.size
                 continue
             floor = int(self.frontiers.get(f.path, 0))
-            ranges += [LineRange(f.path, a, min(a + self.range_bytes, f.size), floor) for a in range(floor, f.size, self.range_bytes)]
-        return ranges or [LineRange("", 0, 0, 0)]
-
-    def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
+            for a in range(floor, f.size, self.range_bytes):
+                stop = min(a + self.range_bytes, f.size)
+                yield LineRange(f.path, a, stop, floor), stop - a
+
+    def partitions(self) -> list[LineRanges]:
+        tasks, held = [LineRanges([])], 0
+        for part, size in self._ranges():
+            held += size + OPEN_BYTES
+            if tasks[-1].ranges and held > TASK_BYTES:
+                tasks.append(LineRanges([]))
+                held = size + OPEN_BYTES
+            tasks[-1].ranges.append(part)
+        return tasks
+
+    def read(self, partition: LineRanges) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for offset, line in self._lines(partition) if partition.file else ():
-            large = line is None or len(line) > self.max_bytes
-            rows.append((partition.file, offset, None if large else line.decode("utf-8", "replace"), large))
-            if len(rows) >= BATCH_ROWS:
-                yield self._batch(rows)
-                rows = []
+        for part in partition.ranges:
+            for offset, line in self._lines(part):
+                large = line is None or len(line) > self.max_bytes
+                rows.append((part.file, offset, None if large else line.decode("utf-8", "replace"), large))
+                if len(rows) >= BATCH_ROWS:
+                    yield self._batch(rows)
+                    rows = []
         if rows:
             yield self._batch(rows)
 
